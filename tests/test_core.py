@@ -1,0 +1,52 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.oracle import same_rows
+from tidemill.operators.time_windows import event_time, sessions, window_counts
+from tidemill.plans import queries as core
+from tidemill.streaming.events import read_events, stream_sessions, stream_window_counts
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(core.QUERIES))
+def test_against_sql(spark, name):
+    same_rows(core.QUERIES[name](spark, SF), core.ORACLE_SQL[name], SF)
+
+
+def test_nulls_and_empty(spark):
+    t = dt.datetime(2024, 1, 1, 10, 5)
+    rows = [(1, t, 1.0), (1, t, 1.0), (None, t, 2.0), (1, None, 3.0), (1, t + dt.timedelta(minutes=30), None)]
+    df = spark.createDataFrame(rows, "user_id long, ts timestamp, value double")
+    assert {(r.user_id, r.n_events) for r in window_counts(event_time(df), "1 hour").collect()} == {(1, 3), (None, 1)}
+    assert sorted((r.user_id or 0, r.n_events) for r in sessions(event_time(df)).collect()) == [(0, 1), (1, 1), (1, 2)]
+    assert window_counts(event_time(df.limit(0)), "1 hour").count() == 0
+
+
+@pytest.mark.parametrize("job", ["windows", "sessions"])
+def test_stream_equals_batch(spark, tmp_path, job):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    last = events.agg(F.max("ts")).first()[0]
+    events.repartition(3).write.parquet(str(tmp_path / "in"))
+    sentinel = events.limit(1).withColumns({"ts": F.lit(last + dt.timedelta(days=2)).cast("timestamp_ntz"), "user_id": F.lit(-1).cast("long")})
+    batch = window_counts(event_time(events), "1 hour") if job == "windows" else sessions(event_time(events))
+    source = read_events(spark, str(tmp_path / "in"), events.schema)
+    out = stream_window_counts(source, "1 hour") if job == "windows" else stream_sessions(source)
+    name = f"out_{job}"
+
+    def go():
+        q = out.writeStream.outputMode("append").format("parquet").option("checkpointLocation", str(tmp_path / "ck")).start(str(tmp_path / name))
+        q.processAllAvailable()
+        q.stop()
+
+    go()
+    sentinel.write.mode("append").parquet(str(tmp_path / "in"))
+    go()
+    got = spark.read.parquet(str(tmp_path / name))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, batch.collect()))
+    late = events.limit(1)  # far behind the watermark by now
+    late.write.mode("append").parquet(str(tmp_path / "in"))
+    go()
+    assert spark.read.parquet(str(tmp_path / name)).where("user_id >= 0").count() == batch.count()
