@@ -18,10 +18,10 @@ def test_against_sql(spark, name):
 
 def test_nulls_and_empty(spark):
     t = dt.datetime(2024, 1, 1, 10, 5)
-    rows = [(1, t, 1.0), (1, t, 1.0), (None, t, 2.0), (1, None, 3.0), (1, t + dt.timedelta(minutes=30), None)]
+    rows = [(1, t, 1.0), (1, t, 1.0), (None, t, 2.0), (1, None, 3.0), (1, t + dt.timedelta(minutes=30), None)]  # exactly the gap: one session
     df = spark.createDataFrame(rows, "user_id long, ts timestamp, value double")
     assert {(r.user_id, r.n_events) for r in window_counts(event_time(df), "1 hour").collect()} == {(1, 3), (None, 1)}
-    assert sorted((r.user_id or 0, r.n_events) for r in sessions(event_time(df)).collect()) == [(0, 1), (1, 1), (1, 2)]
+    assert sorted((r.user_id or 0, r.n_events) for r in sessions(event_time(df)).collect()) == [(0, 1), (1, 3)]
     assert window_counts(event_time(df.limit(0)), "1 hour").count() == 0
 
 

@@ -31,7 +31,7 @@ def window_counts(events: DataFrame, width: str, slide: str | None = None) -> Da
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Each user's sessions: runs of events less than ``gap`` apart."""
+    """Each user's sessions: runs of events at most ``gap`` apart."""
     return (
         events.groupBy("user_id", F.session_window("ts", gap))
         .agg(F.count(F.lit(1)).alias("n_events"), F.max("ts").alias("last_ts"))

@@ -62,7 +62,7 @@ ORACLE_SQL = {
           FROM events WHERE ts IS NOT NULL) GROUP BY ALL""",
     "user_sessions": """
         SELECT user_id, min(ts) AS session_start, max(ts) AS last_ts, CAST(count(*) AS BIGINT) AS n_events FROM (
-          SELECT user_id, ts, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL 30 minutes THEN 1 ELSE 0 END)
+          SELECT user_id, ts, sum(CASE WHEN before IS NULL OR ts - before > INTERVAL 30 minutes THEN 1 ELSE 0 END)
             OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s
           FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events WHERE ts IS NOT NULL))
         GROUP BY user_id, s""",
