@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemill.llm.exact_dedup import exact_dedup
 from tidemill.llm.packing import pack_documents
 from tidemill.llm.quality import quality
+from tidemill.llm.simhash import near_dedup
 from tidemill.llm.token_files import token_files
 
 
@@ -40,11 +41,17 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents."""
+    return near_dedup(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_rules": op3_quality_rules,
     "op8_token_files": op8_token_files,
     "op5_exact_dedup": op5_exact_dedup,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
 ORACLE_SQL = {
