@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemill.llm.exact_dedup import exact_dedup
 from tidemill.llm.packing import pack_documents
 from tidemill.llm.quality import quality
+from tidemill.llm.secrets import scan
 from tidemill.llm.simhash import near_dedup
 from tidemill.llm.token_files import token_files
 
@@ -41,6 +42,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    return scan(_table(spark, sf_dir, "documents")).drop("found")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and components of all documents."""
     return near_dedup(_table(spark, sf_dir, "documents"))
@@ -51,6 +57,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op8_token_files": op8_token_files,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_secret_scan": op6_secret_scan,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
