@@ -1,0 +1,37 @@
+from pyspark.sql import functions as F
+
+from tidemill.llm import language as m
+from tidemill.llm import queries
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    test = docs.where("crc32(cast(doc_id AS string)) % 5 = 1")
+    langs, like = m.train(docs.where("crc32(cast(doc_id AS string)) % 5 <> 1"))
+    assert langs == ["de", "en", "es", "fr"]
+    rows = m.identify(test.select("*", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("declared")), langs, like, keep=("doc_id", "lang")).toDF("doc_id", "want", "lang", "posterior", "text_lang", "declared", "host")
+    n, right = rows.agg(F.count(F.lit(1)), F.count(F.when(F.expr("want = lang"), 1))).first()
+    assert n == test.count() and right / n > 0.97
+
+
+def test_query(spark):
+    rows = queries.op10_language_id(spark, SF)
+    assert rows.count() == 1250 and rows.where("doc_id IS NULL").count() == 250 and rows.where("lang IS NULL").count() == 0
+
+
+def test_evidence_and_cases(spark):
+    langs, like = m.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    de = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'de' AND n_chars > 500").first().text
+    en = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en' AND n_chars > 500").first().text
+    rows = [(i, de, "http://www.a.de/x", "de-DE") for i in range(30)] + [(i + 100, en, "http://b.com", "en") for i in range(60)]
+    rows += [(1000, "", "http://www.a.de/y", None), (1001, None, None, None), (1002, de, "http://b.com", "en"), (1003, "", "http://c.a.de/", "xx"), (1004, f"<html lang='de'><script>{en}</script></html>", "", None), (1001, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, url string, declared string").selectExpr("*", "1 AS host", "2 AS scores", "3 AS vote")
+    got = {r.doc_id: r for r in m.identify(df, langs, like).collect()}
+    assert len(got) == 95
+    assert all(got[i].lang == "de" for i in [*range(30), 1000, 1002, 1003, 1004]) and got[1001].lang == got[101].lang == "en"
+    assert got[1000].text_lang is None and got[1000].host == "www.a.de" and got[1004].declared == "de"
+    assert m.identify(df.limit(0), langs, like).count() == 0
+    langs, like = m.train(spark.createDataFrame([], "text string, lang string"))
+    assert m.identify(df, langs, like).where("lang IS NULL").count() == 96

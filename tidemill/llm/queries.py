@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemill.llm.exact_dedup import exact_dedup
+from tidemill.llm.language import identify, train
 from tidemill.llm.packing import pack_documents
+from tidemill.llm.pseudonyms import pseudonymize
 from tidemill.llm.quality import quality
 from tidemill.llm.secrets import scan
 from tidemill.llm.simhash import near_dedup
 from tidemill.llm.token_files import token_files
 
+#: Stands for the key that a user gives; whoever knows it can undo the pseudonyms.
+PSEUDONYM_KEY = b"example key, not secret"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -47,6 +53,23 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents")).drop("found")
 
 
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with pseudonyms for personal data."""
+    return pseudonymize(_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page, and of every document, whose source stands for its host; likelihoods from all labelled documents."""
+    docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
+    none = F.lit(None)
+    langs, likelihood = train(docs)
+    address = F.concat(F.lit("source://"), F.col("source"))
+    rows = docs.select("doc_id", none.cast("long").alias("page_id"), "text", address.alias("url"), none.cast("string").alias("declared")).unionByName(
+        pages.select(none.cast("long").alias("doc_id"), "page_id", F.col("html").alias("text"), "url", none.cast("string").alias("declared"))
+    )
+    return identify(rows, langs, likelihood, keep=("doc_id", "page_id"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and components of all documents."""
     return near_dedup(_table(spark, sf_dir, "documents"))
@@ -58,7 +81,9 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_secret_scan": op6_secret_scan,
+    "op7_pseudonyms": op7_pseudonyms,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL = {
