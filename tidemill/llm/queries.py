@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.exact_dedup import exact_dedup
 from tidemill.llm.language import identify, train
 from tidemill.llm.packing import pack_documents
+from tidemill.llm.pieces import encode
 from tidemill.llm.pseudonyms import pseudonymize
 from tidemill.llm.quality import quality
 from tidemill.llm.secrets import scan
@@ -28,6 +29,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded again."""
+    return encode(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
@@ -76,6 +82,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_rules": op3_quality_rules,
     "op8_token_files": op8_token_files,
