@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.exact_dedup import exact_dedup
 from tidemill.llm.language import identify, train
+from tidemill.llm.maxent import score
 from tidemill.llm.packing import pack_documents
 from tidemill.llm.pieces import encode
 from tidemill.llm.pseudonyms import pseudonymize
@@ -49,6 +50,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op4_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and model scores of all documents."""
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of whole texts."""
     return exact_dedup(_table(spark, sf_dir, "documents"))
@@ -85,6 +91,7 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_rules": op3_quality_rules,
+    "op4_maxent_scores": op4_maxent_scores,
     "op8_token_files": op8_token_files,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_secret_scan": op6_secret_scan,
