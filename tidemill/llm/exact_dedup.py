@@ -105,8 +105,8 @@ def _read(file) -> Iterator[Record]:
         return
 
 
-def _local_classes(memory: int):
-    """Adds row number, local class, size and digest; the first row of a class carries the content, compressed."""
+def _local_classes(memory: int, carry: bool):
+    """Adds row number, local class (the number of its first row), size and digest; with ``carry`` that row has the content, compressed."""
 
     def make():
         number, table, squeeze = first_row_number(), ContentTable(), zstandard.ZstdCompressor(level=1)
@@ -124,7 +124,7 @@ def _local_classes(memory: int):
                         table = ContentTable()  # later copies make a class of their own, united after the shuffle
                     cls = number
                     table.add(key, content, cls)
-                    contents.append(squeeze.compress(content))
+                    contents.append(squeeze.compress(content) if carry else None)
                 else:
                     contents.append(None)
                 rows.append(number)
@@ -139,6 +139,11 @@ def _local_classes(memory: int):
     return make
 
 
+def _contents():
+    squeeze = zstandard.ZstdCompressor(level=1)
+    return lambda batch, texts: [pa.array([squeeze.compress(t.encode("utf-8", "surrogatepass").translate(None, WHITE)) for t in texts], pa.binary())]
+
+
 def _unite(memory: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[Record]:
@@ -171,11 +176,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``memory``: bytes of content that a task holds.
     """
     keep = None if whole_rows else [F.col(id_col).alias("id__")]
-    rows = with_columns(docs, text_col, _local_classes(memory), "row__ long, class__ long, points__ long, text_sha256 string, content__ binary", keep)
+    rows = with_columns(docs, text_col, _local_classes(memory, not whole_rows), "row__ long, class__ long, points__ long, text_sha256 string, content__ binary", keep)
     if whole_rows:
         rows = rows.withColumn("id__", F.col("doc").getField(id_col))
     rows = written(rows, "rows")
-    contents = rows.where("content__ IS NOT NULL").select("class__", "text_sha256", "content__")
+    firsts = rows.where("class__ = row__")
+    if whole_rows:  # the rows have their texts, which needn't be stored twice
+        firsts = firsts.select("class__", "text_sha256", F.col("doc").getField(text_col).alias("text__"))
+        contents = with_columns(firsts, "text__", _contents, "content__ binary", ["class__", "text_sha256"])
+    else:
+        contents = firsts.select("class__", "text_sha256", "content__")
     united = contents.repartition("text_sha256").mapInArrow(_unite(memory), "class__ long, united__ long")
     # The order of a struct: most code points, ids before null, smallest id, first row.
     best = F.min(F.struct((-F.col("points__")).alias("p"), F.col("id__").isNull().alias("n"), F.col("id__").alias("id"), F.col("row__").alias("row"))).alias("best")

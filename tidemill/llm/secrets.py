@@ -61,10 +61,14 @@ def _parts(docs: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
     return out.withColumns({f"{k}__": v for k, v in made.items()})
 
 
-def _linked(rows: DataFrame, scope: int) -> DataFrame:
-    """row__ and the weak spans that complementary parts stand near to."""
+def _may_link() -> Column:
+    """Whether a row has an identifier, a secret and a weak candidate at all; few have."""
     secret, ident = F.concat("short__", "weak__", "strong__", "hex__"), F.concat("ident__", "access__")
-    both = rows.where((F.size(secret) > 0) & (F.size(ident) > 0) & (F.size("ident__") + F.size("short__") + F.size("weak__") + F.size("endpoint__") > 0))
+    return (F.size(secret) > 0) & (F.size(ident) > 0) & (F.size("ident__") + F.size("short__") + F.size("weak__") + F.size("endpoint__") > 0)
+
+
+def _linked(both: DataFrame, scope: int) -> DataFrame:
+    """row__ and the weak spans that complementary parts stand near to."""
 
     def typed(spans: Column, part: str, weak: bool) -> Column:
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(part).alias("part"), F.lit(weak).alias("is_weak")))
@@ -109,7 +113,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
         *(bare(F.col(f"{k}__")).alias(f"{k}__") for k in KINDS[1:]),
     )
     rows = written(rows, "parts", scratch(docs.sparkSession))
-    rows = rows.join(_linked(rows, scope), "row__", "left")
+    both = rows.where(_may_link())
+    alone = rows.where(~_may_link())  # these, nearly all, aren't shuffled
+    linked = both.join(_linked(both, scope), "row__", "left")
+    rows = linked.unionByName(alone.withColumn("linked__", F.lit(None).cast(linked.schema["linked__"].dataType)))
     base = F.array_sort(F.concat("strong__", "access__", "hex__"))
     every = F.when(F.col("linked__").isNull(), base).otherwise(F.array_sort(F.concat(base, "linked__")))
     return rows.select(

@@ -27,7 +27,7 @@ def scratch(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: work is done once and survives lost executors."""
     path = f"{folder or scratch(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
