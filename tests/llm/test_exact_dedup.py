@@ -34,4 +34,6 @@ def test_cases(spark, memory):
     assert got == sorted(want)
     whole = m.exact_dedup(df, whole_rows=True, memory=memory).where("kept").select("doc.*")
     assert whole.columns == df.columns and whole.count() == 4
-    assert m.exact_dedup(df.limit(0)).count() == 0
+    left = m.drop_copies(df, memory=memory)
+    assert sorted(map(repr, left.collect())) == sorted(map(repr, whole.collect()))
+    assert m.exact_dedup(df.limit(0)).count() == m.drop_copies(df.limit(0)).count() == 0

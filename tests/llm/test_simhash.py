@@ -58,8 +58,10 @@ def test_cases(spark):
     got = simhash.near_dedup(df, whole_rows=True)
     seen = sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in got.collect())
     assert seen == sorted([(5, 4, False), (4, 4, True), (7, 4, False), (8, 2, False), (2, 2, True), (2, 2, False), (-1, 2, False), (-1, -1, True), (9, 9, True)])
-    assert got.where("kept").select("doc.*").columns == df.columns
-    assert simhash.near_dedup(df.limit(0)).count() == 0
+    whole, left = got.where("kept").select("doc.*"), simhash.drop_near_copies(df)
+    assert whole.columns == df.columns
+    assert sorted(map(repr, left.collect())) == sorted(map(repr, whole.collect()))
+    assert simhash.near_dedup(df.limit(0)).count() == simhash.drop_near_copies(df.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("shard_rows", [3, 40, 20_000])

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.shared import first_row_number, with_columns, written
+from tidemill.llm.shared import first_row_number, with_columns, without, written
 
 WHITE = b" \t\n\r\x0b\x0c"
 FAN_OUT_BITS = 4
@@ -168,13 +168,8 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["class__", "united__"])
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False, memory: int = 64 << 20) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Of equal texts the row with the most code points stays, then that with the
-    smallest id. With ``whole_rows`` the input's row comes along as struct ``doc``.
-    ``memory``: bytes of content that a task holds.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str, whole_rows: bool, memory: int) -> tuple[DataFrame, DataFrame]:
+    """The numbered rows with their local classes, and (class__, group_size, winner) for each class."""
     keep = None if whole_rows else [F.col(id_col).alias("id__")]
     rows = with_columns(docs, text_col, _local_classes(memory, not whole_rows), "row__ long, class__ long, points__ long, text_sha256 string, content__ binary", keep)
     if whole_rows:
@@ -193,6 +188,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     local = written(local.join(united, "class__"), "classes")
     groups = local.groupBy("united__").agg(F.sum("n__").alias("group_size"), F.min("best").alias("winner"))
     answers = local.select("class__", "united__").join(groups, "united__").select("class__", "group_size", "winner")
+    return rows, answers
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False, memory: int = 64 << 20) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Of equal texts the row with the most code points stays, then that with the
+    smallest id. With ``whole_rows`` the input's row comes along as struct ``doc``.
+    ``memory``: bytes of content that a task holds.
+    """
+    rows, answers = _grouped(docs, id_col, text_col, whole_rows, memory)
     joined = rows.drop("content__").join(answers, "class__")
     return joined.select(
         *(["doc"] if whole_rows else []),
@@ -202,3 +208,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("row__") == F.col("winner.row")).alias("kept"),
         "text_sha256",
     )
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory: int = 64 << 20) -> DataFrame:
+    """The rows of ``docs`` that exact_dedup() keeps, with all their columns."""
+    rows, answers = _grouped(docs, id_col, text_col, True, memory)
+    dropped = rows.select("row__", "class__").join(answers, "class__").where("row__ <> winner.row")
+    return without(rows, dropped)

@@ -37,6 +37,15 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def without(rows: DataFrame, dropped: DataFrame, name: str = "dropped") -> DataFrame:
+    """The ``doc`` of those rows whose ``row__`` is not among ``dropped``'s.
+
+    Only the numbers of dropped rows are written; while their table is below Spark's broadcast threshold the texts aren't
+    shuffled, beyond it Spark joins by sorting on row numbers, which are unique.
+    """
+    return rows.join(written(dropped.select("row__"), name), "row__", "left_anti").select("doc.*")
+
+
 def first_row_number() -> int:
     """The number of a task's first row; numbers of different tasks don't meet."""
     return TaskContext.get().partitionId() << 33

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidemill.llm.shared import first_row_number, scratch, with_columns, written
+from tidemill.llm.shared import first_row_number, scratch, with_columns, without, written
 
 
 def fingerprint(text: str, width: int = 4) -> int:
@@ -176,11 +176,8 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, whole_rows: bool = False) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, fingerprint, component_id, kept (true for one row of each component, of the smallest id).
-
-    With ``whole_rows`` the input's row comes along as struct ``doc``.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int, whole_rows: bool) -> tuple[DataFrame, DataFrame]:
+    """The numbered rows with their fingerprints, and (fp__, winner__) for each fingerprint."""
     keep = None if whole_rows else [F.col(id_col).alias("id__")]
     rows = with_columns(docs, text_col, _fingerprints(width), "fp__ long, row__ long", keep)
     if whole_rows:
@@ -192,7 +189,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = components(links(prints.select("fp__"), radius))
     prints = prints.join(roots, F.col("fp__") == F.col("node"), "left").select("fp__", "first__", F.coalesce("root", "fp__").alias("root__"))
     winners = prints.groupBy("root__").agg(F.min("first__").alias("winner__"))
-    groups = prints.select("fp__", "root__").join(winners, "root__").select("fp__", "winner__")
+    return rows, prints.select("fp__", "root__").join(winners, "root__").select("fp__", "winner__")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, whole_rows: bool = False) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, fingerprint, component_id, kept (true for one row of each component, of the smallest id).
+
+    With ``whole_rows`` the input's row comes along as struct ``doc``.
+    """
+    rows, groups = _grouped(docs, id_col, text_col, width, radius, whole_rows)
     return rows.join(groups, "fp__").select(
         *(["doc"] if whole_rows else []),
         F.col("id__").alias("doc_id"),
@@ -200,3 +205,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("winner__.id").alias("component_id"),
         (F.col("row__") == F.col("winner__.row")).alias("kept"),
     )
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of ``docs`` that near_dedup() keeps, with all their columns."""
+    rows, groups = _grouped(docs, id_col, text_col, width, radius, True)
+    dropped = rows.select("row__", "fp__").join(groups, "fp__").where("row__ <> winner__.row")
+    return without(rows, dropped)
