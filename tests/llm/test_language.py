@@ -35,3 +35,11 @@ def test_evidence_and_cases(spark):
     assert m.identify(df.limit(0), langs, like).count() == 0
     langs, like = m.train(spark.createDataFrame([], "text string, lang string"))
     assert m.identify(df, langs, like).where("lang IS NULL").count() == 96
+
+
+def test_hot_keys_make_no_difference(spark, monkeypatch):
+    found = []
+    for hot in (1, m.HOT, 1 << 40):  # no key is hot, some are, all are
+        monkeypatch.setattr(m, "HOT", hot)
+        found.append(sorted(map(str, queries.op10_language_id(spark, "/root/testdata/sf0.001").collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 200

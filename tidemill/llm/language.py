@@ -6,7 +6,10 @@ declared markup language and the address suffix have their own likelihoods: how
 often each value stands with each language that the text alone suggests. A host's
 prior is smoothed towards that of its domain, this towards that of its suffix,
 and this towards that of all rows; all are grouped counts of the rows whose text
-and declarations suggest the language, and a row's own count is left out.
+and declarations suggest the language, and a row's own count is left out. Domains
+and suffixes add up the counts of their hosts, so rows meet a table only by host
+and by suffix. A key that holds more than a ``HOT``-th of all rows is broadcast;
+its rows, and rows without a key, aren't shuffled.
 
 Rows with null or empty text have no text evidence; with no evidence at all they
 get the overall prior. A null label is not used in training. Null or odd
@@ -29,6 +32,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.shared import scratch, with_columns, written
 
 CELLS = 1 << 15
+HOT = 1000
 _TAGS = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
 
 
@@ -97,6 +101,18 @@ def _log_counts(counts: list[Column], prior: list[Column], weight: float) -> lis
     return [(n + weight * p) / (total + weight) for n, p in zip(counts, prior, strict=True)]
 
 
+def _joined(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` with the columns of a written ``table`` that has a row for each key and, in ``n__``, how many of the ``total`` rows have it.
+
+    Fewer than HOT keys can have more than a HOT-th of the rows, which bounds what is broadcast.
+    """
+    is_hot = F.col("n__") * HOT > total
+    hot = table.where(is_hot)
+    at_once = rows.join(F.broadcast(hot), key, "left").where(F.col(key).isNull() | F.col("n__").isNotNull())
+    others = rows.where(F.col(key).isNotNull()).join(F.broadcast(hot.select(key)), key, "left_anti")
+    return at_once.unionByName(others.join(table.where(~is_hot), key, "left")).drop("n__")
+
+
 def identify(rows: DataFrame, langs: list[str], likelihood: np.ndarray, text_col: str = "text", url_col: str = "url", declared_col: str = "declared", keep: tuple[str, ...] = ("doc_id",), weight: float = 20.0, temper: int = 200) -> DataFrame:
     """``keep``, lang, posterior, text_lang, declared, host for each row.
 
@@ -119,9 +135,14 @@ def identify(rows: DataFrame, langs: list[str], likelihood: np.ndarray, text_col
     folder = scratch(rows.sparkSession)
     scored = written(scored, "text", folder)
 
-    def table(frame: DataFrame, key: str, by: str, name: str) -> DataFrame:
-        """A row for each key with an array of counts by language."""
-        return frame.where(F.col(key).isNotNull() & F.col(by).isNotNull()).groupBy(key).agg(F.array(*(F.count(F.when(F.col(by) == i + 1, 1)) for i in range(n))).alias(name))
+    def counts(by: str) -> list[Column]:
+        """How many rows each language has."""
+        return [F.count(F.when(F.col(by) == i + 1, 1)) for i in range(n)]
+
+    def values(key: str) -> DataFrame:
+        """A row for each value; its counts are null if no text suggests a language."""
+        seen = F.when(F.count("text_best") > 0, F.array(*counts("text_best"))).alias(f"{key}_n")
+        return written(scored.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n__"), seen), f"values_{key}", folder)
 
     at = lambda name, i: F.coalesce(F.col(name)[i], F.lit(0))
 
@@ -129,15 +150,21 @@ def identify(rows: DataFrame, langs: list[str], likelihood: np.ndarray, text_col
         """P(value | language) up to a factor that languages share; a value never seen says nothing."""
         return [F.when(F.col(name).isNull(), 0.0).otherwise(F.log((at(name, i) + 0.5) / (F.lit(float(totals[i])) + 0.5 * n))) for i in range(n)]
 
-    totals = scored.agg(*(F.count(F.when(F.col("text_best") == i + 1, 1)) for i in range(n))).first()
-    with_values = scored.join(table(scored, "declared", "text_best", "declared_n"), "declared", "left").join(table(scored, "suffix", "text_best", "suffix_n"), "suffix", "left")
+    *totals, n_rows = scored.agg(*counts("text_best"), F.count(F.lit(1))).first()
+    # Two or three letters: fewer than 20,000 declared values.
+    with_values = _joined(scored, values("suffix"), "suffix", n_rows).join(F.broadcast(values("declared").drop("n__")), "declared", "left")
     fused = F.array(*(F.col("scores")[i] + a + b for i, (a, b) in enumerate(zip(likelihoods("declared_n"), likelihoods("suffix_n"), strict=True))))
     informed = F.col("text_best").isNotNull() | F.col("declared_n").isNotNull() | F.col("suffix_n").isNotNull()
     fused = written(with_values.withColumn("fused", fused).withColumn("vote", F.when(informed, _best(F.col("fused")))).drop("declared_n", "suffix_n"), "fused", folder)
-    overall = fused.agg(*(F.count(F.when(F.col("vote") == i + 1, 1)) for i in range(n))).first()
-    out = fused
-    for key in ("host", "domain", "suffix"):
-        out = out.join(table(fused, key, "vote", f"{key}_n"), key, "left")
+    overall = fused.agg(*counts("vote")).first()
+    hosts = fused.where(F.col("host").isNotNull()).groupBy("host", "domain", "suffix").agg(F.count(F.lit(1)).alias("rows__"), F.array(*counts("vote")).alias("host_n"))
+    hosts = written(hosts, "hosts", folder)
+    n_hosts = hosts.count()
+    for key in ("domain", "suffix"):
+        sums = F.array(*(F.sum(F.col("host_n")[i]) for i in range(n))).alias(f"{key}_n")
+        general = hosts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n__"), sums)
+        hosts = written(_joined(hosts, written(general, key, folder), key, n_hosts), f"hosts_{key}", folder)
+    out = _joined(fused, hosts.drop("domain", "suffix").withColumnRenamed("rows__", "n__"), "host", n_rows)
     own = [F.when(F.col("vote") == i + 1, 1).otherwise(0) for i in range(n)]
     prior = [(F.lit(overall[i]) - own[i] + 1.0) / (F.lit(sum(overall) + n) - F.col("vote").isNotNull().cast("int")) for i in range(n)]
     for key in ("suffix", "domain", "host"):
