@@ -10,12 +10,14 @@ type on either side, so it makes no pairs.
 
 Positions count code points and ends are exclusive. Null text counts as empty and
 has no spans. Repeated rows are rows of their own, an empty table gives an empty
-result, and other columns don't matter. The spans of one text are kept in an array
-that is built step by step, which suits thousands of spans in a text.
+result, and other columns don't matter. Spans are worked through in blocks of ``BLOCK``,
+so that a text with very many of them costs little more for each.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,23 @@ ENDPOINT = rf"(?i)(?<![A-Za-z0-9_])(?:[a-z][a-z0-9+]*://[A-Za-z0-9._~:/?@%&=+-]+
 #: In the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "ident", "weak", "endpoint")
 _LEAST_ASSIGN, _LEAST_WEAK = 12, 6
+BLOCK = 256
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with the value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _blocks(items: Column) -> Column:
+    """A non-empty array in slices of at most BLOCK items."""
+    return _let(items, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda b: F.slice(x, b * BLOCK + 1, BLOCK)))
+
+
+def _before(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each integer the earlier ones joined, 0 for the first."""
+    begin = F.expr("struct(0 AS now, CAST(array() AS array<int>) AS out)")
+    return F.aggregate(values, begin, lambda acc, x: F.struct(join(acc["now"], x).alias("now"), F.concat(acc["out"], F.array(acc["now"])).alias("out")))["out"]
 
 
 def _spans(text: Column, pattern: str, kind: str, found: Column, values: Column | None = None) -> Column:
@@ -39,7 +58,8 @@ def _spans(text: Column, pattern: str, kind: str, found: Column, values: Column
     gaps = F.split(text, pattern, -1)
     sizes = F.transform(values if values is not None else found, F.length)
     steps = F.arrays_zip(F.transform(F.slice(gaps, 1, F.size(found)), F.length).alias("gap"), F.transform(found, F.length).alias("match"), sizes.alias("size"))
-    empty = F.expr("struct(0 AS at, CAST(array() AS array<struct<start:int,kind:int,end:int,size:int>>) AS out)")
+    span = "struct<start:int,kind:int,end:int,size:int>"
+    empty = F.expr(f"CAST(array() AS array<{span}>)")
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
@@ -47,7 +67,15 @@ def _spans(text: Column, pattern: str, kind: str, found: Column, values: Column
         one = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"), x["size"].alias("size"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(steps, empty, add)["out"]).otherwise(empty["out"])
+    def in_block(block: Column) -> Column:
+        return F.aggregate(block, F.struct(F.lit(0).alias("at"), empty.alias("out")), add)
+
+    def placed(blocks: Column) -> Column:
+        begins = _before(F.transform(blocks, lambda r: r["at"]), lambda a, b: a + b)
+        shift = lambda s, by: F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end"), s["size"].alias("size"))
+        return F.flatten(F.zip_with(blocks, begins, lambda r, by: F.transform(r["out"], lambda s: shift(s, by))))
+
+    return F.when(F.size(found) > 0, _let(F.transform(_blocks(steps), in_block), placed)).otherwise(empty)
 
 
 def _parts(docs: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
@@ -133,15 +161,28 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     """The rows of ``docs`` with every span's text replaced by ``mark``; spans that overlap become one mark."""
     text = F.coalesce(F.col("doc").getField(text_col), F.lit(""))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        fresh = F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.lit(mark)).alias("out"))
-        return F.when(s["start"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
+    def replaced(part: Column, base: Column, spans: Column) -> Column:
+        """The part of the text that starts at ``base`` and goes to the last end of these spans."""
+
+        def step(acc: Column, s: Column) -> Column:
+            gap = F.substring(part, acc["at"] - base + 1, s["start"] - acc["at"])
+            fresh = F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.lit(mark)).alias("out"))
+            return F.when(s["start"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
+
+        return F.aggregate(spans, F.struct(base.alias("at"), F.lit("").alias("out")), step)["out"]
+
+    last = lambda spans: F.array_max(F.transform(spans, lambda s: s["end"]))
+
+    def block(spans: Column, at: Column) -> Column:
+        part = F.substring(text, at + 1, F.greatest(F.lit(0), last(spans) - at))
+        return _let(part, lambda p: replaced(p, at, spans))
 
-    def finish(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+    def whole(blocks: Column) -> Column:
+        parts = F.zip_with(blocks, _before(F.transform(blocks, last), F.greatest), block)
+        rest = F.substring(text, F.array_max(F.transform(blocks, last)) + 1, F.length(text))
+        return F.concat(F.array_join(parts, ""), rest)
 
-    clean = F.when(F.size("found") > 0, F.aggregate("found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, finish))
+    clean = F.when(F.size("found") > 0, _let(_blocks(F.col("found")), whole))
     rows = scan(docs, id_col, text_col, scope, whole_rows=True).select("doc", clean.alias("clean__"))
     names = docs.columns
     return rows.select(*(F.coalesce("clean__", F.col("doc")[c]).alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in names))
