@@ -56,6 +56,20 @@ def test_learns_a_sequence():
     assert w.gain(f, slot).mean() > 2.7  # of log(64) = 4.2
 
 
+def test_frequent_words_have_slots_of_their_own_and_are_learned():
+    words = [b"w%d" % i for i in range(150)]
+    s = m.Settings(class_rows=4096, slot_rows=4096, batch=512)
+    vocabulary = m.Tokens({w: i for i, w in enumerate([m.END, *words])})
+    numbers, starts = vocabulary.numbers([b" ".join(words * 12).decode()])
+    f, slot = m.Weights.features(vocabulary.hashes[numbers], starts), vocabulary.slots[numbers]
+    assert len(set(slot.tolist())) == 151 < m.OWN < m.SLOTS * m.CLASSES and m.Settings().slot_rows >= 65536
+    w, touched = m.Weights(s, np.ones(m.SLOTS * m.CLASSES)), (np.zeros(4096, np.int64), np.zeros(4096, np.int64))
+    for _ in range(40):
+        for i in range(0, len(slot), 512):
+            w.learn(f[:, i : i + 512], slot[i : i + 512], touched)
+    assert w.gain(f, slot).mean() > 3.5  # of log(256) = 5.5
+
+
 def test_cases(spark):
     rows = [(1, None), (1, None), (None, ""), (2, "A a b"), (3, "b " * 20_000)]
     df = spark.createDataFrame(rows, "doc_id int, text string").selectExpr("*", "1 AS n", "2 AS token")

@@ -1,6 +1,6 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
-Every token has a slot, and 8 slots make a class. The most frequent tokens have
+Every token has a slot, and 16 slots make a class. The most frequent tokens have
 slots of their own, the others share the rest by hash, so the slot of any token is
 known without a table. The model is
 
@@ -29,6 +29,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +40,15 @@ from xxhash import xxh64_intdigest
 
 from tidemill.llm.shared import first_row_number, scratch, with_columns, written
 
-SLOTS, CLASSES = 8, 8
-OWN = 40  # slots that hold one token
+SLOTS, CLASSES = 16, 16
+OWN = 160  # slots that hold one token
 END = b""  # no word is empty
 
 
 @dataclass(frozen=True)
 class Settings:
     class_rows: int = 1 << 15  # rows of hashed weights for the classes
-    slot_rows: int = 1 << 15  # and for the slots; both powers of two
+    slot_rows: int = 1 << 16  # and for the slots; both powers of two
     rounds: int = 2
     rate: float = 2.0
     calm: float = 50.0  # occurrences before a row's step falls
@@ -110,11 +111,12 @@ class Weights:
 
     def __init__(self, s: Settings, mass: np.ndarray, classes: np.ndarray | None = None, slots: np.ndarray | None = None) -> None:
         self.s = s
-        by_class = mass.reshape(CLASSES, SLOTS)
+        self.side = side = isqrt(len(mass))  # as many classes as slots in each
+        by_class = mass.reshape(side, side)
         self.class_bias = np.log(by_class.sum(1) / mass.sum()).astype(np.float32)
         self.slot_bias = np.log(by_class / by_class.sum(1, keepdims=True)).astype(np.float32)
-        self.classes = np.zeros((s.class_rows, CLASSES), np.float32) if classes is None else classes.copy()
-        self.slots = np.zeros((s.slot_rows, SLOTS), np.float32) if slots is None else slots.copy()
+        self.classes = np.zeros((s.class_rows, side), np.float32) if classes is None else classes.copy()
+        self.slots = np.zeros((s.slot_rows, side), np.float32) if slots is None else slots.copy()
 
     @staticmethod
     def features(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -137,14 +139,14 @@ class Weights:
 
     def rows(self, features: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         c = (features >> np.uint64(40)) & np.uint64(self.s.class_rows - 1)
-        own = (slot // SLOTS).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        own = (slot // self.side).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         s = ((features ^ own) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) & np.uint64(self.s.slot_rows - 1)
         return c.astype(np.int64), s.astype(np.int64)
 
     def forward(self, c: np.ndarray, s: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log probabilities of all classes, and of all slots of the token's class."""
         out = []
-        for z, rows, weights in ((np.broadcast_to(self.class_bias, (len(slot), CLASSES)), c, self.classes), (self.slot_bias.take(slot // SLOTS, 0), s, self.slots)):
+        for z, rows, weights in ((np.broadcast_to(self.class_bias, (len(slot), self.side)), c, self.classes), (self.slot_bias.take(slot // self.side, 0), s, self.slots)):
             z = z + weights.take(rows[0], 0)
             z += weights.take(rows[1], 0)
             z += weights.take(rows[2], 0)
@@ -157,15 +159,15 @@ class Weights:
         """log P(slot | history) - log P(slot) of each token."""
         c, s = self.rows(features, slot)
         a, b = self.forward(c, s, slot)
-        at = np.arange(len(slot))
-        return (a[at, slot // SLOTS] - self.class_bias[slot // SLOTS] + b[at, slot % SLOTS] - self.slot_bias[slot // SLOTS, slot % SLOTS]).astype(np.float64)
+        at, (of, within) = np.arange(len(slot)), np.divmod(slot, self.side)
+        return (a[at, of] - self.class_bias[of] + b[at, within] - self.slot_bias[of, within]).astype(np.float64)
 
     def learn(self, features: np.ndarray, slot: np.ndarray, touched: tuple[np.ndarray, np.ndarray]) -> None:
         """One gradient update. A row's step falls with its occurrences so far, and starts small, so that rare features stay near zero."""
         c, s = self.rows(features, slot)
         a, b = self.forward(c, s, slot)
         at = np.arange(len(slot))
-        for rows, logs, target, weights, seen in ((c, a, slot // SLOTS, self.classes, touched[0]), (s, b, slot % SLOTS, self.slots, touched[1])):
+        for rows, logs, target, weights, seen in ((c, a, slot // self.side, self.classes, touched[0]), (s, b, slot % self.side, self.slots, touched[1])):
             gradient = -np.exp(logs)
             gradient[at, target] += 1
             flat = rows.ravel()
