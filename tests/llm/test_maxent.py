@@ -70,6 +70,29 @@ def test_frequent_words_have_slots_of_their_own_and_are_learned():
     assert w.gain(f, slot).mean() > 3.5  # of log(256) = 5.5
 
 
+def test_partitions_make_no_difference(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    s = m.Settings(class_rows=1024, slot_rows=1024, rounds=3)
+    few, many = ({r.doc_id: r for r in m.score(table.repartition(n), settings=s).collect()} for n in (2, 200))
+    assert len(few) == len(many) and any(abs(r.score - r.base_score) > 1 for r in few.values())
+    assert all(math.isclose(r.score, many[i].score, rel_tol=1e-5, abs_tol=1e-3) for i, r in few.items())
+
+
+def test_sums_over_tasks_accumulate():
+    rng = np.random.default_rng(3)
+    s = m.Settings(class_rows=64, slot_rows=64)
+    f, slot = rng.integers(0, 2**63, (3, 5)).astype(np.uint64), np.arange(5)
+    moved = []
+    for tasks in (1, 240):
+        w = m.Weights(s, np.ones(64))
+        sums = w.sums()
+        for _ in range(tasks):
+            w.gradient(f, slot, sums)
+        w.step(sums, (np.zeros(64, np.int64), np.zeros(64, np.int64)))
+        moved.append(np.abs(w.classes).max())
+    assert moved[1] > 5 * moved[0]
+
+
 def test_cases(spark):
     rows = [(1, None), (1, None), (None, ""), (2, "A a b"), (3, "b " * 20_000)]
     df = spark.createDataFrame(rows, "doc_id int, text string").selectExpr("*", "1 AS n", "2 AS token")

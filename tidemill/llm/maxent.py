@@ -9,10 +9,11 @@ known without a table. The model is
 with softmaxes over hashed features: the previous token, the previous two, and the
 one before the previous (a skip). The last factor is the smoothed unigram's share of
 the slot. Feature weights start at zero, where the model is the unigram; training
-takes all training rows once, in rounds: in each, tasks run gradient updates from
-the common weights, and the changes are averaged by how often a task touched a row
-of the weights. The sums are formed by executors in two steps, and only the
-weights, whose size is fixed, reach the driver.
+takes all training rows once, in rounds: in each, tasks add up gradients at the
+common weights and how often each row of the weights occurs. Executors add these
+sums over all tasks in two steps, and the driver makes one update by them, so the
+result depends on the rows and not on how they are dealt to tasks. Only sums of the
+weights' size, which is fixed, reach the driver.
 
 Unigram counts cover all training rows. Counts of the ``head`` most frequent tokens
 (bounded) are broadcast, those of all others are joined by token.
@@ -49,7 +50,7 @@ END = b""  # no word is empty
 class Settings:
     class_rows: int = 1 << 15  # rows of hashed weights for the classes
     slot_rows: int = 1 << 16  # and for the slots; both powers of two
-    rounds: int = 2
+    rounds: int = 8
     rate: float = 2.0
     calm: float = 50.0  # occurrences before a row's step falls
     batch: int = 16384  # tokens
@@ -143,39 +144,53 @@ class Weights:
         s = ((features ^ own) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) & np.uint64(self.s.slot_rows - 1)
         return c.astype(np.int64), s.astype(np.int64)
 
-    def forward(self, c: np.ndarray, s: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log probabilities of all classes, and of all slots of the token's class."""
-        out = []
-        for z, rows, weights in ((np.broadcast_to(self.class_bias, (len(slot), self.side)), c, self.classes), (self.slot_bias.take(slot // self.side, 0), s, self.slots)):
+    def forward(self, c: np.ndarray, s: np.ndarray, slot: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For the classes, and for the slots of the token's class: the target, its log probability, and all exponentials with their sums."""
+        of, within = np.divmod(slot, self.side)
+        ones, at, out = np.ones(self.side, np.float32), np.arange(len(slot)), []
+        for z, rows, weights, target in ((self.class_bias, c, self.classes, of), (self.slot_bias.take(of, 0), s, self.slots, within)):
             z = z + weights.take(rows[0], 0)
             z += weights.take(rows[1], 0)
             z += weights.take(rows[2], 0)
-            z -= z.max(1, keepdims=True)
-            z -= np.log(np.exp(z).sum(1, keepdims=True))
-            out.append(z)
-        return out[0], out[1]
+            if max(z.max(), -z.min()) > 60:  # exponentials beyond float32
+                z -= z.max(1, keepdims=True)
+            log = z[at, target]
+            np.exp(z, out=z)
+            total = z @ ones
+            out.append((target, log - np.log(total), z, total))
+        return out
 
     def gain(self, features: np.ndarray, slot: np.ndarray) -> np.ndarray:
         """log P(slot | history) - log P(slot) of each token."""
-        c, s = self.rows(features, slot)
-        a, b = self.forward(c, s, slot)
-        at, (of, within) = np.arange(len(slot)), np.divmod(slot, self.side)
-        return (a[at, of] - self.class_bias[of] + b[at, within] - self.slot_bias[of, within]).astype(np.float64)
+        (of, a, _, _), (within, b, _, _) = self.forward(*self.rows(features, slot), slot)
+        return (a - self.class_bias[of] + b - self.slot_bias[of, within]).astype(np.float64)
+
+    def sums(self) -> tuple[np.ndarray, ...]:
+        """Zeros for gradient(): of the classes, of the slots (a row for each column of the weights), and the counts of both."""
+        return np.zeros(self.classes.shape[::-1]), np.zeros(self.slots.shape[::-1]), np.zeros(len(self.classes)), np.zeros(len(self.slots))
+
+    def gradient(self, features: np.ndarray, slot: np.ndarray, sums: tuple[np.ndarray, ...]) -> None:
+        """Adds the gradients at these weights, and how often each row of them occurs, to ``sums``."""
+        both = self.rows(features, slot)
+        for rows, (target, _, gradient, whole), total, seen in zip(both, self.forward(*both, slot), sums[:2], sums[2:], strict=True):
+            gradient /= -whole[:, None]
+            gradient[np.arange(len(slot)), target] += 1
+            flat = rows.ravel()
+            seen += np.bincount(flat, minlength=len(seen))
+            for k, column in enumerate(gradient.T.astype(np.float64)):
+                total[k] += np.bincount(flat, np.tile(column, 3), len(seen))
+
+    def step(self, sums: tuple[np.ndarray, ...], touched: tuple[np.ndarray, np.ndarray]) -> None:
+        """One update by summed gradients. A row's step falls with its occurrences in all rounds, and starts small, so that rare features stay near zero."""
+        for weights, total, n, seen in zip((self.classes, self.slots), sums[:2], sums[2:], touched, strict=True):
+            seen += n.astype(np.int64)
+            weights += (self.s.rate / np.sqrt((self.s.calm + n) * (self.s.calm + seen)) * total).T.astype(np.float32)
 
     def learn(self, features: np.ndarray, slot: np.ndarray, touched: tuple[np.ndarray, np.ndarray]) -> None:
-        """One gradient update. A row's step falls with its occurrences so far, and starts small, so that rare features stay near zero."""
-        c, s = self.rows(features, slot)
-        a, b = self.forward(c, s, slot)
-        at = np.arange(len(slot))
-        for rows, logs, target, weights, seen in ((c, a, slot // self.side, self.classes, touched[0]), (s, b, slot % self.side, self.slots, touched[1])):
-            gradient = -np.exp(logs)
-            gradient[at, target] += 1
-            flat = rows.ravel()
-            n = np.bincount(flat, minlength=len(weights))
-            seen += n
-            step = self.s.rate / (self.s.calm + seen)
-            for k in range(weights.shape[1]):
-                weights[:, k] += step * np.bincount(flat, np.tile(gradient[:, k], 3), len(weights))
+        """One update by the gradients of these tokens."""
+        sums = self.sums()
+        self.gradient(features, slot, sums)
+        self.step(sums, touched)
 
 
 def _held_out(id_col: str) -> Column:
@@ -204,15 +219,15 @@ def count_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 BLOCKS = 64
+_KINDS = np.float32, np.float32, np.int64, np.int64  # of the sums between tasks
 
 
 def _train_round(s: Settings, mass: np.ndarray, own: dict[bytes, int], shared, key: str):
-    """Each task's changes of the weights, times how often it touched a row, and these figures, in BLOCKS parts."""
+    """Each task's sums of gradients and occurrences, in BLOCKS parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        old = shared.value
-        w, vocabulary = Weights(s, mass, *old), _shared_vocabulary(key, own)
-        touched = np.zeros(s.class_rows, np.int64), np.zeros(s.slot_rows, np.int64)
+        w, vocabulary = Weights(s, mass, *shared.value), _shared_vocabulary(key, own)
+        sums = w.sums()
         any_ = False
         for batch in batches:
             texts = batch.column(0).to_pylist()
@@ -220,11 +235,10 @@ def _train_round(s: Settings, mass: np.ndarray, own: dict[bytes, int], shared, k
                 numbers, starts = vocabulary.numbers([t or "" for t in texts[i : i + 256]])
                 features, slot = w.features(vocabulary.hashes[numbers], starts), vocabulary.slots[numbers]
                 for j in range(0, len(slot), s.batch):
-                    w.learn(features[:, j : j + s.batch], slot[j : j + s.batch], touched)
+                    w.gradient(features[:, j : j + s.batch], slot[j : j + s.batch], sums)
                     any_ = True
         if any_:
-            deltas = [(new - before) * n[:, None].astype(np.float32) for new, before, n in zip((w.classes, w.slots), old, touched, strict=True)]
-            parts = [[p.astype(np.float32).tobytes() for p in np.array_split(x, BLOCKS)] for x in (*deltas, *touched)]
+            parts = [[p.astype(kind).tobytes() for p in np.array_split(x.T, BLOCKS)] for x, kind in zip(sums, _KINDS, strict=True)]
             part = TaskContext.get().partitionId() // 32
             yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([part] * BLOCKS, pa.int32()), *(pa.array(p, pa.binary()) for p in parts)], names=["block", "part", "c", "s", "nc", "ns"])
 
@@ -233,7 +247,7 @@ def _train_round(s: Settings, mass: np.ndarray, own: dict[bytes, int], shared, k
 
 def _sum(group: pa.Table) -> pa.Table:
     """Adds the arrays in the binary columns, one row after another."""
-    sums = [sum((np.frombuffer(x.as_py(), np.float32) for x in group.column(k)), np.float32(0)) for k in ("c", "s", "nc", "ns")]
+    sums = [sum((np.frombuffer(x.as_py(), kind) for x in group.column(k)), kind(0)) for k, kind in zip(("c", "s", "nc", "ns"), _KINDS, strict=True)]
     return pa.Table.from_arrays([group.column("block")[:1], group.column("part")[:1], *(pa.array([x.tobytes()], pa.binary()) for x in sums)], names=group.schema.names)
 
 
@@ -241,21 +255,25 @@ _ROUND = "block int, part int, c binary, s binary, nc binary, ns binary"
 
 
 def train(docs: DataFrame, mass: np.ndarray, own: dict[bytes, int], s: Settings, key: str, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """The weights after all rounds; a round takes the rows whose text's hash falls to it."""
+    """The weights after all rounds; a round takes the rows whose text's hash falls to it.
+
+    Each task sends sums of the weights' size, so a round has no more than two tasks a core.
+    """
     spark = docs.sparkSession
-    classes, slots = np.zeros((s.class_rows, CLASSES), np.float32), np.zeros((s.slot_rows, SLOTS), np.float32)
+    w, touched = Weights(s, mass), (np.zeros(s.class_rows, np.int64), np.zeros(s.slot_rows, np.int64))
     for r in range(s.rounds):
-        shared = spark.sparkContext.broadcast((classes, slots))
+        shared = spark.sparkContext.broadcast((w.classes, w.slots))
         texts = docs.select(F.col(text_col).cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(s.rounds)) == r)
-        changes = texts.mapInArrow(_train_round(s, mass, own, shared, key), _ROUND)
-        sums = changes.groupBy("block", "part").applyInArrow(_sum, _ROUND).groupBy("block").applyInArrow(_sum, _ROUND)
-        for row in sums.toLocalIterator():  # BLOCKS rows, of the weights' size together
-            i = row.block
-            for weights, change, n in ((classes, row.c, row.nc), (slots, row.s, row.ns)):
-                part = np.array_split(weights, BLOCKS)[i]
-                part += np.frombuffer(change, np.float32).reshape(part.shape) / np.maximum(np.frombuffer(n, np.float32), 1)[:, None]
+        made = texts.coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(_train_round(s, mass, own, shared, key), _ROUND)
+        added = made.groupBy("block", "part").applyInArrow(_sum, _ROUND).groupBy("block").applyInArrow(_sum, _ROUND)
+        sums = w.sums()
+        for row in added.toLocalIterator():  # BLOCKS rows, of the weights' size together
+            for total, data, kind in zip(sums, (row.c, row.s, row.nc, row.ns), _KINDS, strict=True):
+                part = np.array_split(total.T, BLOCKS)[row.block]
+                part += np.frombuffer(data, kind).reshape(part.shape)
+        w.step(sums, touched)
         shared.unpersist()
-    return classes, slots
+    return w.classes, w.slots
 
 
 def _scores(s: Settings, mass: np.ndarray, own: dict[bytes, int], shared, total: float, key: str):
