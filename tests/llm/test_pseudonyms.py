@@ -35,6 +35,19 @@ def test_formats():
     assert m.Pseudonyms(b"other").replace(text)[0] != new
 
 
+def test_numbers_followed_by_digits_and_capitals():
+    p = m.Pseudonyms(b"key")
+    for kind, value, after in [
+        ("card", "4111 1111 1111 1111", " 12/27"), ("card", "4111111111111111", " 20"), ("card", "4111 1111 1111 1111", " CVC"),
+        ("iban", "ES91 2100 0418 4502 0005 1332", " BIC"), ("iban", "ES91 2100 0418 4502 0005 1332", " 2024"),
+        ("phone", "+49 30 1234567", " AB"), ("phone", "+33 6 12 34 56 78", " 12"), ("phone", "942-555-3818", " 12"), ("phone", "942-555-3818", " 123"), ("phone", "+1 (942) 555-3818", " 12"),
+    ]:
+        alone, counts = p.replace(value)
+        assert alone != value and counts == [int(k == kind) for k in m.KINDS], value
+        assert p.replace(value + after) == (alone + after, counts), value + after
+        assert p.replace("1234 " + value + after)[0].endswith(alone + after) or kind == "phone"
+
+
 def test_query_and_cases(spark):
     sf = "/root/testdata/sf0.001"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

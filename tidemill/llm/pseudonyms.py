@@ -25,6 +25,11 @@ from pyspark.sql import functions as F
 from tidemill.llm.shared import with_columns
 
 KINDS = ("email", "ip", "date", "ssn", "iban", "card", "phone")
+_PHONE_FORMS = r"""(?P<phone>(?:\+|00)[1-9][0-9]{0,2}(?:[\x20.-]?\([0-9]{1,5}\))?(?:[\x20.-]?[0-9]{1,8}){1,6}
+    |(?:1[\x20.-]?)?\([0-9]{2,5}\)[\x20.-]?[0-9]{2,8}(?:[\x20.-][0-9]{2,8}){0,3}
+    |(?:1[\x20.-])?[0-9]{3}(?P<us>[\x20.-])[0-9]{3}(?P=us)[0-9]{4}
+    |0[0-9]{1,4}(?P<trunk>[\x20-])[0-9]{2,8}(?:(?P=trunk)[0-9]{2,8}){0,3})(?![A-Za-z0-9_])"""
+_PHONE = re.compile(_PHONE_FORMS, re.VERBOSE)
 _PATTERN = re.compile(
     r"""(?<![A-Za-z0-9._%+-])(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)
     |(?<![A-Za-z0-9_])(?:(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})
@@ -32,9 +37,16 @@ _PATTERN = re.compile(
     |(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})
     |(?P<iban>[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)
     |(?P<card>[0-9](?:[\x20-]?[0-9]){12,18})
-    |(?P<phone>(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)[\x20.-]?)?[0-9]{2,4}(?:[\x20.-][0-9]{2,4}){1,4}|\+[0-9]{8,15}))(?![A-Za-z0-9_])""",
+    |"""
+    + _PHONE_FORMS
+    + r")(?![A-Za-z0-9_])",
     re.VERBOSE,
 )
+_GROUP = re.compile(r"[A-Za-z0-9+(]+")
+_END = re.compile(r"(?<=[A-Za-z0-9])[\x20.-]")
+_IBAN = {c: int(n) for n, cs in (("15", "NO"), ("16", "BE"), ("18", "DK FI FO GL NL"), ("19", "MK SI"), ("20", "AT BA EE KZ LT LU XK"), ("21", "CH HR LI LV"), ("22", "BG BH CR DE GB GE IE ME RS VA"), ("23", "AE GI IL IQ TL"), ("24", "AD CZ ES MD PK RO SA SE SK TN VG"), ("25", "LY PT ST"), ("26", "IS TR"), ("27", "FR GR IT MC MR SM"), ("28", "AL AZ BY CY DO GT HU LB PL SV"), ("29", "BR EG PS QA UA"), ("30", "JO KW MU"), ("31", "MT SC"), ("32", "LC")) for c in cs.split()}
+#: Digits after a country code, where all numbers of the country have as many.
+_NATIONAL = {"1": 10, "7": 10, "31": 9, "33": 9, "34": 9, "41": 9, "44": 10, "45": 8, "47": 8, "48": 9, "61": 9, "86": 11, "91": 10}
 _FIRST, _DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal() - dt.date(1900, 1, 1).toordinal()
 
 
@@ -75,6 +87,18 @@ def luhn(digits: str) -> int:
     return -sum(sum(divmod(int(d) * (2 - i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10
 
 
+def _usual(digits: str) -> bool:
+    """Has the length that cards of these first digits have."""
+    n, two, four = len(digits), int(digits[:2]), int(digits[:4])
+    if digits[0] == "4":
+        return n in (13, 16, 19)
+    if two in (34, 37):
+        return n == 15
+    if two in (30, 36, 38, 39):
+        return n == 14
+    return n == 16 and (51 <= two <= 55 or 2221 <= four <= 2720 or two in (35, 62, 64, 65) or four == 6011)
+
+
 def _mod97(s: str) -> int:
     return int("".join(str(int(c, 36)) for c in s)) % 97
 
@@ -148,31 +172,63 @@ class Pseudonyms:
     def card(self, s: str) -> str | None:
         d = _digits(s)
         if luhn(d[:-1]) != int(d[-1]):
-            return self.phone(s)
+            return None
         new = f"{self.permute(int(d[:-1]), 10 ** (len(d) - 1), 'card'):0{len(d) - 1}}"
         return _refill(s, new + str(luhn(new)))
 
     def phone(self, s: str) -> str | None:
         d = _digits(s)
-        if not 8 <= len(d) <= 15 or d == s:
+        if not 8 <= len(d) <= 15 or d == s or s[0] == "0" and s[1] != "0" and not 9 <= len(d) <= 11:
             return None
         lead = d[:-10]  # the country code stays
         rest = d[len(lead) :]
         return _refill(s, lead + f"{self.permute(int(rest), 10 ** len(rest), 'phone'):0{len(rest)}}")
 
+    def _found(self, kind: str, s: str) -> tuple[str, str, int] | None:
+        """Kind, pseudonym and length of what a match begins with, if anything of it is valid.
+
+        Digits or capitals that follow a number can look like its last groups, so shorter ends are tried: first those
+        of the length that the number's first characters ask for, then the whole match.
+        """
+        if kind in ("card", "iban", "phone"):
+            for end in [len(s), *(m.start() for m in reversed(list(_END.finditer(s))))]:
+                part = s[:end]
+                if self._of_usual_length(kind, part) and (new := getattr(self, kind)(part)) is not None:
+                    return kind, new, end
+        new = getattr(self, kind)(s)
+        return None if new is None else (kind, new, len(s))
+
+    @staticmethod
+    def _of_usual_length(kind: str, part: str) -> bool:
+        d = _digits(part)
+        if kind == "card":
+            return len(d) > 12 and _usual(d)
+        if kind == "iban":
+            return len(part.replace(" ", "")) == _IBAN.get(part[:2])
+        if not part.startswith(("+", "00")):
+            return False
+        d = d[2:] if part[0] == "0" else d
+        return any(d.startswith(code) and len(d) == len(code) + n for code, n in _NATIONAL.items())
+
     def replace(self, text: str) -> tuple[str, list[int]]:
         """The text with pseudonyms, and how many of each kind."""
         counts = [0] * len(KINDS)
-
-        def one(match: re.Match) -> str:
-            kind = match.lastgroup
-            new = getattr(self, kind)(match[0])
-            if new is None:
-                return match[0]
+        if not re.search("[0-9@]", text):
+            return text, counts
+        out, done, at = [], 0, 0
+        while match := _PATTERN.search(text, at):
+            kind, start = match.lastgroup, match.start()
+            found = self._found(kind, match[0])
+            if found is None and kind == "card" and (phone := _PHONE.match(text, start)):
+                found = self._found("phone", phone[0])
+            if found is None:  # another may begin within it
+                at = max(start + 1, _GROUP.match(text, start).end()) if kind in ("card", "iban", "phone") else match.end()
+                continue
+            kind, new, length = found
             counts[KINDS.index(kind)] += 1
-            return new
-
-        return (_PATTERN.sub(one, text), counts) if re.search("[0-9@]", text) else (text, counts)
+            out += [text[done:start], new]
+            done = at = start + length
+        return "".join([*out, text[done:]]), counts
 
 
 def pseudonymize(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
