@@ -48,6 +48,11 @@ def test_numbers_followed_by_digits_and_capitals():
         assert p.replace("1234 " + value + after)[0].endswith(alone + after) or kind == "phone"
 
 
+def test_numbers_without_a_phone_mark_stay():
+    clean = "In 1914-1918 and 1990-1995, at 12.50 13.75 or 12 34 56 78, pages 100-150 200-250, 1.234.567 of 12 345 678, 2020 2021 2022."
+    assert m.Pseudonyms(b"key").replace(clean) == (clean, [0] * 7)
+
+
 def test_query_and_cases(spark):
     sf = "/root/testdata/sf0.001"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
