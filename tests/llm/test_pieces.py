@@ -67,3 +67,11 @@ def test_query_and_cases(spark):
     assert [r.n_pieces for r in got.collect()][:2] == [0, 0]
     assert [r.text for r in m.decode(got, PATH).collect()] == ["", "", " x", "ab" * 100_000]
     assert m.encode(df.limit(0), PATH).count() == 0
+
+
+def test_bytes_of_one_line_of_ascii_are_counted(spark):
+    library = SentencePieceProcessor(model_file=PATH)
+    texts = ["a\tb\tc", "\0", "one line\r", "no such character ~!@#^", "\x7f"]
+    want = [sum(map(library.is_byte, library.encode(t))) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert [r.n_byte_pieces for r in m.encode(df, PATH).orderBy("doc_id").collect()] == want and want[0] == 2
