@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidemill.llm import packing, queries, token_files
+from tidemill.llm import bpe, packing, queries, token_files
 from tidemill.llm.bpe import Encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,10 +23,23 @@ def _want(spark, end):
 
 def test_ids_equal_the_library():
     encoder, rng = Encoder(PATH), random.Random(3)
-    odd = [" ", "  ", "\n", "\t", "a", "b.", "'s", "don't", "1", "\xb2", "\xe9", "\xa0", "　", "\r\n", "_", "<|endoftext|>", "\x1c", "!?", "中文", "\U0001f642", "‍", "́", "\x85", "x,", "A;B", " ", "Ⅷ", "\xaa", "\xb5", "\xdf"]
+    odd = [" ", "  ", "\n", "\n\n", " x", " y\n", "\t", "a", "b.", "'s", "don't", "1", "\xb2", "\xe9", "\xa0", "　", "\r\n", "_", "<|endoftext|>", "\x1c", "!?", "中文", "\U0001f642", "‍", "́", "\x85", "x,", "A;B", " ", "Ⅷ", "\xaa", "\xb5", "\xdf"]
     for _ in range(5000):
         s = "".join(rng.choice(odd) for _ in range(rng.randrange(12)))
         assert encoder.encode(s) == encoder._whole(s), repr(s)
+    plain = ["a", "b.", " c", " d\n", "e\n", "\ng", "\n", " ", "h's", " 12"]  # white space of the plain path
+    for _ in range(5000):
+        s = "".join(rng.choice(plain) for _ in range(rng.randrange(12)))
+        assert encoder.encode(s) == encoder._whole(s), repr(s)
+
+
+def test_remembered_stretches_are_bounded():
+    small = Encoder(PATH, memory=1 << 20)
+    for i in range(20_000):
+        small.encode(f"word{i} and {'x' * 100}{i}")
+    held = [small.known, small.known.older]
+    assert all(len(k) <= bpe.SHORT for m in held for k in m)
+    assert sum(bpe._COST + 2 * len(k) + len(v) for m in held for k, v in m.items()) < 1.1 * (1 << 20)
 
 
 def test_packing_against_brute_force(spark):
@@ -100,7 +113,7 @@ def test_files_cases(spark, tmp_path):
 @given(st.lists(st.one_of(st.integers(0, 2**32 - 1), st.integers(0, 50)), min_size=1, max_size=300), st.sampled_from([0.0, 0.5, 0.95, 1.0]))
 def test_blocks_round_trip(values, percentile):
     v = np.array(values, "<u4")
-    assert (token_files.decode_block(token_files.encode_block(v, percentile)) == v).all()
+    assert (token_files.decode_blocks(b"".join(token_files.encode_blocks(v, len(v), percentile)), [0]) == v).all()
     half = len(v) // 2
     data = token_files.encode_file([5, None], [v[:half].tobytes(), v[half:].tobytes()], 16, percentile)
     ids, starts, n = token_files.read_documents(data)

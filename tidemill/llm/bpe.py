@@ -6,6 +6,10 @@ space, and the ids of what lies between are remembered, so that the library
 encodes each distinct stretch once in a while and not each time. Texts with
 characters whose class isn't certain, or with a special token's string, go
 through the library whole.
+
+Only stretches of at most ``SHORT`` characters are remembered, and only so many
+that they stay within ``MEMORY`` bytes, so neither very many nor very long
+stretches (text without spaces) fill a worker.
 """
 
 from __future__ import annotations
@@ -14,15 +18,19 @@ import json
 import os
 import re
 import struct
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 
-MOST = 400_000  # remembered stretches in a Python worker
+MEMORY = 192 << 20  # bytes that a Python worker's remembered stretches may take, by a rough count
+SHORT = 64
+_COST = 200  # bytes of an entry without its characters and ids
 _STRETCH = re.compile(r" ?\S+|\s+(?!\S)|\s")
 _UNSURE = "\x1c\x1d\x1e\x1f"  # white space to Python, not to the tokenizer
+_OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 # A word of ASCII or Latin-1 letters and closing marks: the pattern cuts between the two and nowhere else.
-_WORD = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+_WORD = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
 _encoders: dict[str, Encoder] = {}
 
@@ -34,15 +42,39 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-class Encoder(dict):
-    """Maps a stretch to its ids; a dictionary that works out what it misses."""
+def _odd_space(text: str) -> bool:
+    """Whether there is white space other than single spaces between words and one or two ends of line."""
+    return any(s in text for s in ("  ", " \n", "\n ", "\n\n\n")) or text.endswith("\n\n") or _OTHER_SPACE.search(text) is not None
+
+
+class Remembered(dict):
+    """Keeps ``made(key)`` of short keys in two generations, of ``memory`` bytes together; longer ones are made each time."""
+
+    def __init__(self, made, memory: int = MEMORY) -> None:
+        super().__init__()
+        self.made, self.half, self.used, self.older = made, memory // 2, 0, {}
 
-    def __init__(self, path: str) -> None:
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.made(key)
+        if len(key) <= SHORT:
+            if self.used > self.half:
+                self.older, self.used = dict(self), 0
+                self.clear()
+            self[key] = value
+            self.used += _COST + 2 * len(key) + len(value)
+        return value
+
+
+class Encoder:
+    """Encodes by stretches. One that follows a space is remembered without it; one that doesn't has a space after it there."""
+
+    def __init__(self, path: str, memory: int = MEMORY) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
-        super().__init__()
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         plain = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
@@ -51,30 +83,33 @@ class Encoder(dict):
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         letters = [c for c in map(chr, range(256)) if c.isalpha() and c not in "\xaa\xb5\xba"]
         self.alphabet = {ord(c): level.pre_tokenize_str(c)[0][0] for c in [" ", *letters]}
-        self.older: dict[str, bytes] = {}
+        self.known = Remembered(self._stretch, memory)
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
         if any(c in text for c in _UNSURE) or any(s in text for s in self.special) or not self.ready:
             return self._whole(text)
-        if len(self) > MOST:
-            self.older = dict(self)
-            self.clear()
-        return b"".join(map(self.__getitem__, _STRETCH.findall(text)))
-
-    def __missing__(self, stretch: str) -> bytes:
-        ids = self.older.get(stretch)
-        if ids is None:
-            word = _WORD.fullmatch(stretch)
-            if not word:
-                ids = self._whole(stretch)
-            elif word[2]:
-                ids = self[word[1]] + self[word[2]]
-            else:
-                found = [t.id for t in self.library.model.tokenize(stretch.translate(self.alphabet))]
-                ids = struct.pack(f"<{len(found)}I", *found)
-        self[stretch] = ids
-        return ids
+        if _odd_space(text):
+            return b"".join([self.known[s[1:] if s[0] == " " and not s.isspace() else f"{s} "] for s in _STRETCH.findall(text)])
+        parts = text.replace("\n", " \n").split(" ")
+        parts[0] += " "
+        return b"".join(itemgetter(*parts)(self.known)) if len(parts) > 1 else self.known[parts[0]]
+
+    def _stretch(self, key: str) -> bytes:
+        if key[-1:] == " ":
+            stretch = key[:-1]
+        elif key[:1] == "\n":  # an end of line and what follows it
+            return self.known["\n "] + self.known[key[1:] + " "]
+        else:
+            stretch = " " + key
+        word = _WORD.fullmatch(stretch)
+        if not word:
+            return self._whole(stretch)
+        if word[2]:
+            first = word[1]
+            return self.known[first[1:] if first[0] == " " else first + " "] + self.known[word[2] + " "]
+        found = [t.id for t in self.library.model.tokenize(stretch.translate(self.alphabet))]
+        return struct.pack(f"<{len(found)}I", *found)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

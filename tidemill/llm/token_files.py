@@ -38,38 +38,94 @@ _HEAD = struct.Struct("<IIQQ")
 _BLOCK = struct.Struct("<IIBI")
 
 
-def encode_block(values: np.ndarray, percentile: float = 0.95) -> bytes:
-    """One block of uint32 values, one at least."""
-    low = int(values.min())
-    diff = (values - np.uint32(low)).astype("<u4")
-    rank = min(len(diff) - 1, int(percentile * len(diff)))
-    width = int(np.partition(diff, rank)[rank]).bit_length()
-    odd = np.flatnonzero(diff >> np.uint32(width)) if width < 32 else np.empty(0, np.int64)
-    size = 16 if width <= 16 else 32
-    bits = np.unpackbits(diff.astype(f"<u{size // 8}").view(np.uint8), bitorder="little").reshape(-1, size)[:, :width]
-    packed = np.packbits(bits, bitorder="little").tobytes()
-    return b"".join((_BLOCK.pack(low, len(diff), width, len(odd)), packed, odd.astype("<u4").tobytes(), diff[odd].tobytes()))
-
-
-def decode_block(data: bytes | memoryview, at: int = 0) -> np.ndarray:
-    low, n, width, n_odd = _BLOCK.unpack_from(data, at)
-    at += _BLOCK.size
-    n_bytes = (n * width + 7) // 8
-    bits = np.unpackbits(np.frombuffer(data, np.uint8, n_bytes, at), count=n * width, bitorder="little").reshape(n, width)
-    size = 16 if width <= 16 else 32
-    wide = np.zeros((n, size), np.uint8)
-    wide[:, :width] = bits
-    diff = np.packbits(wide, bitorder="little").view(f"<u{size // 8}").astype("<u4")
-    at += n_bytes
-    if n_odd:
-        diff[np.frombuffer(data, "<u4", n_odd, at)] = np.frombuffer(data, "<u4", n_odd, at + 4 * n_odd)
-    return diff + np.uint32(low)
+def _pack_words(diffs: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bits of uint32 values (blocks x values, a multiple of 32), one after another, as 32-bit words."""
+    groups = diffs.reshape(len(diffs), -1, 32)
+    words = np.zeros((*groups.shape[:2], width), "<u4")
+    mask = np.uint32((1 << width) - 1)
+    for i in range(32 if width else 0):
+        word, shift = divmod(i * width, 32)
+        x = groups[:, :, i] & mask
+        words[:, :, word] |= x << np.uint32(shift)
+        if shift + width > 32:
+            words[:, :, word + 1] |= x >> np.uint32(32 - shift)
+    return words.reshape(len(diffs), -1)
+
+
+def _unpack_words(words: np.ndarray, width: int) -> np.ndarray:
+    """The values again, from blocks x words."""
+    groups = words.reshape(len(words), -1, width) if width else words.reshape(len(words), -1, 1)
+    out = np.zeros((*groups.shape[:2], 32), "<u4")
+    mask = np.uint32((1 << width) - 1)
+    for i in range(32 if width else 0):
+        word, shift = divmod(i * width, 32)
+        x = groups[:, :, word] >> np.uint32(shift)
+        if shift + width > 32:
+            x = x | groups[:, :, word + 1] << np.uint32(32 - shift)
+        out[:, :, i] = x & mask
+    return out.reshape(len(words), -1)
+
+
+def encode_blocks(values: np.ndarray, block: int, percentile: float = 0.95) -> list[bytes]:
+    """Blocks of uint32 values; those of one width are packed together."""
+    n = len(values)
+    if not n:
+        return []
+    counts = np.full(-(-n // block), block)
+    counts[-1] = n - block * (len(counts) - 1)
+    held = -(-block // 32) * 32
+    diffs = np.zeros((len(counts), held), "<u4")
+    whole = n // block
+    diffs[:whole, :block] = values[: whole * block].reshape(whole, block)
+    if whole < len(counts):
+        diffs[-1, : counts[-1]] = values[whole * block :]
+    inside = np.arange(held) < counts[:, None]
+    lows = np.where(inside, diffs, np.uint32(0xFFFFFFFF)).min(1)
+    diffs = np.where(inside, diffs - lows[:, None], np.uint32(0))
+    widths, odd = np.zeros(len(counts), np.int64), [np.empty(0, np.int64)] * len(counts)
+    for b, m in enumerate(counts.tolist()):
+        rank = min(m - 1, int(percentile * m))
+        widths[b] = int(np.partition(diffs[b, :m], rank)[rank]).bit_length()
+        if widths[b] < 32:
+            odd[b] = np.flatnonzero(diffs[b, :m] >> np.uint32(widths[b]))
+    packed: list[bytes] = [b""] * len(counts)
+    for width in np.unique(widths).tolist():
+        same = np.flatnonzero(widths == width)
+        for b, words in zip(same.tolist(), _pack_words(diffs[same], width), strict=True):
+            packed[b] = words.tobytes()[: (counts[b] * width + 7) // 8]
+    return [
+        b"".join((_BLOCK.pack(low, m, width, len(o)), bits, o.astype("<u4").tobytes(), diffs[b, o].tobytes()))
+        for b, (low, m, width, o, bits) in enumerate(zip(lows.tolist(), counts.tolist(), widths.tolist(), odd, packed, strict=True))
+    ]
+
+
+def decode_blocks(data: bytes, places: list[int]) -> np.ndarray:
+    """The values of the blocks at these places; those of one width and size are unpacked together."""
+    heads = [_BLOCK.unpack_from(data, at) for at in places]
+    starts = np.cumsum([0, *(h[1] for h in heads)])
+    out = np.empty(int(starts[-1]), "<u4")
+    alike: dict[tuple[int, int], list[int]] = {}
+    for b, (_, n, width, _) in enumerate(heads):
+        alike.setdefault((n, width), []).append(b)
+    for (n, width), blocks in alike.items():
+        n_bytes, held = (n * width + 7) // 8, -(-n // 32) * width * 4
+        words = np.zeros((len(blocks), held or 4 * -(-n // 32)), np.uint8)
+        for row, b in zip(words, blocks, strict=True):
+            row[:n_bytes] = np.frombuffer(data, np.uint8, n_bytes, places[b] + _BLOCK.size)
+        for values, b in zip(_unpack_words(words.view("<u4"), width), blocks, strict=True):
+            low, _, _, n_odd = heads[b]
+            diff = values[:n]
+            at = places[b] + _BLOCK.size + n_bytes
+            if n_odd:
+                diff[np.frombuffer(data, "<u4", n_odd, at)] = np.frombuffer(data, "<u4", n_odd, at + 4 * n_odd)
+            out[starts[b] : starts[b + 1]] = diff + np.uint32(low)
+    return out
 
 
 def encode_file(ids: list[int | None], texts: list[bytes], block: int = 4096, percentile: float = 0.95) -> bytes:
     """A file of documents given as little-endian uint32 ids."""
     values = np.frombuffer(b"".join(texts), "<u4")
-    blocks = [encode_block(values[i : i + block], percentile) for i in range(0, len(values), block)]
+    blocks = encode_blocks(values, block, percentile)
     starts = np.cumsum([0, *(len(t) // 4 for t in texts)])[:-1]
     head = len(MAGIC) + _HEAD.size + 8 * len(blocks) + 17 * len(ids)
     places = head + np.cumsum([0, *map(len, blocks)])[:-1]
@@ -96,7 +152,7 @@ def read_values(data: bytes, first: int = 0, last: int | None = None) -> np.ndar
         return np.empty(0, "<u4")
     places = np.frombuffer(data, "<u8", n_blocks, len(MAGIC) + _HEAD.size)
     low = first // block
-    out = np.concatenate([decode_block(data, int(places[b])) for b in range(low, (last - 1) // block + 1)])
+    out = decode_blocks(data, places[low : (last - 1) // block + 1].tolist())
     return out[first - low * block : last - low * block]
 
 
