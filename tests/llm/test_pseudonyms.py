@@ -1,3 +1,5 @@
+import datetime as dt
+import random
 import re
 
 from hypothesis import given, settings
@@ -53,6 +55,74 @@ def test_numbers_without_a_phone_mark_stay():
     assert m.Pseudonyms(b"key").replace(clean) == (clean, [0] * 7)
 
 
+def test_inverses():
+    p = m.Pseudonyms(b"key")
+    values = {
+        "email": ["re.46@mail8.example.com", "A" * 200 + "@x.org", "ab1-" * 1250 + "@long.example.net"], "ip": ["10.0.0.1", "255.255.255.255"],
+        "date": ["2024-02-29", "29/02/2024", "02/29/2024", "1900.01.01", "31-12-2099"], "ssn": ["123-45-6789"], "iban": ["GB82 WEST 1234 5698 7654 32", "ES9121000418450200051332"],
+        "card": ["4111 1111 1111 1111", "378282246310005"], "phone": ["+1 (942) 555-3818", "942-555-3818", "+49 30 1234567"],
+    }
+    for kind, each in values.items():
+        for value in each:
+            new = getattr(p, kind)(value)
+            assert new != value and getattr(p, kind)(new, back=True) == value, value
+
+
+def test_long_addresses_are_permuted_throughout():
+    p, rng = m.Pseudonyms(b"key"), random.Random(1)
+    for n in (100, 200, 300, 5000):
+        value = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        new = p.replace(f"to {value}@x.com now")[0][3 : 3 + n]
+        assert all(sum(a == b for a, b in zip(value[i : i + 50], new[i : i + 50])) < 15 for i in range(0, n, 50))
+    assert p.replace("a" * 1_000_000 + "@x.com")[1][0] == 1
+
+
+def test_dates_of_one_layout_get_different_strings():
+    p, days = m.Pseudonyms(b"key"), [dt.date(1990, 1, 1) + dt.timedelta(i) for i in range(3000)]
+    strings = {f"{d.day:02}/{d.month:02}/{d.year}" for d in days} | {f"{d.month:02}/{d.day:02}/{d.year}" for d in days}
+    assert len({p.date(s) for s in strings}) == len(strings)
+
+
+def _plain(text):
+    """Spans of what the documents hold, by patterns of its own: addresses, IPv4, US phones, SSN, cards."""
+    found = [(x.start(), x.end(), "email") for x in re.finditer(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+", text, re.A)]
+    for x in re.finditer(r"\d+\.\d+\.\d+\.\d+", text, re.A):
+        if all(len(o) < 4 and int(o) < 256 for o in x[0].split(".")):
+            found.append((x.start(), x.end(), "ip"))
+    found += [(x.start(), x.end(), "phone") for x in re.finditer(r"(?:\+?1[ .-])?(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]\d{4}", text, re.A)]
+    found += [(x.start(), x.end(), "ssn") for x in re.finditer(r"\d{3}-\d\d-\d{4}", text, re.A)]
+    for x in re.finditer(r"(?<!\w)\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?!\w)", text, re.A):
+        digits = [int(c) for c in x[0] if c.isdigit()]
+        if sum(d if i % 2 else sum(map(int, str(2 * d))) for i, d in enumerate(digits)) % 10 == 0:
+            found.append((x.start(), x.end(), "card"))
+    return sorted(found)
+
+
+def test_query_against_plain_version(spark):
+    sf, back = "/root/testdata/sf0.01", {}
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries.op7_pseudonyms(spark, sf).collect()
+    p, seen = m.Pseudonyms(queries.PSEUDONYM_KEY), 0
+    assert len(rows) == len(docs)
+    for r in rows:
+        old, at, spans = docs[r.doc_id], 0, _plain(docs[r.doc_id])
+        assert len(spans) == sum(r[f"n_{k}"] for k in m.KINDS), r.doc_id
+        if not any(k == "ip" for *_, k in spans):
+            assert len(old) == len(r.text)
+        new, done = r.text, 0
+        for start, end, kind in spans:  # what lies between stays, and the pseudonym stands where the value was
+            gap = old[done:start]
+            assert new[at : at + len(gap)] == gap
+            at += len(gap)
+            value = old[start:end]
+            size = len(re.match(r"[\d.]+\d", new[at:], re.A)[0]) if kind == "ip" else len(value)
+            other = new[at : at + size]
+            assert getattr(p, kind)(other, back=True) == value and back.setdefault((kind, other), value) == value
+            at, done, seen = at + size, end, seen + 1
+        assert new[at:] == old[done:]
+    assert seen > 20
+
+
 def test_query_and_cases(spark):
     sf = "/root/testdata/sf0.001"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

@@ -5,7 +5,11 @@ card number stays a card number (Luhn), an IBAN keeps valid check digits, a date
 stays a date between 1900 and 2099, and separators stay where they are. Equal
 values get equal pseudonyms in every document, whatever their separators; different
 values get different ones. Letters and digits of an e-mail address are permuted
-within their classes. Numbers that fail validation are left alone.
+within their classes, in blocks of ``BLOCK`` characters, each by a permutation that
+the blocks before choose; the top-level domain stays. Days after the 12th stay
+after the 12th, so that a date with the month first, which can be told only by
+that, doesn't get the string of another with the day first. Numbers that fail
+validation are left alone.
 
 Null text stays null, empty text empty; whole texts are read. Repeated rows are
 rows of their own, an empty table gives an empty result, other columns don't matter.
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.shared import with_columns
 
+BLOCK = 128  # characters of an address permuted together
 KINDS = ("email", "ip", "date", "ssn", "iban", "card", "phone")
 _PHONE_FORMS = r"""(?P<phone>(?:\+|00)[1-9][0-9]{0,2}(?:[\x20.-]?\([0-9]{1,5}\))?(?:[\x20.-]?[0-9]{1,8}){1,6}
     |(?:1[\x20.-]?)?\([0-9]{2,5}\)[\x20.-]?[0-9]{2,8}(?:[\x20.-][0-9]{2,8}){0,3}
@@ -51,14 +56,19 @@ _FIRST, _DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal()
 
 
 class Feistel:
-    """Permutations of 0..size-1, one for each (kind, size), by alternating rounds on the two halves and walking until in range."""
+    """Permutations of 0..size-1, one for each (kind, size), by alternating rounds on the two halves and walking until in range.
+
+    Sizes stay below 2^768, so that a half has 384 bits at most and a round's 512 cover it.
+    """
 
     def __init__(self, key: bytes, rounds: int = 8) -> None:
         self.key, self.rounds = hashlib.blake2b(key, digest_size=32).digest(), rounds
 
     def _mix(self, kind: str, size: int, i: int, half: int, modulus: int) -> int:
-        said = f"{kind}:{size}:{i}:{half}".encode()
-        return int.from_bytes(hashlib.blake2b(said, key=self.key, digest_size=40).digest(), "big") % modulus
+        n = size.bit_length() // 8 + 1
+        said = f"{kind}:{n}:{i}:".encode() + size.to_bytes(n, "big") + half.to_bytes(n, "big")
+        out = hashlib.blake2b(said, key=self.key).digest()  # 128 bits more than the half of a block has
+        return int.from_bytes(out, "big") % modulus
 
     def permute(self, x: int, size: int, kind: str, back: bool = False) -> int:
         low = isqrt(size - 1) + 1 if size > 1 else 1
@@ -108,31 +118,42 @@ def _digits(s: str) -> str:
 
 
 class Pseudonyms:
+    """Pseudonyms of single values, None for what isn't valid; ``back`` gives the value of a pseudonym."""
+
     def __init__(self, key: bytes) -> None:
         self.permute = Feistel(key).permute
 
-    def email(self, s: str) -> str | None:
+    def email(self, s: str, back: bool = False) -> str | None:
         own, _, rest = s.rpartition(".")
         sizes = [26 if c.isalpha() else 10 if c.isdigit() else 1 for c in own]
+        layout = "".join(c if n == 1 else "a" if n == 26 else "0" for c, n in zip(own, sizes, strict=True))
+        tweak, out = hashlib.blake2b(layout.encode(), digest_size=16), []
+        for i in range(0, len(own), BLOCK):
+            part = self._letters(own[i : i + BLOCK], sizes[i : i + BLOCK], f"email:{tweak.hexdigest()}", back)
+            out.append(part)
+            tweak.update((own[i : i + BLOCK] if back else part).lower().encode())
+        return "".join(out) + "." + rest
+
+    def _letters(self, own: str, sizes: list[int], kind: str, back: bool) -> str:
         value, size = 0, 1
         for c, n in zip(own.lower(), sizes, strict=True):
             value, size = value * n + (ord(c) - (97 if n == 26 else 48) if n > 1 else 0), size * n
-        value = self.permute(value, size, "email:" + "".join(c if n == 1 else "a" if n == 26 else "0" for c, n in zip(own, sizes, strict=True)))
+        value = self.permute(value, size, kind, back)
         out = []
         for c, n in zip(reversed(own), reversed(sizes), strict=True):
             value, x = divmod(value, n)
             new = c if n == 1 else chr(x + (97 if n == 26 else 48))
             out.append(new.upper() if c.isupper() else new)
-        return "".join(reversed(out)) + "." + rest
+        return "".join(reversed(out))
 
-    def ip(self, s: str) -> str | None:
+    def ip(self, s: str, back: bool = False) -> str | None:
         octets = [int(x) for x in s.split(".")]
         if max(octets) > 255:
             return None
-        new = self.permute(int.from_bytes(bytes(octets), "big"), 2**32, "ip")
+        new = self.permute(int.from_bytes(bytes(octets), "big"), 2**32, "ip", back)
         return ".".join(map(str, new.to_bytes(4, "big")))
 
-    def date(self, s: str) -> str | None:
+    def date(self, s: str, back: bool = False) -> str | None:
         a, b, c = parts = re.split(r"[-/.]", s)
         for order in ((0, 1, 2),) if len(a) == 4 else ((2, 1, 0), (2, 0, 1)):
             try:
@@ -141,12 +162,17 @@ class Pseudonyms:
                 continue
             if not 0 <= day.toordinal() - _FIRST < _DAYS:
                 return None
-            new = dt.date.fromordinal(_FIRST + self.permute(day.toordinal() - _FIRST, _DAYS, "date"))
+            new, late = day.toordinal() - _FIRST, day.day > 12
+            while True:
+                new = self.permute(new, _DAYS, "date", back)
+                if (dt.date.fromordinal(_FIRST + new).day > 12) == late:
+                    break
+            new = dt.date.fromordinal(_FIRST + new)
             values = dict(zip(order, (f"{new.year:04}", f"{new.month:02}", f"{new.day:02}"), strict=True))
             return s[len(a)].join(values[i] for i in range(3))
         return None
 
-    def ssn(self, s: str) -> str | None:
+    def ssn(self, s: str, back: bool = False) -> str | None:
         def valid(d: str) -> bool:
             return d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
 
@@ -154,35 +180,35 @@ class Pseudonyms:
         if not valid(new):
             return None
         while True:
-            new = f"{self.permute(int(new), 10**9, 'ssn'):09}"
+            new = f"{self.permute(int(new), 10**9, 'ssn', back):09}"
             if valid(new):
                 return _refill(s, new)
 
-    def iban(self, s: str) -> str | None:
+    def iban(self, s: str, back: bool = False) -> str | None:
         plain = s.replace(" ", "")
         body = plain[4:]
         digits = _digits(body)
         if not digits or _mod97(body + plain[:4]) != 1:
             return None
-        body = _refill(body, f"{self.permute(int(digits), 10 ** len(digits), 'iban:' + plain[:2] + _refill(body, '0' * len(digits))):0{len(digits)}}")
+        body = _refill(body, f"{self.permute(int(digits), 10 ** len(digits), 'iban:' + plain[:2] + _refill(body, '0' * len(digits)), back):0{len(digits)}}")
         new = plain[:2] + f"{98 - _mod97(body + plain[:2] + '00'):02}" + body
         chars = iter(new)
         return "".join(c if c == " " else next(chars) for c in s)
 
-    def card(self, s: str) -> str | None:
+    def card(self, s: str, back: bool = False) -> str | None:
         d = _digits(s)
         if luhn(d[:-1]) != int(d[-1]):
             return None
-        new = f"{self.permute(int(d[:-1]), 10 ** (len(d) - 1), 'card'):0{len(d) - 1}}"
+        new = f"{self.permute(int(d[:-1]), 10 ** (len(d) - 1), 'card', back):0{len(d) - 1}}"
         return _refill(s, new + str(luhn(new)))
 
-    def phone(self, s: str) -> str | None:
+    def phone(self, s: str, back: bool = False) -> str | None:
         d = _digits(s)
         if not 8 <= len(d) <= 15 or d == s or s[0] == "0" and s[1] != "0" and not 9 <= len(d) <= 11:
             return None
         lead = d[:-10]  # the country code stays
         rest = d[len(lead) :]
-        return _refill(s, lead + f"{self.permute(int(rest), 10 ** len(rest), 'phone'):0{len(rest)}}")
+        return _refill(s, lead + f"{self.permute(int(rest), 10 ** len(rest), 'phone', back):0{len(rest)}}")
 
     def _found(self, kind: str, s: str) -> tuple[str, str, int] | None:
         """Kind, pseudonym and length of what a match begins with, if anything of it is valid.
