@@ -1,7 +1,14 @@
+import math
+import random
+import re
+import time
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
 from tidemill.llm import language as m
-from tidemill.llm import queries
+from tidemill.llm import queries, shared
 
 SF = "/root/testdata/sf0.01"
 
@@ -39,7 +46,89 @@ def test_evidence_and_cases(spark):
 
 def test_hot_keys_make_no_difference(spark, monkeypatch):
     found = []
-    for hot in (1, m.HOT, 1 << 40):  # no key is hot, some are, all are
-        monkeypatch.setattr(m, "HOT", hot)
+    for hot in (1, shared.HOT, 1 << 40):  # no key is hot, some are, all are
+        monkeypatch.setattr(shared, "HOT", hot)
         found.append(sorted(map(str, queries.op10_language_id(spark, "/root/testdata/sf0.001").collect())))
     assert found[0] == found[1] == found[2] and len(found[0]) > 200
+
+
+def test_markup_in_one_pass():
+    old = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)  # says the same, in more than one pass
+    rng, bits = random.Random(2), ["<", ">", "<!--", "-->", "<script>", "</script >", "<STYLE a", "</style>", "a", " b<c", "</", "\n", "<scripts>"]
+    for _ in range(5000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(12)))
+        assert m.strip_markup(text) == old.sub(" ", text), repr(text)
+    began = time.process_time()
+    for bit in ("<!--", "<script>", "<", "<style></script>", "<!-- >", "<html lan"):
+        m.strip_markup(bit * 300_000)
+    assert time.process_time() - began < 30
+
+
+def test_too_many_labels(spark):
+    df = spark.range(20).selectExpr("'a' AS text", "cast(id AS string) AS lang")
+    assert len(m.train(df)[0]) == 20
+    with pytest.raises(ValueError, match="more than 19"):
+        m.train(df, most_labels=19)
+
+
+def _plain(rows, langs, like, weight=20.0, temper=200):
+    """The fusion row by row: rows of (id, text, url, declared)."""
+    n, seen = len(langs), []
+    best = lambda x: max(range(n), key=lambda i: (x[i], -i))
+    for key, text, url, declared in rows:
+        data = b" " + b" ".join(re.sub(r"<[^>]*>", " ", text or "").lower().encode().split()) + b" "
+        cells = [((data[i] << 16 | data[i + 1] << 8 | data[i + 2]) * 2654435761 % 2**32) >> 17 for i in range(len(data) - 2)]
+        scores = [sum(like[i][c] for c in cells) for i in range(n)]
+        scores = [(x - max(scores)) * min(1.0, temper / len(cells)) if cells else 0.0 for x in scores]
+        host = (re.match(r"[a-z]+://([^/]+)", url or "") or [None, None])[1]
+        parts = host.split(".") if host else []
+        domain, suffix = (".".join(parts[-2:]), parts[-1]) if len(parts) > 1 else (None, None)
+        text_best = best(scores) if max(scores) > min(scores) else None
+        seen.append({"id": key, "scores": scores, "host": host, "domain": domain, "suffix": suffix, "declared": declared.lower() if declared else None, "text": text_best})
+    totals = Counter(r["text"] for r in seen)
+    tables = {k: {} for k in ("declared", "suffix")}
+    for k, table in tables.items():
+        for r in seen:
+            if r[k] is not None and r["text"] is not None:
+                table.setdefault(r[k], Counter())[r["text"]] += 1
+    for r in seen:
+        fused = list(r["scores"])
+        for k, table in tables.items():
+            if r[k] is not None:
+                fused = [x + math.log((table.get(r[k], Counter())[i] + 0.5) / (totals[i] + 0.5 * n)) for i, x in enumerate(fused)]
+        informed = r["text"] is not None or any(r[k] in tables[k] for k in tables)
+        r["fused"], r["vote"] = fused, best(fused) if informed else None
+    votes = {k: {} for k in ("host", "domain", "suffix")}
+    for k in votes:
+        for r in seen:
+            if r[k] is not None:
+                votes[k].setdefault(r[k], Counter())[r["vote"]] += 1
+    overall, out = Counter(r["vote"] for r in seen), {}
+    for r in seen:
+        own = [int(r["vote"] == i) for i in range(n)]
+        total = sum(overall[i] for i in range(n))
+        prior = [(overall[i] - own[i] + 1.0) / (total + n - (r["vote"] is not None)) for i in range(n)]
+        for k in ("suffix", "domain", "host"):
+            c = votes[k].get(r[k], Counter()) if r[k] is not None else Counter()
+            c = [max(0, c[i] - own[i]) for i in range(n)]
+            prior = [(c[i] + weight * prior[i]) / (sum(c) + weight) for i in range(n)]
+        final = [r["fused"][i] + math.log(prior[i]) for i in range(n)]
+        top = best(final)
+        out[r["id"]] = (langs[top], 1 / sum(math.exp(x - final[top]) for x in final), langs[r["text"]] if r["text"] is not None else None)
+    return out
+
+
+def test_fusion_against_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    langs, like = m.train(docs)
+    rows = [(r.doc_id, r.text[:2000], f"http://{r.source}.{'a' if r.doc_id % 3 else 'b'}.{r.lang if r.doc_id % 5 else 'com'}/x", r.lang.upper() if r.doc_id % 4 == 0 else None) for r in docs.collect()]
+    hosts = [r[2] for r in rows[:40]]
+    rows += [(1000 + i, text, url, None) for i, (text, url) in enumerate(zip(["a", "la", "en", "die", "", "un la", "x1", None] * 5, hosts))]
+    rows += [(2000, None, None, None), (2001, "", "odd", "de"), (2002, "le", "http://localhost/", "xx")]
+    got = {r.doc_id: r for r in m.identify(spark.createDataFrame(rows, "doc_id int, text string, url string, declared string"), langs, like).collect()}
+    want, changed = _plain(rows, langs, like.tolist()), 0
+    assert got.keys() == want.keys()
+    for i, (lang, posterior, text_lang) in want.items():
+        assert (got[i].lang, got[i].text_lang) == (lang, text_lang) and abs(got[i].posterior - posterior) < 2e-6, i
+        changed += text_lang is not None and lang != text_lang
+    assert changed > 3  # rows on which the other evidence outweighs the text

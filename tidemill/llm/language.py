@@ -9,7 +9,7 @@ and this towards that of all rows; all are grouped counts of the rows whose text
 and declarations suggest the language, and a row's own count is left out. Domains
 and suffixes add up the counts of their hosts, so rows meet a table only by host
 and by suffix. A key that holds more than a ``HOT``-th of all rows is broadcast;
-its rows, and rows without a key, aren't shuffled.
+its rows, and rows without a key, aren't shuffled (``shared.joined``).
 
 Rows with null or empty text have no text evidence; with no evidence at all they
 get the overall prior. A null label is not used in training. Null or odd
@@ -29,16 +29,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.shared import scratch, with_columns, written
+from tidemill.llm.shared import joined, scratch, with_columns, written
 
 CELLS = 1 << 15
-HOT = 1000
-_TAGS = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+_HIDDEN = re.compile(r"<(?:(script|style)\b|!--)", re.I)
+_ENDS = {"script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</style\s*>", re.I), "!--": re.compile("-->"), "tag": re.compile(">")}
 
 
 def strip_markup(html: str) -> str:
-    """The text between the tags; scripts, styles and comments go."""
-    return _TAGS.sub(" ", html)
+    """The text between the tags; scripts, styles and comments go.
+
+    One pass: an end that isn't found from some place on isn't looked for again. What has no end of its own kind is a tag up
+    to the next ``>``, and text without one.
+    """
+    out, at, missing = [], 0, set()
+    while (start := html.find("<", at)) >= 0:
+        hidden = _HIDDEN.match(html, start)
+        kinds = ["tag"] if not hidden else [(hidden[1] or "!--").lower(), "tag"]
+        for kind in kinds:
+            end = None if kind in missing else _ENDS[kind].search(html, hidden.end() if kind != "tag" else start)
+            if end:
+                break
+            missing.add(kind)
+        if not end:
+            break
+        out += [html[at:start], " "]
+        at = end.end()
+    return "".join([*out, html[at:]])
 
 
 def _cells(text: str) -> np.ndarray:
@@ -50,10 +67,16 @@ def _cells(text: str) -> np.ndarray:
     return ((mixed * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64)
 
 
-def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages and their log likelihoods of the cells, languages x CELLS. Each task counts for itself; as many rows are shuffled as languages and cells, for each task."""
+def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", most_labels: int = 200) -> tuple[list[str], np.ndarray]:
+    """Languages and their log likelihoods of the cells, languages x CELLS. Each task counts for itself; as many rows are shuffled as languages and cells, for each task.
+
+    More than ``most_labels`` labels are an error: a task holds a quarter of a megabyte for each.
+    """
     source = docs.where(F.col(label_col).isNotNull()).select(F.col(label_col).cast("string").alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
+    if source.select("lang").distinct().limit(most_labels + 1).count() > most_labels:
+        raise ValueError(f"more than {most_labels} values in {label_col}")
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -101,18 +124,6 @@ def _log_counts(counts: list[Column], prior: list[Column], weight: float) -> lis
     return [(n + weight * p) / (total + weight) for n, p in zip(counts, prior, strict=True)]
 
 
-def _joined(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
-    """``rows`` with the columns of a written ``table`` that has a row for each key and, in ``n__``, how many of the ``total`` rows have it.
-
-    Fewer than HOT keys can have more than a HOT-th of the rows, which bounds what is broadcast.
-    """
-    is_hot = F.col("n__") * HOT > total
-    hot = table.where(is_hot)
-    at_once = rows.join(F.broadcast(hot), key, "left").where(F.col(key).isNull() | F.col("n__").isNotNull())
-    others = rows.where(F.col(key).isNotNull()).join(F.broadcast(hot.select(key)), key, "left_anti")
-    return at_once.unionByName(others.join(table.where(~is_hot), key, "left")).drop("n__")
-
-
 def identify(rows: DataFrame, langs: list[str], likelihood: np.ndarray, text_col: str = "text", url_col: str = "url", declared_col: str = "declared", keep: tuple[str, ...] = ("doc_id",), weight: float = 20.0, temper: int = 200) -> DataFrame:
     """``keep``, lang, posterior, text_lang, declared, host for each row.
 
@@ -122,7 +133,7 @@ def identify(rows: DataFrame, langs: list[str], likelihood: np.ndarray, text_col
         return rows.select(*keep, *(F.lit(None).cast(k).alias(n) for n, k in (("lang", "string"), ("posterior", "double"), ("text_lang", "string"), ("declared", "string"), ("host", "string"))))
     n = len(langs)
     host = F.lower(F.regexp_extract(url_col, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    declared = F.lower(F.regexp_extract(F.coalesce(F.col(declared_col), F.regexp_extract(text_col, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", 1)), r"^([A-Za-z]{2,3})(?:$|[-_])", 1))
+    declared = F.lower(F.regexp_extract(F.coalesce(F.col(declared_col), F.regexp_extract(text_col, r"(?i)<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", 1)), r"^([A-Za-z]{2,3})(?:$|[-_])", 1))
     kept = [F.col(k).alias(f"keep{i}__") for i, k in enumerate(keep)]
     named = [*kept, host.alias("host"), declared.alias("declared")]
     scored = with_columns(rows, text_col, _text_scores(likelihood, temper), "scores array<double>", named)
@@ -152,7 +163,7 @@ def identify(rows: DataFrame, langs: list[str], likelihood: np.ndarray, text_col
 
     *totals, n_rows = scored.agg(*counts("text_best"), F.count(F.lit(1))).first()
     # Two or three letters: fewer than 20,000 declared values.
-    with_values = _joined(scored, values("suffix"), "suffix", n_rows).join(F.broadcast(values("declared").drop("n__")), "declared", "left")
+    with_values = joined(scored, values("suffix"), "suffix", n_rows).join(F.broadcast(values("declared").drop("n__")), "declared", "left")
     fused = F.array(*(F.col("scores")[i] + a + b for i, (a, b) in enumerate(zip(likelihoods("declared_n"), likelihoods("suffix_n"), strict=True))))
     informed = F.col("text_best").isNotNull() | F.col("declared_n").isNotNull() | F.col("suffix_n").isNotNull()
     fused = written(with_values.withColumn("fused", fused).withColumn("vote", F.when(informed, _best(F.col("fused")))).drop("declared_n", "suffix_n"), "fused", folder)
@@ -163,8 +174,8 @@ def identify(rows: DataFrame, langs: list[str], likelihood: np.ndarray, text_col
     for key in ("domain", "suffix"):
         sums = F.array(*(F.sum(F.col("host_n")[i]) for i in range(n))).alias(f"{key}_n")
         general = hosts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n__"), sums)
-        hosts = written(_joined(hosts, written(general, key, folder), key, n_hosts), f"hosts_{key}", folder)
-    out = _joined(fused, hosts.drop("domain", "suffix").withColumnRenamed("rows__", "n__"), "host", n_rows)
+        hosts = written(joined(hosts, written(general, key, folder), key, n_hosts), f"hosts_{key}", folder)
+    out = joined(fused, hosts.drop("domain", "suffix").withColumnRenamed("rows__", "n__"), "host", n_rows)
     own = [F.when(F.col("vote") == i + 1, 1).otherwise(0) for i in range(n)]
     prior = [(F.lit(overall[i]) - own[i] + 1.0) / (F.lit(sum(overall) + n) - F.col("vote").isNotNull().cast("int")) for i in range(n)]
     for key in ("suffix", "domain", "host"):
