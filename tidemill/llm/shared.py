@@ -5,23 +5,38 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+HOT = 1000
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; a local one if that is unset, as in tests."""
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
+
+    If that is unset, a local folder is made where driver and executors are one process, as in tests; elsewhere it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    local = spark.sparkContext.master.split("[")[0] == "local"
     if not root:
+        if not local:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidemill-")
         spark.conf.set("spark.checkpoint.dir", root)
     elif "://" not in root and not root.startswith("file:"):
-        root = "file://" + root if spark.sparkContext.master.startswith("local") else root
-    return f"{root.rstrip('/')}/tidemill-{uuid.uuid4().hex}"
+        root = "file://" + root if local else root
+    _made.append(f"{root.rstrip('/')}/tidemill-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
@@ -37,18 +52,67 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def without(rows: DataFrame, dropped: DataFrame, name: str = "dropped") -> DataFrame:
-    """The ``doc`` of those rows whose ``row__`` is not among ``dropped``'s.
+@contextmanager
+def removed_after(spark: SparkSession) -> Iterator[None]:
+    """Scratch folders made inside are deleted at its end: for a step whose result has been written elsewhere by then."""
+    before = len(_made)
+    yield
+    for folder in _made[before:]:
+        remove(spark, folder)
+    del _made[before:]
+
+
+def joined(rows: DataFrame, table: DataFrame, key: str, total: int, inner: bool = False, keep_n: bool = False) -> DataFrame:
+    """``rows`` with the columns of a written ``table`` that has a row for each key and, in ``n__``, how many of the ``total`` rows have it.
+
+    Fewer than HOT keys can have more than a HOT-th of the rows, which bounds what is broadcast; their rows, and rows without a
+    key, aren't shuffled.
+    """
+    is_hot = F.col("n__") * HOT > total
+    hot = table.where(is_hot)
+    at_once = rows.join(F.broadcast(hot), key, "inner" if inner else "left")
+    if not inner:
+        at_once = at_once.where(F.col(key).isNull() | F.col("n__").isNotNull())
+    others = rows.where(F.col(key).isNotNull()).join(F.broadcast(hot.select(key)), key, "left_anti")
+    out = at_once.unionByName(others.join(table.where(~is_hot), key, "inner" if inner else "left"))
+    return out if keep_n else out.drop("n__")
+
+
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The ``doc`` of those rows of a written table whose ``row__`` is not among ``dropped``'s.
 
-    Only the numbers of dropped rows are written; while their table is below Spark's broadcast threshold the texts aren't
-    shuffled, beyond it Spark joins by sorting on row numbers, which are unique.
+    The numbers of dropped rows are written by the task that gave them, and whoever reads that task's rows reads its list, so
+    texts aren't shuffled, however many rows are dropped.
     """
-    return rows.join(written(dropped.select("row__"), name), "row__", "left_anti").select("doc.*")
+    path = f"{scratch(rows.sparkSession)}/dropped"
+    numbers = dropped.select("row__", F.shiftright("row__", _TASK_BITS).alias("task__"))
+    numbers.repartition("task__").sortWithinPartitions("task__").write.partitionBy("task__").parquet(path)
+    schema = rows.schema["doc"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path)
+        lists: dict[int, np.ndarray] = {}
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            stays = np.ones(len(numbers), bool)
+            for task in np.unique(numbers >> _TASK_BITS).tolist():
+                if task not in lists:
+                    found = store.get_file_info(fs.FileSelector(f"{root}/task__={task}", allow_not_found=True))
+                    files = [f.path for f in found if f.path.endswith(".parquet")]
+                    lists = {task: np.concatenate([pq.read_table(f, columns=["row__"], filesystem=store, partitioning=None).column(0).to_numpy() for f in files] or [numbers[:0]])}
+                stays &= ~np.isin(numbers, lists[task])
+            kept = batch.filter(pa.array(stays))
+            yield pa.RecordBatch.from_arrays(kept.column(1).flatten(), names=schema.names)
+
+    return rows.select("row__", "doc").mapInArrow(run, schema)
+
+
+_TASK_BITS = 33
 
 
 def first_row_number() -> int:
     """The number of a task's first row; numbers of different tasks don't meet."""
-    return TaskContext.get().partitionId() << 33
+    return TaskContext.get().partitionId() << _TASK_BITS
 
 
 Maker = Callable[[], Callable[[pa.RecordBatch, list[str]], list[pa.Array]]]

@@ -1,23 +1,30 @@
-"""Near-duplicate groups by SimHash fingerprints and vantage-point partitions.
-
-A fingerprint has 64 bits; two link at ``radius`` or fewer differing bits. Equal
-fingerprints are one node, so copies cost nothing in the search.
-
-The search is a forest of vantage-point partitions that all executors share:
-
-* Radius + 1 trees, each over another block of the bits. Two linked fingerprints
-  agree on one block at least (pigeonhole), so a tree's first split may take
-  masked distance 0 from each block value and needs no overlap.
-* A shard that is still large is partitioned by Hamming distance from a vantage
-  point, in rings wider than the radius. By the triangle inequality a pair lies
-  in one ring or in neighbouring ones, and a fingerprint within the radius of the
-  ring before is queried there too. This is repeated while shards are large.
-* In a shard, fingerprints are ordered by distance from a vantage point and each
-  is compared only with those whose distance differs by no more than the radius.
-
-Every pair within the radius is compared exactly in some shard. A shard reports a
-spanning forest of its links, not all pairs; components come from alternating
-large-star and small-star joins, written to the shared folder after each round.
+"""Near-duplicate groups by SimHash fingerprints and vantage-point trees.
+
+Two fingerprints link at ``radius`` or fewer differing bits. Equal fingerprints are
+one node, so copies cost nothing in the search. Unrelated fingerprints are about
+as far from each other as from any vantage point, so rings alone can't part them;
+a forest of trees therefore begins with shards by a key that linked nodes share:
+
+* ``near_dedup``, 64 bits and a small radius: radius + 1 trees, each over another
+  block of the bits. Linked fingerprints agree on one block (pigeonhole), that is,
+  they lie at masked distance 0 from one vantage value.
+* ``drop_near_copies``, 512 bits and a radius that stands for a similarity of the
+  texts' shingles: the smallest shingle hashes. Of two texts at similarity s, the
+  smallest hash of both together is in both with probability s.
+
+Within the shards trees are of full Hamming distance. A shard of more than
+``shard_rows`` is split by Spark in rings around a vantage point, wider than the
+radius. By the triangle inequality a pair lies in one ring or in neighbouring
+ones, so a node within the radius of the ring before is queried there too. All of
+the innermost ring are linked to the vantage point, so it is dealt to several
+tasks. Smaller shards are split further in a task, down to leaves of ``LEAF``;
+pairs of rings that are apart by more than the radius are never compared, nor is
+what is united already. Shards that rings don't part become blocks, and tasks get
+pairs of blocks, so no pair within the radius is missed.
+
+A shard reports a spanning forest of its links, not all pairs; components come
+from alternating large-star and small-star joins, written to the shared folder
+after each round.
 
 Null text counts as empty; a text without words has fingerprint zero, which links
 like any other. A null id is never the smallest unless a group has no other.
@@ -27,103 +34,257 @@ Repeated rows are rows of their own. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import acos, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidemill.llm.shared import first_row_number, scratch, with_columns, without, written
+from tidemill.llm.shared import first_row_number, joined, removed_after, scratch, with_columns, without, written
+
+LEAF = 128
+BLOCK = 1 << 18  # distances held at once
+WORDS = 8  # of 64 bits in a wide fingerprint
+SAMPLE = 16  # smallest shingle hashes of a text
+_MIX = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB]
+
+
+def _words(text: str) -> list[bytes]:
+    """Bytes: A-Z only are lowered, white space is [\\x20\\x09-\\x0D]."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def _majority(hashes: np.ndarray) -> bytes:
+    """The bits set in over half the rows of uint64 words."""
+    wide = hashes.shape[1]
+    counts = np.zeros(64 * wide, np.int64)
+    for i in range(0, len(hashes), 255):  # as many as 8 bits can count
+        part = hashes[i : i + 255].astype("<u8", copy=False).view(np.uint8).reshape(-1, 8 * wide)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").tobytes()
 
 
 def fingerprint(text: str, width: int = 4) -> int:
-    """The bits set in over half the XXH64 hashes of the text's shingles of ``width`` words."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, white space [\x20\x09-\x0D]
+    """The bits set in over half the XXH64 hashes of the text's shingles of ``width`` words, repeats included."""
+    words = _words(text)
     if not words:
         return 0
-    joined = b" ".join(words)
+    joined_ = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))[: max(1, len(words) - width + 1)].tolist()
     ends = (ends[min(width, len(words)) - 1 :] - 1).tolist()
-    hashes = np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts))
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 14):
-        part = hashes[i : i + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
+    hashes = np.fromiter((xxh64_intdigest(joined_[a:b], 42) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts))
+    return int.from_bytes(_majority(hashes[:, None]), "little")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(_MIX[1])
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(_MIX[2])
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def shingle_hashes(text: str, width: int = 5) -> np.ndarray:
+    """The hashes of the distinct shingles of ``width`` words, ascending; the whole sequence's if it is shorter."""
+    words = _words(text)
+    if not words:
+        return np.empty(0, np.uint64)
+    each = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+    n, total = max(1, len(words) - width + 1), np.zeros(max(1, len(words) - width + 1), np.uint64)
+    for k in range(min(width, len(words))):
+        total = total * np.uint64(_MIX[0]) + each[k : k + n]
+    return np.unique(_mixed(total))
 
 
-def _fingerprints(width: int):
-    def make():
-        number = first_row_number()
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """64 * WORDS bits, each set where over half the shingles have it set."""
+    if not len(hashes):
+        return bytes(8 * WORDS)
+    seeds = (np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(_MIX[0]))[None, :]
+    return _majority(_mixed(hashes[:, None] ^ seeds))
+
+
+def radius_for(similarity: float, bits: int = 64 * WORDS) -> int:
+    """Differing bits that two texts of this share of common shingles have, and one standard deviation more.
+
+    Sets of equal size at Jaccard similarity s lie at an angle of acos(2s / (1 + s)), and a bit differs with the angle's share of pi.
+    """
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    return round(bits * p + sqrt(bits * p * (1 - p)))
+
+
+def _numbers(docs: DataFrame, text_col: str, keep: list[Column] | None, make, fields: str) -> DataFrame:
+    def run():
+        number, one = first_row_number(), make()
 
         def columns(batch: pa.RecordBatch, texts: list[str]) -> list[pa.Array]:
             nonlocal number
-            prints = np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)
             number += len(texts)
-            return [pa.array(prints), pa.array(np.arange(number - len(texts), number))]
+            return [*one(texts), pa.array(np.arange(number - len(texts), number))]
 
         return columns
 
-    return make
-
-
-def linked(prints: np.ndarray, radius: int) -> np.ndarray:
-    """For each of the distinct uint64 fingerprints the place of the one that stands for its component, itself if it has no link."""
-    n = len(prints)
-    far = np.bitwise_count(prints ^ prints[0])
-    order = np.argsort(far, kind="stable")
-    prints, far = prints[order], far[order].astype(np.int64)
-    label = np.arange(n)
-    step = max(1, (1 << 19) // n)
-    for i in range(0, n, step):
-        stop = min(n, i + step)
-        until = int(np.searchsorted(far, far[stop - 1] + radius, "right"))
-        near = np.bitwise_count(prints[i:stop, None] ^ prints[None, i:until]) <= radius
-        a, b = np.nonzero(near)
-        a, b = a[a < b] + i, b[a < b] + i
+    return with_columns(docs, text_col, run, f"{fields}, row__ long", keep)
+
+
+def _narrow(width: int):
+    return lambda: lambda texts: [pa.array(np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64))]
+
+
+def _wide(width: int):
+    def one(texts: list[str]) -> list[pa.Array]:
+        prints, keys = [], []
+        for text in texts:
+            hashes = shingle_hashes(text, width)
+            prints.append(wide_fingerprint(hashes))
+            keys.append(hashes[:SAMPLE].view(np.int64))
+        return [pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+
+    return lambda: one
+
+
+class Shard:
+    """Unites the distinct fingerprints of a shard (rows of uint64 words) that chains of links connect."""
+
+    def __init__(self, prints: np.ndarray, radius: int) -> None:
+        self.prints, self.radius, self.label, self.compared = prints, radius, np.arange(len(prints)), 0
+        self.todo: list[tuple[np.ndarray, np.ndarray | None]] = [(self.label.copy(), None)]
+
+    def roots(self) -> np.ndarray:
+        """For each row the place of the one that stands for its component."""
+        while self.todo:
+            a, b = self.todo.pop()
+            if b is None:
+                self.within(a)
+            else:
+                self.between(a, b)
+        return self.label
+
+    def far(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Distances of rows a from rows b."""
+        self.compared += len(a) * len(b)
+        x, y = self.prints[a], self.prints[b]
+        out = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0]).astype(np.int16)
+        for w in range(1, x.shape[1]):
+            out += np.bitwise_count(x[:, None, w] ^ y[None, :, w])
+        return out
+
+    def unite(self, a: np.ndarray, b: np.ndarray) -> None:
+        label = self.label
         while len(a):
             x, y = label[a], label[b]
-            open_ = x != y
-            if not open_.any():
-                break
-            a, b, x, y = a[open_], b[open_], x[open_], y[open_]
-            low, high = np.minimum(x, y), np.maximum(x, y)
-            np.minimum.at(label, high, low)
+            apart = x != y
+            if not apart.any():
+                return
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
             while (label[label] != label).any():
-                label = label[label]
-    out = np.empty(n, np.int64)
-    out[order] = order[label]
-    return out
-
-
-def _links(radius: int):
-    def edges(shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        prints = np.unique(shard)
-        if len(prints) < 2:
-            return prints[:0], prints[:0]
-        root = linked(prints.view(np.uint64), radius)
-        other = root != np.arange(len(prints))
-        return prints[other], prints[root[other]]
+                label[:] = label[label]
+
+    def compare(self, a: np.ndarray, b: np.ndarray) -> None:
+        """All of a with all of b."""
+        step = max(1, BLOCK // len(b))
+        for i in range(0, len(a), step):
+            x, y = np.nonzero(self.far(a[i : i + step], b) <= self.radius)
+            self.unite(a[i : i + step][x], b[y])
+
+    def rings(self, rows: np.ndarray, vantage: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+        """Distances from the vantage point, to which those within the radius are united, and the places of each ring's rows."""
+        far = self.far(rows, vantage)[:, 0].astype(np.int64)
+        near = rows[far <= self.radius]
+        self.unite(near, np.broadcast_to(vantage, near.shape))
+        ring = far // (self.radius + 1)
+        return far, {int(r): np.flatnonzero(ring == r) for r in np.unique(ring)}
+
+    def within(self, a: np.ndarray) -> None:
+        if len(a) <= LEAF:
+            if len(a) > 1:
+                self.compare(a, a)
+            return
+        far, rings = self.rings(a, a[:1])
+        if max((len(p) for r, p in rings.items() if r), default=0) > 0.9 * len(a):
+            self.unparted(a)
+            return
+        for r, places in rings.items():
+            if r:  # all of ring 0 are united
+                self.todo.append((a[places], None))
+            if r + 1 in rings:
+                after = rings[r + 1]
+                low, high = far[after].min() - self.radius, far[places].max() + self.radius
+                self.todo.append((a[places[far[places] >= low]], a[after[far[after] <= high]]))
+
+    def unparted(self, a: np.ndarray) -> None:
+        """Rings don't part these rows: the largest component among them needs no comparisons of its own."""
+        roots, n = np.unique(self.label[a], return_counts=True)
+        if n.max() > max(LEAF, len(a) // 8):
+            united = self.label[a] == roots[n.argmax()]
+            self.todo += [(a[united], a[~united]), (a[~united], None)]
+        else:
+            for i in range(0, len(a), LEAF):
+                self.compare(a[i : i + LEAF], a[i:])
+
+    def between(self, a: np.ndarray, b: np.ndarray) -> None:
+        for _ in range(2):
+            if len(a) and len(b) and (self.label[a] == self.label[a[0]]).all():
+                b = b[self.label[b] != self.label[a[0]]]
+            a, b = b, a
+        if not len(a) or not len(b):
+            return
+        if len(a) < len(b):
+            a, b = b, a
+        if len(a) * len(b) > LEAF * LEAF:
+            far_a, rings_a = self.rings(a, a[:1])
+            far_b, rings_b = self.rings(b, a[:1])
+            parts = []
+            for r, x in rings_a.items():
+                for s in (r - 1, r, r + 1):
+                    if s in rings_b and (r or s):
+                        y = rings_b[s]
+                        x2 = x[(far_a[x] >= far_b[y].min() - self.radius) & (far_a[x] <= far_b[y].max() + self.radius)]
+                        y2 = y[(far_b[y] >= far_a[x].min() - self.radius) & (far_b[y] <= far_a[x].max() + self.radius)]
+                        parts.append((a[x2], b[y2]))
+            if sum(len(x) * len(y) for x, y in parts) <= 0.8 * len(a) * len(b):
+                self.todo += parts
+                return
+        for i in range(0, len(a), LEAF):
+            self.compare(a[i : i + LEAF], b)
+            if (self.label[b] == self.label[b[0]]).all():  # one component: what belongs to it needs no further comparison
+                rest = a[i + LEAF :]
+                a = np.concatenate((a[: i + LEAF], rest[self.label[rest] != self.label[b[0]]]))
+
+
+def _forest(radius: int, words: int):
+    """Links that connect what is connected in each shard; rows come sorted by shard."""
+
+    def edges(nodes: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        nodes, first = np.unique(nodes, return_index=True)
+        if len(nodes) < 2:
+            return nodes[:0], nodes[:0]
+        roots = Shard(prints[first], radius).roots()
+        other = roots != np.arange(len(nodes))
+        return nodes[other], nodes[roots[other]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []  # a shard can go on in the next batch
         for batch in batches:
-            shards, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            shards, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            prints = np.column_stack([batch.column(2 + w).to_numpy() for w in range(words)]).view(np.uint64)
             cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
             found = []
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
                 if shards[a] != now and held:
-                    found.append(edges(np.concatenate(held)))
+                    found.append(edges(*map(np.concatenate, zip(*held, strict=True))))
                     held = []
                 now = shards[a]
-                held.append(prints[a:b])
+                held.append((nodes[a:b], prints[a:b]))
             yield _edge_batch(found)
         if held:
-            yield _edge_batch([edges(np.concatenate(held))])
+            yield _edge_batch([edges(*map(np.concatenate, zip(*held, strict=True)))])
 
     return run
 
@@ -133,33 +294,73 @@ def _edge_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(p, pa.int64()) for p in parts], names=["a", "b"])
 
 
-def links(prints: DataFrame, radius: int = 4, shard_rows: int = 20_000, depth: int = 6) -> DataFrame:
-    """Links (a, b) that connect whatever is connected at ``radius`` or fewer bits; prints: a written table of distinct longs ``fp__``."""
-    edge = [64 * i // (radius + 1) for i in range(radius + 2)]
-    blocks = [F.shiftrightunsigned("fp__", lo).bitwiseAND((1 << (hi - lo)) - 1) for lo, hi in zip(edge, edge[1:], strict=False)]
-    keys = [F.xxhash64(F.lit(t), key) for t, key in enumerate(blocks)]
-    shards = prints.select(F.explode(F.array(*keys)).alias("shard__"), "fp__")
-    ring = radius + 1
-    folder = scratch(prints.sparkSession)
-    ready = []
-    for level in range(depth):
-        large = shards.groupBy("shard__").agg(F.count(F.lit(1)).alias("n__"), F.min("fp__").alias("vantage__")).where(F.col("n__") > shard_rows)
-        large = written(large.select("shard__", "vantage__"), f"large{level}", folder)
+def links(shards: DataFrame, radius: int, words: int, shard_rows: int = 16_384) -> DataFrame:
+    """Links (a, b) that connect whatever is connected within the shards: shard__ long, node__ long, f0__ long and so on, ``words`` of them."""
+    names = [f"f{w}__" for w in range(words)]
+    folder, ready, balls = scratch(shards.sparkSession), [], []
+    shards = shards.select("shard__", "node__", *names, F.lit(1 << 62).alias("from__"))
+    level = 0
+    while True:
+        point = F.min_by(F.struct(F.col("node__").alias("v__"), *(F.col(f).alias(f"v{f}") for f in names)), F.xxhash64("node__", F.lit(level))).alias("p__")
+        sizes = shards.groupBy("shard__").agg(F.count(F.lit(1)).alias("n__"), F.min("from__").alias("of__"), point)
+        large = written(sizes.where(F.col("n__") > shard_rows).select("shard__", "n__", "of__", "p__.*"), f"large{level}", folder)
         if not large.take(1):
             break
-        ready.append(shards.join(large, "shard__", "left_anti"))
-        far = F.bit_count(F.col("fp__").bitwiseXOR(F.col("vantage__")))
-        own, before = F.floor(far / ring), F.floor((far - radius) / ring)
-        rings = F.when((before < own) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
-        split = shards.join(large, "shard__").select("shard__", "fp__", F.explode(rings).alias("ring__"))
-        shards = written(split.select(F.xxhash64("shard__", "ring__").alias("shard__"), "fp__"), f"split{level}", folder)
+        ready.append(shards.join(large, "shard__", "left_anti").select("shard__", "node__", *names))
+        split = shards.join(large, "shard__")
+        stuck = F.col("n__") > 0.9 * F.col("of__")
+        # What rings don't part: blocks, and a shard for each pair of them.
+        n = F.ceil(2 * F.col("n__") / shard_rows)
+        own = F.pmod(F.xxhash64("node__"), n)
+        cells = F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda j: F.xxhash64("shard__", F.least(own, j), F.greatest(own, j)))
+        ready.append(split.where(stuck).select(F.explode(cells).alias("shard__"), "node__", *names))
+        far = sum(F.bit_count(F.col(f).bitwiseXOR(F.col(f"v{f}"))) for f in names)
+        split = split.where(~stuck).withColumn("far__", far).withColumn("ring__", F.floor(F.col("far__") / (radius + 1)).cast("long"))
+        parts = F.ceil(F.col("n__") / shard_rows)
+        inner = F.xxhash64("shard__", F.lit(0).cast("long"), F.pmod(F.xxhash64("node__"), parts))
+        every_inner = F.transform(F.sequence(F.lit(0).cast("long"), (parts - 1).cast("long")), lambda s: F.xxhash64("shard__", F.lit(0).cast("long"), s))
+        ring = lambda r: F.array(F.xxhash64("shard__", r, F.lit(0).cast("long")))
+        touches = F.floor((F.col("far__") - radius) / (radius + 1)) < F.col("ring__")
+        before = F.when(~touches, F.array().cast("array<bigint>")).when(F.col("ring__") == 1, every_inner).otherwise(ring(F.col("ring__") - 1))
+        targets = F.when(F.col("ring__") == 0, F.array(inner)).otherwise(F.concat(ring(F.col("ring__")), before))
+        balls.append(written(split.where("ring__ = 0 AND node__ <> v__").select(F.col("node__").alias("a"), F.col("v__").alias("b")), f"ball{level}", folder))
+        shards = written(split.select(F.explode(targets).alias("shard__"), "node__", *names, F.col("n__").alias("from__")), f"split{level}", folder)
+        level += 1
+    out = shards.select("shard__", "node__", *names)
     for more in ready:
-        shards = shards.unionByName(more)
-    return shards.repartition("shard__").sortWithinPartitions("shard__").mapInArrow(_links(radius), "a long, b long")
+        out = out.unionByName(more)
+    out = out.repartition("shard__").sortWithinPartitions("shard__").mapInArrow(_forest(radius, words), "a long, b long")
+    for more in balls:
+        out = out.unionByName(more)
+    return out
+
+
+def block_shards(prints: DataFrame, radius: int) -> DataFrame:
+    """Distinct longs fp__ in radius + 1 shards, by blocks of their bits."""
+    edge = [64 * i // (radius + 1) for i in range(radius + 2)]
+    blocks = [F.shiftrightunsigned("fp__", lo).bitwiseAND((1 << (hi - lo)) - 1) for lo, hi in zip(edge, edge[1:], strict=False)]
+    keys = [F.xxhash64(F.lit(t), key) for t, key in enumerate(blocks)]
+    return prints.select(F.explode(F.array(*keys)).alias("shard__"), F.col("fp__").alias("node__"), F.col("fp__").alias("f0__"))
+
+
+def sample_shards(prints: DataFrame, per_node: int = SAMPLE // 2) -> DataFrame:
+    """Nodes in the shards of the rarest ``per_node`` of their sampled shingles that other nodes share.
+
+    Of two texts' samples most are common at similarity 0.8, so a node with more than half of its sample for itself (with
+    probability 1 - 10^-4 or more it has no partner) is in no shard. prints: node__, fp__ binary, keys__ array<long>.
+    """
+    keys = prints.where(F.size("keys__") > 0).select("node__", F.size("keys__").alias("k__"), F.explode("keys__").alias("key__"))
+    counts = written(keys.groupBy("key__").agg(F.count(F.lit(1)).alias("n__")).where("n__ > 1"), "keys")
+    shared_ = joined(keys, counts, "key__", prints.count(), inner=True, keep_n=True)
+    rarest = F.array_sort(F.collect_list(F.struct("n__", "key__"))).alias("keys__")
+    chosen = shared_.groupBy("node__").agg(F.first("k__").alias("k__"), rarest).where(2 * F.size("keys__") >= F.col("k__"))
+    word = lambda w: F.conv(F.substring(F.hex("fp__"), 16 * w + 1, 16), 16, -10).cast("long").alias(f"f{w}__")
+    shards = chosen.select("node__", F.explode(F.slice("keys__", 1, per_node)).alias("x")).select("node__", F.col("x.key__").alias("shard__"))
+    return shards.join(prints.select("node__", *map(word, range(WORDS))), "node__")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node that has a link; root is the smallest node connected with it."""
+    """(node, root) for each node that has a link; root is the smallest node connected with it. Rows of a hub, which many links meet, are not dealt by it."""
     folder = scratch(edges.sparkSession)
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges", folder)
     state, step = None, 0
@@ -167,29 +368,33 @@ def components(edges: DataFrame) -> DataFrame:
     while (new := tuple(now.agg(*measure).first())) != state and new[0]:
         state = new
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n__")).select("u", F.least("u", "m").alias("m"), "n__")
         step += 1
-        now = written(small, f"stars{step}", folder)
+        least = written(least, f"least{step}", folder)
+        large = joined(both, least, "u", 2 * new[0], inner=True).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(large, f"large{step}", folder)
+        least = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n__")), f"small{step}", folder)
+        small = joined(large, least, "u", 2 * new[0], inner=True).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), f"stars{step}", folder)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int, whole_rows: bool) -> tuple[DataFrame, DataFrame]:
-    """The numbered rows with their fingerprints, and (fp__, winner__) for each fingerprint."""
-    keep = None if whole_rows else [F.col(id_col).alias("id__")]
-    rows = with_columns(docs, text_col, _fingerprints(width), "fp__ long, row__ long", keep)
-    if whole_rows:
-        rows = rows.withColumn("id__", F.col("doc").getField(id_col))
-    folder = scratch(docs.sparkSession)
-    rows = written(rows, "rows", folder)
+def _winners(prints: DataFrame, roots: DataFrame, node: str, folder: str) -> DataFrame:
+    """A written table (fp__, winner__, n__) of the distinct fingerprints: who stays of each one's component, and how many rows have it.
+
+    Fingerprints without links, nearly all, don't meet by component.
+    """
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    named = written(prints.join(members, F.col(node) == F.col("node"), "left").select("fp__", "first__", "n__", "root"), "named", folder)
+    alone, linked = named.where("root IS NULL"), named.where("root IS NOT NULL").withColumnRenamed("n__", "rows__")
+    best = written(linked.groupBy("root").agg(F.min("first__").alias("winner__"), F.count(F.lit(1)).alias("n__")), "best", folder)
+    together = joined(linked, best, "root", linked.count(), inner=True).select("fp__", "winner__", F.col("rows__").alias("n__"))
+    return written(alone.select("fp__", F.col("first__").alias("winner__"), "n__").unionByName(together), "winners", folder)
+
+
+def _first() -> list[Column]:
     first = F.min(F.struct(F.col("id__").isNull().alias("n"), F.col("id__").alias("id"), F.col("row__").alias("row"))).alias("first__")
-    prints = written(rows.groupBy("fp__").agg(first), "prints", folder)
-    roots = components(links(prints.select("fp__"), radius))
-    prints = prints.join(roots, F.col("fp__") == F.col("node"), "left").select("fp__", "first__", F.coalesce("root", "fp__").alias("root__"))
-    winners = prints.groupBy("root__").agg(F.min("first__").alias("winner__"))
-    return rows, prints.select("fp__", "root__").join(winners, "root__").select("fp__", "winner__")
+    return [first, F.count(F.lit(1)).alias("n__")]
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, whole_rows: bool = False) -> DataFrame:
@@ -197,8 +402,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     With ``whole_rows`` the input's row comes along as struct ``doc``.
     """
-    rows, groups = _grouped(docs, id_col, text_col, width, radius, whole_rows)
-    return rows.join(groups, "fp__").select(
+    folder = scratch(docs.sparkSession)
+    rows = _numbers(docs, text_col, None if whole_rows else [F.col(id_col).alias("id__")], _narrow(width), "fp__ long")
+    rows = written(rows.withColumn("id__", F.col("doc").getField(id_col)) if whole_rows else rows, "rows", folder)
+    prints = written(rows.groupBy("fp__").agg(*_first()), "prints", folder)
+    with removed_after(docs.sparkSession):
+        roots = components(links(block_shards(prints, radius), radius, 1))
+        groups = _winners(prints, roots, "fp__", folder)
+    return joined(rows, groups, "fp__", rows.count(), inner=True).select(
         *(["doc"] if whole_rows else []),
         F.col("id__").alias("doc_id"),
         F.lower(F.lpad(F.hex("fp__"), 16, "0")).alias("fingerprint"),
@@ -207,8 +418,24 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` that near_dedup() keeps, with all their columns."""
-    rows, groups = _grouped(docs, id_col, text_col, width, radius, True)
-    dropped = rows.select("row__", "fp__").join(groups, "fp__").where("row__ <> winner__.row")
-    return without(rows, dropped)
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """The written rows (doc, row__, fp__, id__) and (fp__, winner__, n__) of groups that texts at this Jaccard similarity of shingles connect.
+
+    Fingerprints estimate the similarity: nearly all pairs a few hundredths above it are linked, nearly none of those a tenth below.
+    """
+    folder = scratch(docs.sparkSession)
+    rows = _numbers(docs, text_col, None, _wide(width), "fp__ binary, keys__ array<long>")
+    rows = written(rows.withColumn("id__", F.col("doc").getField(id_col)), "rows", folder)
+    prints = rows.groupBy("fp__").agg(*_first(), F.min_by("keys__", "row__").alias("keys__"))
+    prints = written(prints.withColumn("node__", F.col("first__.row")), "prints", folder)
+    with removed_after(docs.sparkSession):
+        shards = written(sample_shards(prints), "shards")
+        groups = _winners(prints, components(links(shards, radius_for(similarity), WORDS)), "node__", folder)
+    return rows, groups
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: of each group that near_groups() finds the row of the smallest id."""
+    rows, groups = near_groups(docs, id_col, text_col, width, similarity)
+    marked = joined(rows.select("row__", "fp__"), groups, "fp__", rows.count(), inner=True)
+    return without(rows, marked.where("row__ <> winner__.row"))
