@@ -5,6 +5,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from xxhash import xxh64_intdigest
 
 from tidemill.llm import maxent as m
 from tidemill.llm import queries
@@ -45,10 +46,10 @@ def test_probabilities_sum_to_one():
 
 def test_learns_a_sequence():
     s = m.Settings(class_rows=1024, slot_rows=1024, batch=512)
-    vocabulary = m.Tokens({b"a": 0, b"b": 9, b"c": 18, m.END: 27})
+    own = {b"a": 0, b"b": 9, b"c": 18, m.END: 27}
     w = m.Weights(s, np.ones(64))
-    numbers, starts = vocabulary.numbers(["a b c " * 600])
-    f, slot = w.features(vocabulary.hashes[numbers], starts), vocabulary.slots[numbers]
+    _, starts, hashes, slot, _ = m.Vocabulary(own, own).read(["a b c " * 600])
+    f = w.features(hashes, starts)
     touched = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
     for _ in range(10):
         for i in range(0, len(slot), 512):
@@ -59,9 +60,9 @@ def test_learns_a_sequence():
 def test_frequent_words_have_slots_of_their_own_and_are_learned():
     words = [b"w%d" % i for i in range(150)]
     s = m.Settings(class_rows=4096, slot_rows=4096, batch=512)
-    vocabulary = m.Tokens({w: i for i, w in enumerate([m.END, *words])})
-    numbers, starts = vocabulary.numbers([b" ".join(words * 12).decode()])
-    f, slot = m.Weights.features(vocabulary.hashes[numbers], starts), vocabulary.slots[numbers]
+    own = {w: i for i, w in enumerate([m.END, *words])}
+    _, starts, hashes, slot, _ = m.Vocabulary(own, own).read([b" ".join(words * 12).decode()])
+    f = m.Weights.features(hashes, starts)
     assert len(set(slot.tolist())) == 151 < m.OWN < m.SLOTS * m.CLASSES and m.Settings().slot_rows >= 65536
     w, touched = m.Weights(s, np.ones(m.SLOTS * m.CLASSES)), (np.zeros(4096, np.int64), np.zeros(4096, np.int64))
     for _ in range(40):
@@ -70,6 +71,75 @@ def test_frequent_words_have_slots_of_their_own_and_are_learned():
     assert w.gain(f, slot).mean() > 3.5  # of log(256) = 5.5
 
 
+def test_vocabulary_finds_all_of_the_head():
+    head = {b"w%d" % i: i + 1 for i in range(5000)}
+    own = {b"w%d" % i: i for i in range(m.OWN)}
+    words, starts, hashes, slots, counts = m.Vocabulary(own, head).read([" ".join(f"w{i}" for i in range(9000)), ""])
+    assert counts.tolist() == [i + 1 if i < 5000 else 0 for i in range(9000)] + [0, 0] and starts.tolist() == [0, 9001, 9002]
+    assert slots[: m.OWN].tolist() == list(range(m.OWN)) and slots[m.OWN :].min() >= m.OWN
+
+
+def _plain_scores(docs, s):
+    """Log10 gains over the unigram token by token: the same hashed model with its gradients summed over a round."""
+    k1, k2, k3, k4, two = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 2**64
+    side, lists = m.SLOTS, {i: m.tokens(t) for i, t in docs.items()}
+    training = [i for i in docs if crc32(str(i).encode()) % 5 != 1]
+    counts = Counter(w for i in training for w in lists[i])
+    own = {w: k for k, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: m.OWN])}
+    signed = lambda h: h - two if h >> 63 else h
+    hashed = lambda w: xxh64_intdigest(w, 42)
+    slot = lambda w: own[w] if w in own else m.OWN + signed(hashed(w)) % (side * m.CLASSES - m.OWN)
+    mass = np.full(side * m.CLASSES, 0.5)
+    for w, n in counts.items():
+        mass[slot(w)] += n + 0.5
+    by_class = mass.reshape(m.CLASSES, side)
+    biases = [np.log(by_class.sum(1) / mass.sum()), np.log(by_class / by_class.sum(1, keepdims=True))]
+    weights = [np.zeros((n, side)) for n in (s.class_rows, s.slot_rows)]
+    seen = [np.zeros(len(w)) for w in weights]
+
+    def events(words):
+        past = [0, 0]
+        for w in words:
+            f = [past[-1] * k1 % two, past[-1] * k2 % two ^ past[-2] * k3 % two, (past[-2] * k2 + k1) % two]
+            f = [(x ^ x >> 29) * k3 % two for x in f]
+            of, within = divmod(slot(w), side)
+            rows = [x >> 40 & s.class_rows - 1 for x in f], [((x ^ of * k4 % two) * k1 % two) >> 40 & s.slot_rows - 1 for x in f]
+            yield rows, (of, within), (biases[0], biases[1][of])
+            past += [hashed(w)]
+
+    def softmax(bias, rows, w):
+        z = np.exp(bias + w[rows].sum(0))
+        return z / z.sum()
+
+    for r in range(s.rounds):
+        total, n = [np.zeros_like(w) for w in weights], [np.zeros(len(w)) for w in weights]
+        for i in training:
+            if signed(xxh64_intdigest(docs[i].encode(), 42)) % s.rounds == r:
+                for rows, target, bias in events(lists[i]):
+                    for k in (0, 1):
+                        g = -softmax(bias[k], rows[k], weights[k])
+                        g[target[k]] += 1
+                        for row in rows[k]:
+                            total[k][row] += g
+                            n[k][row] += 1
+        for k in (0, 1):
+            seen[k] += n[k]
+            weights[k] += (s.rate / np.sqrt((s.calm + n[k]) * (s.calm + seen[k])))[:, None] * total[k]
+    out = {}
+    for i, words in lists.items():
+        out[i] = sum(math.log10(softmax(bias[k], rows[k], weights[k])[target[k]]) - bias[k][target[k]] / math.log(10) for rows, target, bias in events(words) for k in (0, 1))
+    return out
+
+
+def test_scores_against_plain_version(spark):
+    docs = {r.doc_id: r.text[:1500] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()}
+    s = m.Settings(class_rows=512, slot_rows=1024, rounds=2)
+    want = _plain_scores(docs, s)
+    rows = m.score(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3), settings=s).collect()
+    assert len(rows) == len(docs) and max(map(abs, want.values())) > 1
+    assert all(math.isclose(r.score - r.base_score, want[r.doc_id], rel_tol=1e-3, abs_tol=1e-2) for r in rows)
+
+
 def test_partitions_make_no_difference(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     s = m.Settings(class_rows=1024, slot_rows=1024, rounds=3)

@@ -11,7 +11,7 @@ one before the previous (a skip). The last factor is the smoothed unigram's shar
 the slot. Feature weights start at zero, where the model is the unigram; training
 takes all training rows once, in rounds: in each, tasks add up gradients at the
 common weights and how often each row of the weights occurs. Executors add these
-sums over all tasks in two steps, and the driver makes one update by them, so the
+sums over all tasks in a tree, and the driver makes one update by them, so the
 result depends on the rows and not on how they are dealt to tasks. Only sums of the
 weights' size, which is fixed, reach the driver.
 
@@ -44,6 +44,7 @@ from tidemill.llm.shared import first_row_number, scratch, with_columns, written
 SLOTS, CLASSES = 16, 16
 OWN = 160  # slots that hold one token
 END = b""  # no word is empty
+KNOWN = 300_000
 
 
 @dataclass(frozen=True)
@@ -55,6 +56,7 @@ class Settings:
     calm: float = 50.0  # occurrences before a row's step falls
     batch: int = 16384  # tokens
     head: int = 100_000  # tokens whose counts are broadcast
+    parts: int = 3  # partitions of the table that one task learns from
 
 
 def tokens(text: str) -> list[bytes]:
@@ -62,49 +64,64 @@ def tokens(text: str) -> list[bytes]:
     return [*text.encode("utf-8", "surrogatepass").lower().split(), END]
 
 
-class Tokens(dict):
-    """Numbers tokens as they come; holds each one's hash and slot, and whatever the head knows of it."""
-
-    def __init__(self, own: dict[bytes, int], head: dict[bytes, int] | None = None) -> None:
-        super().__init__()
-        self.own, self.head = own, head or {}
-        self._empty()
-
-    def _empty(self) -> None:
-        self.clear()
-        self.words: list[bytes] = []
-        self.hashes, self.slots, self.counts = np.zeros(1024, np.uint64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+class Hashes(dict):
+    """Hashes of the first ``KNOWN`` short tokens that come are kept, others are made each time."""
 
     def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        if n == len(self.slots):
-            self.hashes, self.slots, self.counts = (np.resize(a, 2 * n) for a in (self.hashes, self.slots, self.counts))
-        self.words.append(word)
         h = xxh64_intdigest(word, 42)
-        signed = h - (1 << 64) if h >> 63 else h  # as xxhash64() in SQL
-        self.hashes[n] = h
-        self.counts[n] = self.head.get(word, 0)
-        self.slots[n] = self.own[word] if word in self.own else OWN + signed % (SLOTS * CLASSES - OWN)
-        return n
-
-    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Token numbers of all texts, and where each text starts."""
-        if len(self) > 500_000:
-            self._empty()
-        lists = [tokens(t) for t in texts]
-        starts = np.cumsum([0, *map(len, lists)])
-        return np.fromiter(map(self.__getitem__, chain.from_iterable(lists)), np.int64, starts[-1]), starts
+        if len(self) < KNOWN and len(word) <= 64:
+            self[word] = h
+        return h
+
 
+class Vocabulary:
+    """What the broadcast head knows of tokens, found by their hashes: slots and counts, in a table with linear probing.
 
-_vocabulary: dict[str, Tokens] = {}
+    Memory is bounded by the head and by KNOWN. Hashes have 64 bits; those of the head's tokens differ.
+    """
 
+    def __init__(self, own: dict[bytes, int], head: dict[bytes, int]) -> None:
+        bits = max(10, (8 * len(head)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1)
+        self.slots = np.array([*(own.get(w, -1) for w in head), -1])
+        self.counts = np.array([*head.values(), 0])
+        self.probes, self.hashes = 1, Hashes()
+        for i, word in enumerate(head):
+            key = xxh64_intdigest(word, 42)
+            at, probe = key >> (64 - bits), 1
+            while self.values[at] >= 0:
+                if int(self.keys[at]) == key:
+                    raise ValueError("two frequent tokens have the same hash")
+                at, probe = (at + 1) & self.mask, probe + 1
+            self.keys[at], self.values[at], self.probes = key, i, max(self.probes, probe)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each in the head, -1 for others."""
+        at = (hashes >> self.shift).astype(np.int64)
+        out = np.where(self.keys[at] == hashes, self.values[at], -1)
+        open_ = np.flatnonzero((out < 0) & (self.values[at] >= 0))
+        for _ in range(self.probes - 1):
+            at[open_] = (at[open_] + 1) & self.mask
+            now = at[open_]
+            found = (self.keys[now] == hashes[open_]) & (self.values[now] >= 0)
+            out[open_[found]] = self.values[now[found]]
+            open_ = open_[~found & (self.values[now] >= 0)]
+            if not len(open_):
+                break
+        return out
 
-def _shared_vocabulary(key: str, own: dict[bytes, int], head: dict[bytes, int] | None = None) -> Tokens:
-    """A Python worker's tasks share one; that of an earlier model goes."""
-    if key not in _vocabulary:
-        _vocabulary.clear()
-        _vocabulary[key] = Tokens(own, head)
-    return _vocabulary[key]
+    def read(self, texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All texts' tokens, where each text starts, and the tokens' hashes, slots and counts (0 if not in the head)."""
+        lists = [tokens(t) for t in texts]
+        starts = np.cumsum([0, *map(len, lists)])
+        words = list(chain.from_iterable(lists))
+        hashes = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
+        places = self.find(hashes)
+        slots = self.slots[places]
+        # As xxhash64() in SQL, whose sign counts.
+        slots = np.where(slots < 0, OWN + hashes.view(np.int64) % (SLOTS * CLASSES - OWN), slots)
+        return words, starts, hashes, slots, self.counts[places]
 
 
 class Weights:
@@ -219,91 +236,100 @@ def count_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 BLOCKS = 64
-_KINDS = np.float32, np.float32, np.int64, np.int64  # of the sums between tasks
+_SUM = np.float32  # of gradients and occurrences between tasks
+FAN_IN = 32
 
 
-def _train_round(s: Settings, mass: np.ndarray, own: dict[bytes, int], shared, key: str):
+def _train_round(s: Settings, mass: np.ndarray, own: dict[bytes, int], shared):
     """Each task's sums of gradients and occurrences, in BLOCKS parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, vocabulary = Weights(s, mass, *shared.value), _shared_vocabulary(key, own)
+        w, vocabulary = Weights(s, mass, *shared.value), Vocabulary(own, own)
         sums = w.sums()
         any_ = False
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for i in range(0, len(texts), 256):
-                numbers, starts = vocabulary.numbers([t or "" for t in texts[i : i + 256]])
-                features, slot = w.features(vocabulary.hashes[numbers], starts), vocabulary.slots[numbers]
+                _, starts, hashes, slot, _ = vocabulary.read([t or "" for t in texts[i : i + 256]])
+                features = w.features(hashes, starts)
                 for j in range(0, len(slot), s.batch):
                     w.gradient(features[:, j : j + s.batch], slot[j : j + s.batch], sums)
                     any_ = True
         if any_:
-            parts = [[p.astype(kind).tobytes() for p in np.array_split(x.T, BLOCKS)] for x, kind in zip(sums, _KINDS, strict=True)]
-            part = TaskContext.get().partitionId() // 32
+            parts = [[p.astype(_SUM).tobytes() for p in np.array_split(x.T, BLOCKS)] for x in sums]
+            part = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([part] * BLOCKS, pa.int32()), *(pa.array(p, pa.binary()) for p in parts)], names=["block", "part", "c", "s", "nc", "ns"])
 
     return run
 
 
 def _sum(group: pa.Table) -> pa.Table:
-    """Adds the arrays in the binary columns, one row after another."""
-    sums = [sum((np.frombuffer(x.as_py(), kind) for x in group.column(k)), kind(0)) for k, kind in zip(("c", "s", "nc", "ns"), _KINDS, strict=True)]
+    """Adds the arrays in the binary columns of at most FAN_IN rows, one after another."""
+    sums = [sum((np.frombuffer(x.as_py(), _SUM) for x in group.column(k)), _SUM(0)) for k in ("c", "s", "nc", "ns")]
     return pa.Table.from_arrays([group.column("block")[:1], group.column("part")[:1], *(pa.array([x.tobytes()], pa.binary()) for x in sums)], names=group.schema.names)
 
 
 _ROUND = "block int, part int, c binary, s binary, nc binary, ns binary"
 
 
-def train(docs: DataFrame, mass: np.ndarray, own: dict[bytes, int], s: Settings, key: str, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+def train(docs: DataFrame, mass: np.ndarray, own: dict[bytes, int], s: Settings, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """The weights after all rounds; a round takes the rows whose text's hash falls to it.
 
-    Each task sends sums of the weights' size, so a round has no more than two tasks a core.
+    Each task sends sums of the weights' size, so a task takes several of the table's partitions, and a round has no more
+    than two tasks a core.
     """
     spark = docs.sparkSession
+    tasks = max(1, min(2 * spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions() // s.parts))
     w, touched = Weights(s, mass), (np.zeros(s.class_rows, np.int64), np.zeros(s.slot_rows, np.int64))
     for r in range(s.rounds):
         shared = spark.sparkContext.broadcast((w.classes, w.slots))
         texts = docs.select(F.col(text_col).cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(s.rounds)) == r)
-        made = texts.coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(_train_round(s, mass, own, shared, key), _ROUND)
-        added = made.groupBy("block", "part").applyInArrow(_sum, _ROUND).groupBy("block").applyInArrow(_sum, _ROUND)
+        made = texts.coalesce(tasks).mapInArrow(_train_round(s, mass, own, shared), _ROUND)
+        added, parts = made, tasks
+        while parts > 1:
+            parts = -(-parts // FAN_IN)
+            added = added.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("block", "part").applyInArrow(_sum, _ROUND)
         sums = w.sums()
         for row in added.toLocalIterator():  # BLOCKS rows, of the weights' size together
-            for total, data, kind in zip(sums, (row.c, row.s, row.nc, row.ns), _KINDS, strict=True):
+            for total, data in zip(sums, (row.c, row.s, row.nc, row.ns), strict=True):
                 part = np.array_split(total.T, BLOCKS)[row.block]
-                part += np.frombuffer(data, kind).reshape(part.shape)
+                part += np.frombuffer(data, _SUM).reshape(part.shape)
         w.step(sums, touched)
         shared.unpersist()
     return w.classes, w.slots
 
 
-def _scores(s: Settings, mass: np.ndarray, own: dict[bytes, int], shared, total: float, key: str):
+def _scores(s: Settings, mass: np.ndarray, own: dict[bytes, int], shared, total: float):
     """n_tokens, what the head says of the counts, the model's gain, and the tokens that aren't in the head with their numbers."""
 
     def make():
         weights, head = shared.value
-        w, vocabulary, number = Weights(s, mass, *weights), _shared_vocabulary(key, own, head), first_row_number()
+        w, vocabulary, number = Weights(s, mass, *weights), Vocabulary(own, head), first_row_number()
+
+        def some(texts: list[str]) -> list[pa.Array]:
+            words, starts, hashes, slot, counts = vocabulary.read(texts)
+            features, first = w.features(hashes, starts), starts[:-1]
+            gain = np.concatenate([w.gain(features[:, j : j + s.batch], slot[j : j + s.batch]) for j in range(0, len(slot), s.batch)])
+            logs = np.where(counts > 0, np.log10((counts + 0.5) / total), 0.0)
+            known = np.add.reduceat((counts > 0).astype(np.int64), first)
+            # Tokens that the head doesn't know, once for each text, with how often they are there.
+            rest = np.flatnonzero(counts == 0)
+            of = np.searchsorted(starts, rest, "right") - 1
+            order = np.lexsort((hashes[rest], of))
+            rest, of = rest[order], of[order]
+            new = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (hashes[rest[1:]] != hashes[rest[:-1]]))))[: len(rest)]
+            times = np.diff(np.append(new, len(rest)))
+            lists = pa.array(np.searchsorted(of[new], np.arange(len(texts) + 1)), pa.int32())
+            return [
+                pa.array(np.diff(starts)), pa.array(known), pa.array(np.add.reduceat(logs, first)), pa.array(np.add.reduceat(gain, first) / np.log(10)),
+                pa.ListArray.from_arrays(lists, pa.array([words[k] for k in rest[new].tolist()], pa.binary())), pa.ListArray.from_arrays(lists, pa.array(times, pa.int64())),
+            ]
 
         def columns(batch: pa.RecordBatch, texts: list[str]) -> list[pa.Array]:
             nonlocal number
-            made: list[list] = [[], [], [], [], [], []]
-            for i in range(0, len(texts), 256):
-                numbers, starts = vocabulary.numbers(texts[i : i + 256])
-                slot = vocabulary.slots[numbers]
-                features = w.features(vocabulary.hashes[numbers], starts)
-                gain = np.concatenate([w.gain(features[:, j : j + s.batch], slot[j : j + s.batch]) for j in range(0, len(slot), s.batch)])
-                counts = vocabulary.counts[numbers]
-                logs = np.where(counts > 0, np.log10((counts + 0.5) / total), 0.0)
-                made[0] += np.diff(starts).tolist()
-                made[1] += np.add.reduceat((counts > 0).astype(np.int64), starts[:-1]).tolist()
-                made[2] += np.add.reduceat(logs, starts[:-1]).tolist()
-                made[3] += (np.add.reduceat(gain, starts[:-1]) / np.log(10)).tolist()
-                for a, b in zip(starts, starts[1:], strict=False):
-                    rest = Counter(numbers[a:b][counts[a:b] == 0].tolist())
-                    made[4].append([vocabulary.words[k] for k in rest])
-                    made[5].append(list(rest.values()))
+            parts = [some(texts[i : i + 256]) for i in range(0, len(texts), 256)]
             number += len(texts)
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-            return [*(pa.array(m, k) for m, k in zip(made, kinds, strict=True)), pa.array(range(number - len(texts), number), pa.int64())]
+            return [*(pa.concat_arrays(c) for c in zip(*parts, strict=True)), pa.array(np.arange(number - len(texts), number))]
 
         return columns
 
@@ -333,10 +359,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setti
     mass = np.full(SLOTS * CLASSES, 0.5)
     for row in counts.join(F.broadcast(first), "token", "left").groupBy(slot.alias("slot")).agg(F.sum(F.col("n") + 0.5).alias("mass")).collect():
         mass[row.slot] += row.mass
-    shared = spark.sparkContext.broadcast((train(training, mass, own, s, f"{folder}-train", text_col), head))
+    shared = spark.sparkContext.broadcast((train(training, mass, own, s, text_col), head))
     keep = [F.col(id_col).alias("doc_id"), _held_out(id_col).alias("held_out")]
     fields = "n_tokens long, known__ long, head__ double, gain__ double, rest__ array<binary>, rest_n__ array<long>, row__ long"
-    rows = written(with_columns(docs, text_col, _scores(s, mass, own, shared, total, f"{folder}-score"), fields, keep), "scores", folder)
+    rows = written(with_columns(docs, text_col, _scores(s, mass, own, shared, total), fields, keep), "scores", folder)
     rest = rows.where(F.size("rest__") > 0).select("row__", F.inline(F.arrays_zip(F.col("rest__").alias("token"), F.col("rest_n__").alias("times"))))
     found = rest.join(counts, "token", "left").select("row__", "times", F.coalesce("n", F.lit(0)).alias("n"))
     by_row = found.groupBy("row__").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.log10((F.col("n") + 0.5) / total)).alias("l"))
