@@ -3,15 +3,18 @@
 Strong kinds are reported wherever they are: ``assign``, ``access`` and ``hex``.
 Weak candidates are identifiers, short or loosely named secrets and endpoints;
 they are reported only near parts that complete them: an identifier near a
-secret, a secret near an identifier, an endpoint near both. Near means that no
-more than ``scope`` code points lie between two parts of one text. The join by
-interval is a sorted pass over each text's parts that looks at the nearest part of each
-type on either side, so it makes no pairs.
+secret, a secret near an identifier, an endpoint near one of each that do. Parts that overlap
+don't complete each other. Near means in the same scope, with no more than
+``scope`` code points between the two: a scope is a block of lines without a blank
+one, and the end of an object in braces that another follows ends it too. The join
+by interval is a sorted pass over where each text's parts and scopes begin and end,
+which looks at the nearest of each type on either side, so it makes no pairs.
 
 Positions count code points and ends are exclusive. Null text counts as empty and
 has no spans. Repeated rows are rows of their own, an empty table gives an empty
-result, and other columns don't matter. Spans are worked through in blocks of ``BLOCK``,
-so that a text with very many of them costs little more for each.
+result, and other columns don't matter. Spans are worked through in blocks of ``BLOCK``
+and cut from chunks of the text, so the work for a text grows with its length and
+with the number of its spans.
 """
 
 from __future__ import annotations
@@ -30,10 +33,12 @@ HEX = "[0-9a-f]{16,}"
 IDENT = rf"(?i)(?<![A-Za-z0-9_])(user|username|user_?id|login|account|client_?id|access_?key|access_?key_?id){_VALUE}([A-Za-z0-9@+/_.-]{{3,}})"
 WEAK = rf"(?i)(?<![A-Za-z0-9_])(pass|pwd|passphrase|key|credential|auth|private_?key|secret_?key){_VALUE}([A-Za-z0-9+/_.=-]{{6,}})"
 ENDPOINT = rf"(?i)(?<![A-Za-z0-9_])(?:[a-z][a-z0-9+]*://[A-Za-z0-9._~:/?@%&=+-]+|(?:host|hostname|endpoint|server){_VALUE}[A-Za-z0-9._:/-]{{3,}})"
+BREAK = r"\n[\x20\t\r]*\n|\}[\x20\t\r\n]*+(?:,[\x20\t\r\n]*+)?\{"
 #: In the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "ident", "weak", "endpoint")
 _LEAST_ASSIGN, _LEAST_WEAK = 12, 6
 BLOCK = 256
+CHUNK = 4096  # code points of a text that spans are cut from
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -52,6 +57,16 @@ def _before(values: Column, join: Callable[[Column, Column], Column]) -> Column:
     return F.aggregate(values, begin, lambda acc, x: F.struct(join(acc["now"], x).alias("now"), F.concat(acc["out"], F.array(acc["now"])).alias("out")))["out"]
 
 
+def _largest_before(values: Column) -> Column:
+    """For each of a non-empty array the largest of the earlier ones, 0 for the first."""
+
+    def placed(blocks: Column) -> Column:
+        firsts = _before(F.transform(blocks, F.array_max), F.greatest)
+        return F.flatten(F.zip_with(blocks, firsts, lambda block, first: F.transform(_before(block, F.greatest), lambda x: F.greatest(x, first))))
+
+    return _let(_blocks(values), placed)
+
+
 def _spans(text: Column, pattern: str, kind: str, found: Column, values: Column | None = None) -> Column:
     """array<struct<start, kind, end, size>>: between the matches lie the pieces that split() gives, so lengths add up to positions."""
     number = KINDS.index(kind)
@@ -95,8 +110,28 @@ def _may_link() -> Column:
     return (F.size(secret) > 0) & (F.size(ident) > 0) & (F.size("ident__") + F.size("short__") + F.size("weak__") + F.size("endpoint__") > 0)
 
 
+def _near(parts: DataFrame, scope: int, flags: dict[str, Column]) -> DataFrame:
+    """The distinct parts with a flag for each condition: whether a part that meets it, and doesn't overlap, is near."""
+    # Each part twice, where it ends (0) and where it begins (1); at one place ends come first.
+    events = parts.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+    events = events.withColumn("at", F.when(F.col("side") == 0, F.col("end")).otherwise(F.col("start")))
+    before = Window.partitionBy("row__").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("row__").orderBy(F.desc("at"), F.desc("side")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = lambda which: F.max(F.when(which & (F.col("side") == 0), F.col("at"))).over(before)
+    begins = lambda which: F.min(F.when(which & (F.col("side") == 1), F.col("at"))).over(after)
+    is_break = F.col("part") == "break"
+
+    def near(which: Column) -> Column:
+        back = (F.col("start") - ends(which) <= scope) & (ends(which) > F.coalesce(ends(is_break), F.lit(-1)))
+        ahead = (begins(which) - F.col("end") <= scope) & (begins(which) < F.coalesce(begins(is_break), F.lit(2**31 - 1)))
+        return F.coalesce(F.when(F.col("side") == 1, back).otherwise(ahead), F.lit(False))
+
+    flagged = events.withColumns({k: near(v) for k, v in flags.items()})
+    return flagged.groupBy("row__", "start", "kind", "end", "part", "is_weak").agg(*(F.max(k).alias(k) for k in flags))
+
+
 def _linked(both: DataFrame, scope: int) -> DataFrame:
-    """row__ and the weak spans that complementary parts stand near to."""
+    """row__ and the weak spans that complementary parts stand near to. An endpoint goes with an identifier and a secret that complete others."""
 
     def typed(spans: Column, part: str, weak: bool) -> Column:
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(part).alias("part"), F.lit(weak).alias("is_weak")))
@@ -104,18 +139,13 @@ def _linked(both: DataFrame, scope: int) -> DataFrame:
     every = F.concat(
         typed(F.concat("strong__", "hex__"), "secret", False), typed(F.concat("short__", "weak__"), "secret", True),
         typed(F.col("access__"), "ident", False), typed(F.col("ident__"), "ident", True), typed(F.col("endpoint__"), "endpoint", True),
+        typed(F.col("breaks__"), "break", False),
     )
-    parts = both.select("row__", F.inline(every))
-    before = Window.partitionBy("row__").orderBy("start", "kind", "end").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("row__").orderBy(F.desc("start"), F.desc("kind"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
-
-    def near(part: str) -> Column:
-        ends = F.max(F.when(F.col("part") == part, F.col("end"))).over(before)
-        starts = F.min(F.when(F.col("part") == part, F.col("start"))).over(after)
-        return F.coalesce(F.col("start") - ends <= scope, F.lit(False)) | F.coalesce(starts - F.col("end") <= scope, F.lit(False))
-
-    parts = parts.withColumns({"near_secret": near("secret"), "near_ident": near("ident")})
-    told = F.when(F.col("part") == "secret", F.col("near_ident")).when(F.col("part") == "ident", F.col("near_secret")).otherwise(F.col("near_ident") & F.col("near_secret"))
+    secret, ident = F.col("part") == "secret", F.col("part") == "ident"
+    parts = _near(both.select("row__", F.inline(every)), scope, {"near_secret": secret, "near_ident": ident})
+    parts = parts.withColumn("whole", (secret & F.col("near_ident")) | (ident & F.col("near_secret"))).drop("near_secret", "near_ident")
+    parts = _near(parts.withColumn("is_weak", F.col("is_weak") & (F.col("whole") | (F.col("part") == "endpoint"))), scope, {"secret": secret & F.col("whole"), "ident": ident & F.col("whole")})
+    told = (F.col("part") != "endpoint") | (F.col("secret") & F.col("ident"))
     return parts.where(F.col("is_weak") & told).groupBy("row__").agg(F.collect_list(F.struct("start", "kind", "end")).alias("linked__"))
 
 
@@ -139,7 +169,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
         bare(F.filter(assign, lambda s: s["size"] >= _LEAST_ASSIGN)).alias("strong__"),
         bare(F.transform(F.filter(assign, lambda s: (s["size"] < _LEAST_ASSIGN) & (s["size"] >= _LEAST_WEAK)), lambda s: s.withField("kind", F.lit(KINDS.index("weak"))))).alias("short__"),
         *(bare(F.col(f"{k}__")).alias(f"{k}__") for k in KINDS[1:]),
+        "text__",
     )
+    breaks = _spans(F.col("text__"), BREAK, "assign", F.regexp_extract_all("text__", F.lit(BREAK), F.lit(0)))
+    rows = rows.withColumn("breaks__", F.when(_may_link(), bare(breaks))).drop("text__")
     rows = written(rows, "parts", scratch(docs.sparkSession))
     both = rows.where(_may_link())
     alone = rows.where(~_may_link())  # these, nearly all, aren't shuffled
@@ -159,30 +192,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", scope: int = 300) -> DataFrame:
     """The rows of ``docs`` with every span's text replaced by ``mark``; spans that overlap become one mark."""
-    text = F.coalesce(F.col("doc").getField(text_col), F.lit(""))
-
-    def replaced(part: Column, base: Column, spans: Column) -> Column:
-        """The part of the text that starts at ``base`` and goes to the last end of these spans."""
-
-        def step(acc: Column, s: Column) -> Column:
-            gap = F.substring(part, acc["at"] - base + 1, s["start"] - acc["at"])
-            fresh = F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.lit(mark)).alias("out"))
-            return F.when(s["start"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
-
-        return F.aggregate(spans, F.struct(base.alias("at"), F.lit("").alias("out")), step)["out"]
-
-    last = lambda spans: F.array_max(F.transform(spans, lambda s: s["end"]))
-
-    def block(spans: Column, at: Column) -> Column:
-        part = F.substring(text, at + 1, F.greatest(F.lit(0), last(spans) - at))
-        return _let(part, lambda p: replaced(p, at, spans))
-
-    def whole(blocks: Column) -> Column:
-        parts = F.zip_with(blocks, _before(F.transform(blocks, last), F.greatest), block)
-        rest = F.substring(text, F.array_max(F.transform(blocks, last)) + 1, F.length(text))
-        return F.concat(F.array_join(parts, ""), rest)
-
-    clean = F.when(F.size("found") > 0, _let(_blocks(F.col("found")), whole))
+    text = F.coalesce(F.col("doc").getField(text_col).cast("string"), F.lit(""))
+
+    def between(chunks: Column, a: Column, b: Column) -> Column:
+        """The text from a to b, of chunks of CHUNK code points."""
+        i, j = F.floor(a / CHUNK).cast("int"), F.floor(b / CHUNK).cast("int")
+        chunk = lambda k: F.coalesce(F.get(chunks, k), F.lit(""))
+        middle = F.array_join(F.slice(chunks, i + 2, F.greatest(F.lit(0), j - i - 1)), "")
+        far = F.concat(F.substring(chunk(i), a % CHUNK + 1, F.lit(CHUNK)), middle, F.substring(chunk(j), F.lit(1), b % CHUNK))
+        return F.when(i == j, F.substring(chunk(i), a % CHUNK + 1, b - a)).otherwise(far)
+
+    def replaced(chunks: Column, spans: Column) -> Column:
+        ends = F.transform(spans, lambda s: s["end"])
+        gaps = F.zip_with(spans, _largest_before(ends), lambda s, at: F.when(s["start"] >= at, F.concat(between(chunks, at, s["start"]), F.lit(mark))).otherwise(""))
+        return F.concat(F.array_join(gaps, ""), between(chunks, F.array_max(ends), F.length(text)))
+
+    chunked = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    clean = F.when(F.size("found") > 0, _let(chunked, lambda chunks: replaced(chunks, F.col("found"))))
     rows = scan(docs, id_col, text_col, scope, whole_rows=True).select("doc", clean.alias("clean__"))
     names = docs.columns
     return rows.select(*(F.coalesce("clean__", F.col("doc")[c]).alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in names))
