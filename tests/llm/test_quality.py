@@ -1,7 +1,11 @@
+import math
 import random
 import re
 from collections import Counter
 
+import zstandard
+from pyspark.sql import functions as F
+
 from tidemill.llm import quality as m
 from tidemill.llm import queries
 
@@ -26,7 +30,37 @@ def test_against_brute_force(spark):
     rows = queries.op3_quality_rules(spark, SF).collect()
     assert len(rows) == len(docs)
     for r in rows:
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == _base(docs[r.doc_id])
+        base = _base(docs[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base
+        ratio, failure = _bands(docs[r.doc_id])
+        assert r.ratio == ratio and (r.band_failure or "") == failure and r.kept == (not base[5] and not failure)
+
+
+def _bands(text):
+    """The plain version's ratio and verdict, with the limits written out."""
+    limits = {128: (0, 1.65), 256: (0.97, 1.8), 512: (1.0, 2.07), 1024: (1.28, 2.26), 2048: (1.32, 2.42), 4096: (1.36, 2.71), 16384: (1.38, 3.1), 65536: (1.38, 3.6)}
+    data, squeeze = text.encode(), zstandard.ZstdCompressor(level=3)
+
+    def said(part, classes):
+        low, high = limits[max(c for c in classes if c <= len(part))] if len(part) >= min(classes) else (0, math.inf)
+        ratio = len(part) / len(squeeze.compress(part))
+        return "incompressible" if ratio < low else "repetitive" if ratio > high else ""
+
+    failure = said(data, limits)
+    chunks = [data[i : i + 4096] for i in range(0, len(data), 4096)] if len(data) > 4096 else []
+    chunks = [c for c in chunks if len(c) >= 1024]
+    bad = sum(len(c) for c in chunks if said(c, [1024, 2048, 4096]))
+    if not failure and bad > 0.3 * sum(map(len, chunks)):
+        failure = "chunks"
+    return (len(data) / len(squeeze.compress(data)) if data else 0.0), failure
+
+
+def test_bands_leave_labelled_prose_alone_and_change_verdicts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = m.quality(docs).join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id", "left").where("NOT base_failed")
+    n = {r.quality: (r.n, r.bad) for r in rows.groupBy("quality").agg(F.count("*").alias("n"), F.count("band_failure").alias("bad")).collect()}
+    assert n[1][1] <= 0.002 * n[1][0]
+    assert n[0][1] >= 0.1 * n[0][0]
 
 
 def test_cases_and_bands(spark):
@@ -40,7 +74,9 @@ def test_cases_and_bands(spark):
     for i, t in texts.items():
         assert tuple(got[i])[1:6] == _base(t or "")[:5]
     assert {i: got[i].band_failure for i in (1, 2, 3)} == {1: None, 2: "incompressible", 3: "repetitive"}
-    assert got[8].band_failure in ("chunks", "incompressible")
+    assert got[8].band_failure == "incompressible" or got[8].band_failure == "chunks"
+    half = prose[:12_000] + " " + noise[:8000]
+    assert m.quality(spark.createDataFrame([(1, half)], "doc_id int, text string")).first().band_failure == "chunks"
     kept = m.keep_good(df)
     assert kept.columns == df.columns and [r.doc_id for r in kept.collect()] == [1]
     assert m.quality(df.limit(0)).count() == 0
