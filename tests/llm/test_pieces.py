@@ -3,7 +3,8 @@ from zlib import crc32
 
 import numpy as np
 import public_tokenizers
-from sentencepiece import SentencePieceProcessor
+import pytest
+from sentencepiece import SentencePieceNormalizer, SentencePieceProcessor
 
 from tidemill.llm import pieces as m
 from tidemill.llm import queries
@@ -32,6 +33,41 @@ def test_equals_the_library_on_odd_texts():
         assert model.decode(ids) == library.decode(library.encode(text)), repr(text)
 
 
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf", "identity"])
+def test_normaliser_with_a_character_map_equals_the_library(rule):
+    library, rng = SentencePieceNormalizer(rule_name=rule), random.Random(4)
+    own = m.Normaliser(dict(m._fields(library.serialized_normalizer_spec())))
+    assert bool(own.units) == (rule != "identity")
+    bits = [" ", "  ", "\t", "\n", "a", "B", "Ｈｅ", "①", "ﬁ", "é", "e\u0301", "\u0301", "가", "\u1100\u1161", "ｶﾞ", "ß", "Σ", "\u200b", "\u3000", "\xa0", "中", "\U0001f642", "½", "\x07", "™", "ǆ"]
+    for _ in range(4000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(12)))
+        assert own(text) == library.normalize(text), repr(text)
+
+
+def test_a_model_with_a_character_map_equals_the_library():
+    """The pieces of the given file, with a map in place of its own normaliser."""
+    data, rng = b"", random.Random(5)
+    spec = SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_normalizer_spec()
+    for number, value in m._fields(open(PATH, "rb").read()):
+        if number != 4:  # the file's own checks of its normaliser
+            data += _field(number, spec if number == 3 else value)
+    library, model = SentencePieceProcessor(model_proto=data), m.Model(data)
+    bits = [" ", "\t", "the", "Ｔｈｅ", "①", "ﬁne", "e\u0301", "½ ", "中", "ing", "\u3000"]
+    for _ in range(2000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(10)))
+        assert np.frombuffer(model.encode(text), "<u4").tolist() == library.encode(text), repr(text)
+
+
+def test_memos_are_bounded(monkeypatch):
+    monkeypatch.setattr(m, "MEMORY", 1 << 19)
+    model, rng = m.Model(open(PATH, "rb").read()), random.Random(6)
+    for _ in range(300):
+        model.encode(" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.choice([3, 8, 100]))) for _ in range(20)))
+        model.encode("".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(300)))
+    for memo in (model.allowed, model.states, model.paths):
+        assert memo.used <= 1.1 * (1 << 18) and all(sum(map(len, k)) <= 64 for k in [*memo.new, *memo.old])
+
+
 def test_unigram_shortest_path():
     import struct
 

@@ -1,9 +1,12 @@
 """SentencePiece encoding and decoding as a shortest path through weighted transducers.
 
-Compiled from a model file: a normaliser (white space to U+2581, dummy prefix,
-extra white space), the pieces as arcs, and byte fallback arcs for characters that
-no piece has. Composed with a text they give a lattice over its characters, and
-the path of least weight in the tropical semiring is the encoding.
+Compiled from a model file: a normaliser, the pieces as arcs, and byte fallback
+arcs for characters that no piece has. The normaliser is a transducer from
+characters to characters: its arcs rewrite the longest source string of the file's
+character map (if it has one), white space becomes U+2581, and two states, after a
+space and not, take care of extra white space and the dummy prefix. Composed with a
+text they give a lattice over the normalised characters, and the path of least
+weight in the tropical semiring is the encoding.
 
 Unigram models weigh an arc by minus its piece's score. A BPE model's result isn't
 a sum of scores; it is the one path on which every two neighbouring pieces are
@@ -13,8 +16,8 @@ weight is found by the same search. One state a position is enough, as each pref
 has one such path.
 
 A text falls into stretches at pairs of characters that stand together in no
-piece; no arc crosses them, and the paths of stretches are remembered. Files that
-map characters (a precompiled map, such as nmt_nfkc) are refused.
+piece; no arc crosses them. Paths of short stretches are remembered within a bound
+of bytes.
 
 Null text counts as empty and has no pieces. Repeated rows are rows of their own,
 an empty table gives an empty result, other columns don't matter.
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -31,10 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.shared import with_columns
+from tidemill.llm.shared import Memo, with_columns
 
 SPACE = "▁"
-MOST = 300_000  # remembered stretches in a Python worker
+MEMORY = 96 << 20  # bytes that each of a Python worker's three memos may take, by a rough count
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = range(1, 7)
 _UNIGRAM, _BPE = 1, 2
 _NO_PATH = float("inf")
@@ -66,6 +70,80 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+class Normaliser:
+    """The transducer of a file's normaliser: its character map (a double-array trie over UTF-8 and the strings it points to) and its flags."""
+
+    def __init__(self, spec: dict[int, int | bytes]) -> None:
+        self.prefix, self.trim = bool(spec.get(3, 1)), bool(spec.get(4, 1))
+        self.units, self.targets = array("I"), b""
+        if data := spec.get(2):
+            size = int.from_bytes(data[:4], "little")
+            self.units.frombytes(data[4 : 4 + size])
+            self.targets = data[4 + size :]
+        self.single: dict[str, tuple[str, bool]] = {}
+
+    def arc(self, data: bytes, at: int) -> tuple[int, str] | None:
+        """The longest arc whose source begins there: where it ends and what it writes."""
+        units, best = self.units, None
+        place = self._offset(units[0])
+        for i in range(at, len(data)):
+            place ^= data[i]
+            unit = units[place]
+            if unit & 0x800000FF != data[i]:
+                break
+            place ^= self._offset(unit)
+            if unit >> 8 & 1:
+                target = units[place] & 0x7FFFFFFF
+                best = i + 1, self.targets[target : self.targets.index(0, target)].decode()
+        return best
+
+    @staticmethod
+    def _offset(unit: int) -> int:
+        return unit >> 10 << ((unit & 512) >> 6)
+
+    def mapped(self, text: str) -> str:
+        """The text rewritten by the character map."""
+        if not self.units:
+            return text
+        if all(self._stays(c) for c in set(text)):
+            return text
+        data, at, out = text.encode("utf-8", "replace"), 0, []
+        while at < len(data):
+            arc = self.arc(data, at)
+            if arc is None:  # the character stays
+                n = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
+                arc = at + n, data[at : at + n].decode()
+            at = arc[0]
+            out.append(arc[1])
+        return "".join(out)
+
+    def _stays(self, char: str) -> bool:
+        """Whether no source begins with this character."""
+        known = self.single.get(char)
+        if known is None:
+            if len(self.single) > 100_000:
+                self.single.clear()
+            place, data = self._offset(self.units[0]), char.encode("utf-8", "replace")
+            known = True
+            for byte in data:
+                place ^= byte
+                unit = self.units[place]
+                if unit & 0x800000FF != byte:
+                    break
+                place ^= self._offset(unit)
+            else:
+                known = False
+            self.single[char] = known
+        return known
+
+    def __call__(self, text: str) -> str:
+        text = self.mapped(text)
+        if self.trim:  # after a space, and at either end, spaces are dropped
+            text = re.sub(" +", " ", text).strip(" ")
+        text = text.replace(" ", SPACE)
+        return SPACE + text if self.prefix and text else text
+
+
 class Model:
     """The compiled transducers of a model file's bytes."""
 
@@ -85,30 +163,23 @@ class Model:
             elif number == 3:
                 normalizer = dict(_fields(value))
         kind = trainer.get(3, _UNIGRAM)
-        if normalizer.get(2) or kind not in (_UNIGRAM, _BPE) or trainer.get(24, 0) or not normalizer.get(5, 1):
-            raise ValueError("only unigram and BPE models without a character map, with escaped white space as a prefix")
+        if kind not in (_UNIGRAM, _BPE) or trainer.get(24, 0) or not normalizer.get(5, 1):
+            raise ValueError("only unigram and BPE models, with escaped white space as a prefix")
         self.bpe = kind == _BPE
-        self.prefix, self.trim = bool(normalizer.get(3, 1)), bool(normalizer.get(4, 1))
+        self.normalise = Normaliser(normalizer)
+        self.prefix = self.normalise.prefix
         self.unknown = self.kinds.index(_UNKNOWN)
         self.bytes_ = {int(n[3:5], 16): i for i, (n, k) in enumerate(zip(self.names, self.kinds, strict=True)) if k == _BYTE}
         self.arcs = {n: i for i, (n, k) in enumerate(zip(self.names, self.kinds, strict=True)) if k in (_NORMAL, _USER) or k == _UNUSED and self.bpe}
         self.tails = {n[i:] for n in self.arcs for i in range(len(n))}
         self.inside = {n[i : i + 2] for n in self.arcs for i in range(len(n) - 1)}
         self.fallback = 10 - min((s for s, k in zip(self.scores, self.kinds, strict=True) if k == _NORMAL), default=0.0)
-        self.allowed: dict[tuple[str, str], bool] = {}
-        self.states: dict[str, State] = {}
-        self.paths: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.least = 0.0 if self.bpe else -_NO_PATH  # no path has less weight
+        self.allowed, self.states, self.paths = Memo(MEMORY), Memo(MEMORY, 48), Memo(MEMORY)
         self.output = [bytes([int(n[3:5], 16)]) if k == _BYTE else b"" if k == _CONTROL else " ⁇ ".encode() if k == _UNKNOWN else n.replace(SPACE, " ").encode() for n, k in zip(self.names, self.kinds, strict=True)]
         # A stretch can only begin at a space after something else if no piece has one inside.
         self.stretches = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if not any(p[1] == SPACE != p[0] for p in self.inside) else re.compile(".+", re.S)
 
-    def normalise(self, text: str) -> str:
-        if self.trim:
-            text = re.sub(" +", " ", text).strip(" ")
-        text = text.replace(" ", SPACE)
-        return SPACE + text if self.prefix and text else text
-
     def merge(self, text: str) -> list[str]:
         """What BPE makes of a short text: the pair of best score first, the left one of equals."""
         parts = list(text)
@@ -122,14 +193,17 @@ class Model:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _may_follow(self, last: str, piece: str) -> bool:
-        """The acceptor of pairs; '' stands for the start and for characters that no piece has."""
+    def _weight(self, last: str, piece: str) -> float:
+        """Of the arc of a piece after another; '' stands for the start and for characters that no piece has."""
+        if not self.bpe:
+            return -self.scores[self.arcs[piece]]
         pair = (last, piece)
-        found = self.allowed.get(pair)
+        found = self.allowed.new.get(pair)
         if found is None:
-            if len(self.allowed) > 2 * MOST:
-                self.allowed.clear()
-            found = self.allowed[pair] = self.merge(last + piece) == ([last, piece] if last else [piece])
+            found = self.allowed.old.get(pair)
+            if found is None:
+                found = 0.0 if self.merge(last + piece) == ([last, piece] if last else [piece]) else _NO_PATH
+            self.allowed.put(pair, found, len(last) + len(piece))
         return found
 
     def _bytes_of(self, char: str) -> list[int]:
@@ -137,21 +211,19 @@ class Model:
 
     def _state(self, text: str, j: int, states: list[State]) -> State:
         """The least weight of a path over the first j characters, and its last arc: where it starts, its piece and the piece's number."""
-        tails, arcs, scores, ends = self.tails, self.arcs, self.scores, []
+        tails, arcs, ends = self.tails, self.arcs, []
         i = j - 1
         while i >= 0 and (piece := text[i:j]) in tails:
             if piece in arcs:
                 ends.append((i, piece))
             i -= 1
         best: State = (_NO_PATH, j - 1, "", None)
-        if self.bpe:
-            for i, piece in reversed(ends):
-                if states[i][0] == 0.0 and self._may_follow(states[i][2], piece):
-                    return 0.0, i, piece, arcs[piece]  # no other path of finite weight ends here
-        else:
-            for i, piece in ends:
-                if states[i][0] - scores[arcs[piece]] < best[0]:
-                    best = (states[i][0] - scores[arcs[piece]], i, piece, arcs[piece])
+        for i, piece in reversed(ends):
+            before = states[i]
+            if before[0] < best[0] and (weight := before[0] + self._weight(before[2], piece)) < best[0]:
+                best = (weight, i, piece, arcs[piece])
+                if weight <= self.least:
+                    return best
         if text[j - 1] not in arcs:
             cost = states[j - 1][0] + (0.0 if self.bpe else self.fallback)
             if cost < best[0]:
@@ -163,16 +235,17 @@ class Model:
 
         States depend only on the characters before them; those of short stretches are remembered by their prefix.
         """
-        known, short = self.states, len(text) <= 48
-        if len(known) > MOST:
-            known.clear()
+        known, short = self.states, len(text) <= self.states.longest
         states: list[State] = [(0.0, 0, "", None)]
         for j in range(1, len(text) + 1):
-            state = known.get(text[:j]) if short else None
+            prefix = text[:j] if short else ""
+            state = known.new.get(prefix) if short else None
             if state is None:
-                state = self._state(text, j, states)
+                state = known.old.get(prefix) if short else None
+                if state is None:
+                    state = self._state(text, j, states)
                 if short:
-                    known[text[:j]] = state
+                    known.put(prefix, state, j)
             states.append(state)
         out, at = [], len(text)
         while at:
@@ -182,27 +255,24 @@ class Model:
         return [x for part in reversed(out) for x in part]
 
     def _stretch(self, stretch: str) -> bytes:
-        if len(self.paths) > MOST:
-            self.older, self.paths = self.paths, {}
-        found = self.older.get(stretch)
+        found = self.paths.old.get(stretch)
         if found is None:
-            inside = self.inside
+            inside, part = self.inside, self._part
             cuts = [i for i in range(1, len(stretch)) if stretch[i - 1 : i + 1] not in inside]
             if cuts:
-                found = b"".join([self.paths.get(stretch[i:j]) or self._packed(stretch[i:j]) for i, j in zip([0, *cuts], [*cuts, len(stretch)], strict=True)])
+                found = b"".join([part(stretch[i:j]) for i, j in zip([0, *cuts], [*cuts, len(stretch)], strict=True)])
             else:
-                found = self._packed(stretch)
-        self.paths[stretch] = found
+                ids = self.path(stretch)
+                found = struct.pack(f"<{len(ids)}I", *ids)
+        self.paths.put(stretch, found, len(stretch), len(found))
         return found
 
-    def _packed(self, part: str) -> bytes:
-        ids = self.path(part)
-        found = self.paths[part] = struct.pack(f"<{len(ids)}I", *ids)
-        return found
+    def _part(self, part: str) -> bytes:
+        return self.paths.new.get(part) or self._stretch(part)
 
     def encode(self, text: str) -> bytes:
         """The text's piece numbers as little-endian unsigned 32-bit integers."""
-        known = self.paths.get
+        known = self.paths.new.get
         return b"".join([known(s) or self._stretch(s) for s in self.stretches.findall(self.normalise(text))])
 
     def decode(self, ids: bytes) -> str:

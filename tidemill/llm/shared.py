@@ -110,6 +110,23 @@ def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
 _TASK_BITS = 33
 
 
+class Memo:
+    """Keeps values of short keys in two generations, of about ``memory`` bytes together; ``new`` and ``old`` may be read directly."""
+
+    def __init__(self, memory: int, longest: int = 64) -> None:
+        self.new: dict = {}
+        self.old: dict = {}
+        self.half, self.longest, self.used = memory // 2, longest, 0
+
+    def put(self, key, value, characters: int, size: int = 0) -> None:
+        """``size``: bytes of the value beyond a small object."""
+        if characters <= self.longest:
+            self.new[key] = value
+            self.used += 250 + 3 * characters + size
+            if self.used > self.half:
+                self.old, self.new, self.used = self.new, {}, 0
+
+
 def first_row_number() -> int:
     """The number of a task's first row; numbers of different tasks don't meet."""
     return TaskContext.get().partitionId() << _TASK_BITS
