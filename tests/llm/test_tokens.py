@@ -37,7 +37,7 @@ def test_remembered_stretches_are_bounded():
     small = Encoder(PATH, memory=1 << 20)
     for i in range(20_000):
         small.encode(f"word{i} and {'x' * 100}{i}")
-    held = [small.known, small.known.older]
+    held = [small, small.older]
     assert all(len(k) <= bpe.SHORT for m in held for k in m)
     assert sum(bpe._COST + 2 * len(k) + len(v) for m in held for k, v in m.items()) < 1.1 * (1 << 20)
 

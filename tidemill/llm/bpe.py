@@ -47,34 +47,18 @@ def _odd_space(text: str) -> bool:
     return any(s in text for s in ("  ", " \n", "\n ", "\n\n\n")) or text.endswith("\n\n") or _OTHER_SPACE.search(text) is not None
 
 
-class Remembered(dict):
-    """Keeps ``made(key)`` of short keys in two generations, of ``memory`` bytes together; longer ones are made each time."""
+class Encoder(dict):
+    """Maps a stretch to its ids. One that follows a space is a key without it; one that doesn't has a space after it there.
 
-    def __init__(self, made, memory: int = MEMORY) -> None:
-        super().__init__()
-        self.made, self.half, self.used, self.older = made, memory // 2, 0, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.older.get(key)
-        if value is None:
-            value = self.made(key)
-        if len(key) <= SHORT:
-            if self.used > self.half:
-                self.older, self.used = dict(self), 0
-                self.clear()
-            self[key] = value
-            self.used += _COST + 2 * len(key) + len(value)
-        return value
-
-
-class Encoder:
-    """Encodes by stretches. One that follows a space is remembered without it; one that doesn't has a space after it there."""
+    Keys of at most SHORT characters are kept, in two generations of ``memory`` bytes together.
+    """
 
     def __init__(self, path: str, memory: int = MEMORY) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
+        super().__init__()
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         plain = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
@@ -83,23 +67,43 @@ class Encoder:
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         letters = [c for c in map(chr, range(256)) if c.isalpha() and c not in "\xaa\xb5\xba"]
         self.alphabet = {ord(c): level.pre_tokenize_str(c)[0][0] for c in [" ", *letters]}
-        self.known = Remembered(self._stretch, memory)
+        self.space, self.model = self.alphabet[ord(" ")], self.library.model
+        self.packed = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
+        self.older: dict[str, bytes] = {}
+        self.half, self.used = memory // 2, 0
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
         if any(c in text for c in _UNSURE) or any(s in text for s in self.special) or not self.ready:
             return self._whole(text)
         if _odd_space(text):
-            return b"".join([self.known[s[1:] if s[0] == " " and not s.isspace() else f"{s} "] for s in _STRETCH.findall(text)])
+            return b"".join([self[s[1:] if s[0] == " " and not s.isspace() else f"{s} "] for s in _STRETCH.findall(text)])
         parts = text.replace("\n", " \n").split(" ")
         parts[0] += " "
-        return b"".join(itemgetter(*parts)(self.known)) if len(parts) > 1 else self.known[parts[0]]
+        return b"".join(itemgetter(*parts)(self)) if len(parts) > 1 else self[parts[0]]
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self._word(self.space + key) if key.isascii() and key.isalpha() else self._stretch(key)
+        if len(key) <= SHORT:
+            self[key] = value
+            self.used += _COST + 2 * len(key) + len(value)
+            if self.used > self.half:
+                self.older, self.used = dict(self), 0
+                self.clear()
+        return value
+
+    def _word(self, letters: str) -> bytes:
+        """The ids of letters of the byte-level alphabet."""
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(letters)])
 
     def _stretch(self, key: str) -> bytes:
         if key[-1:] == " ":
             stretch = key[:-1]
         elif key[:1] == "\n":  # an end of line and what follows it
-            return self.known["\n "] + self.known[key[1:] + " "]
+            return self["\n "] + self[key[1:] + " "]
         else:
             stretch = " " + key
         word = _WORD.fullmatch(stretch)
@@ -107,9 +111,8 @@ class Encoder:
             return self._whole(stretch)
         if word[2]:
             first = word[1]
-            return self.known[first[1:] if first[0] == " " else first + " "] + self.known[word[2] + " "]
-        found = [t.id for t in self.library.model.tokenize(stretch.translate(self.alphabet))]
-        return struct.pack(f"<{len(found)}I", *found)
+            return self[first[1:] if first[0] == " " else first + " "] + self[word[2] + " "]
+        return self._word(stretch.translate(self.alphabet))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
