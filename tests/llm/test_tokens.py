@@ -82,6 +82,14 @@ def test_rounds_use_few_bins(spark):
     assert len({r.sequence_id for r in packing.pack(df.withColumn("length", df.length * 0 + 60), capacity=100, group_rows=300).collect()}) == 3000
 
 
+def test_underfull_bins_of_all_groups_meet(spark):
+    """Pieces of 51 fill no bin with each other; those of 49, a third as many, go one into each of a third of the bins."""
+    sizes = [51] * 3000 + [49] * 1000
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "row__ long, length long")
+    rows = packing.pack(df, capacity=100, group_rows=100, slack=0).collect()
+    assert len(rows) == 4000 and len({r.sequence_id for r in rows}) == 3000
+
+
 def test_packing_cases(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string").selectExpr("*", "1 AS length", "2 AS bin__", "3 AS text__")
     rows = packing.pack_documents(df, PATH, with_ids=True)

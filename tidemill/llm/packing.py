@@ -3,10 +3,11 @@
 Texts become token ids with an end id. A document longer than a sequence is cut,
 from its end, into full pieces, so that only its first piece may be shorter. All
 pieces that don't fill a sequence are dealt to groups of bounded size; each group
-packs best-fit decreasing and emits its nearly full bins. The underfull bins of
-several groups then meet as items of another best-fit round, and so on up the
-tree until one group is left or a round merges nothing. A bin with less room than
-the least filled bin left anywhere can take nothing more and is emitted too.
+packs best-fit decreasing and emits its nearly full bins. The underfull bins are
+dealt anew, so that those of several groups meet as items of another best-fit round,
+and so on up the tree until one group is left or a round merges nothing. A bin with
+less room than the least filled bin left anywhere can take nothing more and is
+emitted too.
 
 Null text counts as empty and gives a piece with the end id alone. Null and
 repeated ids are documents of their own. An empty table gives no pieces. Groups
@@ -117,13 +118,13 @@ def pack(parts: DataFrame, capacity: int = 2048, group_rows: int = 50_000, slack
     names = out.columns
     left = parts.where(short).select(
         "*", F.col("row__").alias("bin__"), F.lit(0).cast("long").alias("offset"), F.col("length").alias("fill__"), F.lit(False).alias("done__"),
-        F.xxhash64("row__").alias("group__"),
+        F.lit(0).cast("long").alias("group__"),
     )
     rows = bins = left.count()
     level = 0
     while rows:
         groups = -(-rows // group_rows)
-        left = left.withColumn("group__", F.expr(f"pmod(group__, {groups}L)"))
+        left = left.withColumn("group__", F.pmod(F.xxhash64("bin__", F.lit(level)), F.lit(groups).cast("long")))
         packed = written(left.groupBy("group__").applyInArrow(_round(level, capacity, slack), left.schema), f"level{level}", folder)
         was, smallest = bins, F.min(F.when(~F.col("done__"), F.col("fill__")))
         least = packed.agg(smallest).first()[0]
