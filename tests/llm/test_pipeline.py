@@ -1,14 +1,39 @@
+import random
 import re
+from pathlib import Path
+from types import SimpleNamespace
 
 import corpus_pipeline
+import pytest
 from tests.llm.test_quality import _base
 from tests.llm.test_secrets import _linked
-from tests.llm.test_simhash import _components, _print
-from tidemill.llm import quality
+from tests.llm.test_simhash import _components
+from tidemill.llm import exact_dedup, quality, shared
+from xxhash import xxh64_intdigest
 
 SF = "/root/testdata/sf0.001"
 
 
+def _mixed(x):
+    x = x * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ x >> 29) * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 32
+
+
+def _wide(text, width=5):
+    """512 bits, set where over half the distinct shingles have them set."""
+    words, golden = [xxh64_intdigest(w) for w in re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower())], 0x9E3779B97F4A7C15
+    hashes = set()
+    for i in range(max(1, len(words) - width + 1)):
+        total = 0
+        for w in words[i : i + width]:
+            total = (total * golden + w) % 2**64
+        hashes.add(_mixed(total))
+    bits = [_mixed(h ^ golden * k % 2**64) for k in range(1, 9) for h in hashes]
+    n = len(hashes)
+    return sum(1 << 64 * k + b for k in range(8) for b in range(64) if 2 * sum(x >> b & 1 for x in bits[k * n : k * n + n]) > n)
+
+
 def test_against_plain_version(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     columns = quality._measures(quality.Bands())()
@@ -19,7 +44,7 @@ def test_against_plain_version(spark):
         if key not in best or len(docs[i]) > len(docs[best[key]]):
             best[key] = i
     ids = sorted(best.values())
-    root = _components([_print(docs[i]) for i in ids])
+    root = _components([_wide(docs[i]) for i in ids], 86)
     kept = {min(i for i, r in zip(ids, root) if r == c) for c in root}
     stage, want = spark.read.parquet(f"{SF}/documents.parquet"), None
     for name, f in corpus_pipeline.STAGES[:-1]:
@@ -30,3 +55,56 @@ def test_against_plain_version(spark):
         assert sorted(r.doc_id for r in rows) == sorted(want)
     assert all(len(r.text) == r.n_chars and (r.text == docs[r.doc_id]) == (not _linked(docs[r.doc_id], 300)) for r in rows)
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == kept
+
+
+def _made_up(spark):
+    rng = random.Random(3)
+    prose = [" ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(120)) for _ in range(4)]
+    near = prose[1].split()
+    near[60] = "changed"
+    texts = [(1, None), (1, ""), (2, prose[0]), (2, prose[0]), (None, prose[0]), (3, prose[0].replace(" ", "\n")), (4, " ".join(near)), (5, prose[1]), (6, prose[2] + "\nlogin: bob pwd: hunter22"), (None, prose[3]), (7, "w " * 30_000), (8, "b" * 60_000)]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    return df.selectExpr("*", "1 AS row__", "2 AS fp__", "3 AS doc", "4 AS text__", "5 AS keys__", "6 AS n__"), prose
+
+
+def test_nulls_ties_repeats_and_clashing_columns(spark):
+    df, prose = _made_up(spark)
+    kept = {"quality": [2, 2, 3, 4, 5, 6, None, None], "exact_dedup": [2, 4, 5, 6, None], "near_dedup": [2, 4, 6, None], "secrets": [2, 4, 6, None]}
+    stage = df
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        stage = f(spark, stage, SF)
+        assert stage.columns == df.columns
+        rows = stage.collect()
+        assert sorted((r.doc_id for r in rows), key=lambda i: (i is None, i)) == kept[name], name
+        assert all((r.row__, r.fp__, r.doc, r.text__, r.keys__, r.n__) == (1, 2, 3, 4, 5, 6) for r in rows)
+    texts = {r.doc_id: r.text for r in rows}
+    assert texts[6] == prose[2] + "\n[SECRET] [SECRET]" and texts[2] == prose[0]
+    places = corpus_pipeline.pack(spark, stage, SF).collect()
+    assert sorted((r.doc_id for r in places), key=lambda i: (i is None, i)) == [2, 4, 6, None] and all(r.piece == 0 for r in places)
+
+
+def test_empty_table(spark):
+    df, _ = _made_up(spark)
+    stage = df.limit(0)
+    for _, f in corpus_pipeline.STAGES:
+        stage = f(spark, stage, SF)
+        assert stage.count() == 0
+
+
+def test_dropped_rows_are_read_by_task(spark):
+    """Many dropped rows, of several tasks, none of which meet the texts in a shuffle."""
+    rows = [(i, f"text {i % 700}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    left = exact_dedup.drop_copies(df)
+    assert sorted(r.doc_id for r in left.collect()) == list(range(700))
+    assert "Exchange" not in left._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scratch_folders_are_removed_and_needed_on_a_cluster(spark, tmp_path):
+    with shared.removed_after(spark):
+        shared.written(spark.range(3), "t", folder := shared.scratch(spark))
+        assert Path(folder.removeprefix("file://")).exists()
+    assert not Path(folder.removeprefix("file://")).exists()
+    session = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.scratch(session)
