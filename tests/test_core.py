@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import same_rows
-from tidemill.operators.time_windows import event_time, sessions, window_counts
+from tidemill.operators.time_windows import event_time, sessions, table_sessions, window_counts
 from tidemill.plans import queries as core
 from tidemill.streaming.events import read_events, stream_sessions, stream_window_counts
 
@@ -22,7 +22,16 @@ def test_nulls_and_empty(spark):
     df = spark.createDataFrame(rows, "user_id long, ts timestamp, value double")
     assert {(r.user_id, r.n_events) for r in window_counts(event_time(df), "1 hour").collect()} == {(1, 3), (None, 1)}
     assert sorted((r.user_id or 0, r.n_events) for r in sessions(event_time(df)).collect()) == [(0, 1), (1, 3)]
-    assert window_counts(event_time(df.limit(0)), "1 hour").count() == 0
+    assert sorted(map(repr, table_sessions(event_time(df)).collect())) == sorted(map(repr, sessions(event_time(df)).collect()))
+    assert window_counts(event_time(df.limit(0)), "1 hour").count() == table_sessions(event_time(df.limit(0))).count() == 0
+
+
+def test_sessions_across_days(spark):
+    t = dt.datetime(2024, 1, 1, 23, 40)
+    steps = [0, 19, 20, 31, 61, 92, 23 * 60, 24 * 60 + 5, 24 * 60 + 35, 24 * 60 + 66]
+    rows = [(user, t + dt.timedelta(minutes=m), 1.0) for user in (1, None) for m in steps]
+    events = event_time(spark.createDataFrame(rows, "user_id long, ts timestamp, value double"))
+    assert sorted(map(repr, table_sessions(events).collect())) == sorted(map(repr, sessions(events).collect()))
 
 
 @pytest.mark.parametrize("job", ["windows", "sessions"])

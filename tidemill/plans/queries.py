@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.money import cents
-from tidemill.operators.time_windows import event_time, sessions, window_counts
+from tidemill.operators.time_windows import event_time, table_sessions, window_counts
 from tidemill.sources.tables import table
 
 
@@ -38,7 +38,7 @@ def event_windows_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions with a gap of 30 minutes."""
-    return sessions(event_time(table(spark, sf_dir, "events")))
+    return table_sessions(event_time(table(spark, sf_dir, "events")))
 
 
 QUERIES = {
