@@ -25,7 +25,7 @@ START = r"(?<![0-9A-Z_a-z])"
 WEAK = {
     3: ("ident", re.compile(START + "(?:" + "|".join(NAMES) + ")" + GIVEN + r"[0-9A-Za-z@+/_.\-]{3,}", re.I | re.A)),
     4: ("secret", re.compile(START + "(?:" + "|".join(LOOSE) + ")" + GIVEN + r"[0-9A-Za-z+/_.=\-]{6,}", re.I | re.A)),
-    5: ("endpoint", re.compile(START + r"(?:[a-z][a-z0-9+]*://[0-9A-Za-z._~:/?@%&=+\-]+|(?:" + "|".join(HOSTS) + ")" + GIVEN + r"[0-9A-Za-z._:/\-]{3,})", re.I | re.A)),
+    5: ("endpoint", re.compile(r"(?<![0-9A-Z_a-z+])(?:[a-z][a-z0-9+]*://[0-9A-Za-z._~:/?@%&=+\-]+|(?:" + "|".join(HOSTS) + ")" + GIVEN + r"[0-9A-Za-z._:/\-]{3,})", re.I | re.A)),
 }
 
 
@@ -136,4 +136,6 @@ def test_very_many_spans(spark):
     began = time.time()
     df = spark.createDataFrame([(1, one * 100_000)], "doc_id int, text string")
     assert secrets.redact(df).first().text == one.replace("token=abcdefghijkl", "[SECRET]") * 100_000
+    long = "a+" * 300_000 + "\n" + "} \n" * 100_000 + "login " * 100_000
+    assert secrets.scan(spark.createDataFrame([(1, long)], "doc_id int, text string")).first().spans == ""
     assert time.time() - began < 120

@@ -32,7 +32,7 @@ ACCESS = "AKIA[A-Z0-9]{14,}"  # of a run of these characters only its first AKIA
 HEX = "[0-9a-f]{16,}"
 IDENT = rf"(?i)(?<![A-Za-z0-9_])(user|username|user_?id|login|account|client_?id|access_?key|access_?key_?id){_VALUE}([A-Za-z0-9@+/_.-]{{3,}})"
 WEAK = rf"(?i)(?<![A-Za-z0-9_])(pass|pwd|passphrase|key|credential|auth|private_?key|secret_?key){_VALUE}([A-Za-z0-9+/_.=-]{{6,}})"
-ENDPOINT = rf"(?i)(?<![A-Za-z0-9_])(?:[a-z][a-z0-9+]*://[A-Za-z0-9._~:/?@%&=+-]+|(?:host|hostname|endpoint|server){_VALUE}[A-Za-z0-9._:/-]{{3,}})"
+ENDPOINT = rf"(?i)(?<![A-Za-z0-9_+])(?:[a-z][a-z0-9+]*://[A-Za-z0-9._~:/?@%&=+-]+|(?:host|hostname|endpoint|server){_VALUE}[A-Za-z0-9._:/-]{{3,}})"
 BREAK = r"\n[\x20\t\r]*\n|\}[\x20\t\r\n]*+(?:,[\x20\t\r\n]*+)?\{"
 #: In the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "ident", "weak", "endpoint")
