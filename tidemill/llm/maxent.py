@@ -16,7 +16,8 @@ result depends on the rows and not on how they are dealt to tasks. Only sums of
 weights' size, which is fixed, reach the driver.
 
 Unigram counts cover all training rows. Counts of the ``head`` most frequent tokens
-(bounded) are broadcast, those of all others are joined by token.
+of at most LONGEST bytes (bounded in number and in bytes) are broadcast, those of
+all others are joined by token.
 
 Null text counts as empty: its only token is the end. A null id counts as the text
 ''. Repeated rows are rows of their own. An empty table gives an empty result;
@@ -45,6 +46,7 @@ SLOTS, CLASSES = 16, 16
 OWN = 160  # slots that hold one token
 END = b""  # no word is empty
 KNOWN = 300_000
+LONGEST = 64  # bytes of a token that may be broadcast
 
 
 @dataclass(frozen=True)
@@ -69,7 +71,7 @@ class Hashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxh64_intdigest(word, 42)
-        if len(self) < KNOWN and len(word) <= 64:
+        if len(self) < KNOWN and len(word) <= LONGEST:
             self[word] = h
         return h
 
@@ -219,6 +221,7 @@ def count_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
+        read = 0  # characters, no fewer than the counted tokens have
 
         def rows() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["token", "n"])
@@ -226,9 +229,11 @@ def count_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 counts.update(tokens(text or ""))
-            if len(counts) > 300_000:
-                yield rows()
-                counts.clear()
+                read += len(text or "")
+                if len(counts) > 300_000 or read > 1 << 27:
+                    yield rows()
+                    counts.clear()
+                    read = 0
         if counts:
             yield rows()
 
@@ -351,7 +356,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setti
         if taken > s.head:
             break
         least = kind
-    found = counts.where(size >= least).collect() if least is not None else []
+    found = counts.where((size >= least) & (F.length("token") <= LONGEST)).collect() if least is not None else []
     head = {bytes(r.token): r.n for r in sorted(found, key=lambda r: (-r.n, bytes(r.token)))}
     own = {word: i for i, word in enumerate(list(head)[:OWN])}
     first = spark.createDataFrame(list(own.items()), "token binary, own int")
