@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -46,6 +47,11 @@ def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder and the folder's path there, for tasks that read or write files themselves."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Delete a scratch folder whose tables nobody will read again."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -90,16 +96,16 @@ def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
     schema = rows.schema["doc"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(path)
+        files_, root = store(path)
         lists: dict[int, np.ndarray] = {}
         for batch in batches:
             numbers = batch.column(0).to_numpy()
             stays = np.ones(len(numbers), bool)
             for task in np.unique(numbers >> _TASK_BITS).tolist():
                 if task not in lists:
-                    found = store.get_file_info(fs.FileSelector(f"{root}/task__={task}", allow_not_found=True))
+                    found = files_.get_file_info(fs.FileSelector(f"{root}/task__={task}", allow_not_found=True))
                     files = [f.path for f in found if f.path.endswith(".parquet")]
-                    lists = {task: np.concatenate([pq.read_table(f, columns=["row__"], filesystem=store, partitioning=None).column(0).to_numpy() for f in files] or [numbers[:0]])}
+                    lists = {task: np.concatenate([pq.read_table(f, columns=["row__"], filesystem=files_, partitioning=None).column(0).to_numpy() for f in files] or [numbers[:0]])}
                 stays &= ~np.isin(numbers, lists[task])
             kept = batch.filter(pa.array(stays))
             yield pa.RecordBatch.from_arrays(kept.column(1).flatten(), names=schema.names)

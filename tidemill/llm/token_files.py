@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.bpe import encoder
-from tidemill.llm.shared import scratch, written
+from tidemill.llm.shared import scratch, store, written
 
 MAGIC = b"TMPFOR1\n"
 _HEAD = struct.Struct("<IIQQ")
@@ -158,16 +158,13 @@ def read_values(data: bytes, first: int = 0, last: int | None = None) -> np.ndar
 
 def write_files(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, id_col: str = "doc_id", text_col: str = "text", file_values: int = 1 << 20) -> DataFrame:
     """Writes the files and returns their list: part__, file__, n_values, file_start (ids in all files before)."""
-    from pyarrow import fs
-
     source = docs.select(F.col(id_col).cast("long").alias("id__"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text__"), F.rand(11).alias("deal__"))
     ordered = source.repartitionByRange("id__", "deal__").sortWithinPartitions("id__", "deal__").select("id__", "text__")
     names = ["part__", "file__", "n_values"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        part, store_path = task.partitionId(), fs.FileSystem.from_uri(folder)
-        store, path = store_path
+        part, (files_, path) = task.partitionId(), store(folder)
         encode, tail = encoder(tokenizer).encode, struct.pack("<I", end)
         ids, texts, size, k = [], [], 0, 0
 
@@ -175,14 +172,14 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, id_c
             nonlocal ids, texts, size, k
             final = f"{path}/part-{part:06d}-{k:06d}.pfor"
             attempt = f"{path}/_attempts/{part}-{k}-{task.taskAttemptId()}"
-            with store.open_output_stream(attempt) as f:
+            with files_.open_output_stream(attempt) as f:
                 f.write(encode_file(ids, texts))
-            store.move(attempt, final)  # a repeated attempt replaces the file by an equal one
+            files_.move(attempt, final)  # a repeated attempt replaces the file by an equal one
             row = pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (part, k, size)], names=names)
             ids, texts, size, k = [], [], 0, k + 1
             return row
 
-        store.create_dir(f"{path}/_attempts", recursive=True)
+        files_.create_dir(f"{path}/_attempts", recursive=True)
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = encode(text) + tail
