@@ -64,7 +64,7 @@ def test_memos_are_bounded(monkeypatch):
     for _ in range(300):
         model.encode(" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.choice([3, 8, 100]))) for _ in range(20)))
         model.encode("".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(300)))
-    for memo in (model.allowed, model.states, model.paths):
+    for memo in (model.weights, model.states, model.paths):
         assert memo.used <= 1.1 * (1 << 18) and all(sum(map(len, k)) <= 64 for k in [*memo.new, *memo.old])
 
 

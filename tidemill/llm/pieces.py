@@ -176,7 +176,7 @@ class Model:
         self.inside = {n[i : i + 2] for n in self.arcs for i in range(len(n) - 1)}
         self.fallback = 10 - min((s for s, k in zip(self.scores, self.kinds, strict=True) if k == _NORMAL), default=0.0)
         self.least = 0.0 if self.bpe else -_NO_PATH  # no path has less weight
-        self.allowed, self.states, self.paths = Memo(MEMORY), Memo(MEMORY, 48), Memo(MEMORY)
+        self.weights, self.states, self.paths = Memo(MEMORY), Memo(MEMORY, 48), Memo(MEMORY)
         self.output = [bytes([int(n[3:5], 16)]) if k == _BYTE else b"" if k == _CONTROL else " ⁇ ".encode() if k == _UNKNOWN else n.replace(SPACE, " ").encode() for n, k in zip(self.names, self.kinds, strict=True)]
         # A stretch can only begin at a space after something else if no piece has one inside.
         self.stretches = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if not any(p[1] == SPACE != p[0] for p in self.inside) else re.compile(".+", re.S)
@@ -196,37 +196,49 @@ class Model:
 
     def _weight(self, last: str, piece: str) -> float:
         """Of the arc of a piece after another; '' stands for the start and for characters that no piece has."""
-        if not self.bpe:
-            return -self.scores[self.arcs[piece]]
         pair = (last, piece)
-        found = self.allowed.new.get(pair)
+        found = self.weights.old.get(pair)
         if found is None:
-            found = self.allowed.old.get(pair)
-            if found is None:
+            if not self.bpe:
+                found = -self.scores[self.arcs[piece]]
+            else:
                 found = 0.0 if self.merge(last + piece) == ([last, piece] if last else [piece]) else _NO_PATH
-            self.allowed.put(pair, found, len(last) + len(piece))
+        self.weights.put(pair, found, len(last) + len(piece))
         return found
 
     def _bytes_of(self, char: str) -> list[int]:
         return [self.bytes_[b] for b in char.encode("utf-8", "surrogatepass")] if self.bytes_ else [self.unknown]
 
-    def _state(self, text: str, j: int, states: list[State]) -> State:
+    def _at(self, text: str, i: int, states: list[State | None]) -> State:
+        """The state after the first i characters, which may be remembered by them."""
+        state = self.states.new.get(text[:i]) or self.states.old.get(text[:i])
+        if state is None:  # forgotten meanwhile
+            for j in range(1, i):
+                states[j] = states[j] or self._state(text, j, states)
+            state = self._state(text, i, states)
+        states[i] = state
+        return state
+
+    def _state(self, text: str, j: int, states: list[State | None]) -> State:
         """The least weight of a path over the first j characters, and its last arc: where it starts, its piece and the piece's number."""
-        tails, arcs, ends = self.tails, self.arcs, []
+        tails, arcs, weights = self.tails, self.arcs, self.weights.new
+        best: State = (_NO_PATH, j - 1, "", None)
         i = j - 1
         while i >= 0 and (piece := text[i:j]) in tails:
-            if piece in arcs:
-                ends.append((i, piece))
+            number = arcs.get(piece)
+            if number is not None:
+                cost, _, last, _ = states[i] or self._at(text, i, states)
+                if cost < _NO_PATH:
+                    weight = weights.get((last, piece))
+                    if weight is None:
+                        weight = self._weight(last, piece)
+                    if cost + weight <= best[0] and weight < _NO_PATH:  # of equals the one with the longest last piece
+                        best = (cost + weight, i, piece, number)
+                        if best[0] <= self.least:
+                            return best
             i -= 1
-        best: State = (_NO_PATH, j - 1, "", None)
-        for i, piece in reversed(ends):
-            before = states[i]
-            if before[0] < best[0] and (weight := before[0] + self._weight(before[2], piece)) < best[0]:
-                best = (weight, i, piece, arcs[piece])
-                if weight <= self.least:
-                    return best
         if text[j - 1] not in arcs:
-            cost = states[j - 1][0] + (0.0 if self.bpe else self.fallback)
+            cost = (states[j - 1] or self._at(text, j - 1, states))[0] + (0.0 if self.bpe else self.fallback)
             if cost < best[0]:
                 best = (cost, j - 1, "", None)
         return best
@@ -236,21 +248,20 @@ class Model:
 
         States depend only on the characters before them; those of short stretches are remembered by their prefix.
         """
-        known, short = self.states, len(text) <= self.states.longest
-        states: list[State] = [(0.0, 0, "", None)]
-        for j in range(1, len(text) + 1):
-            prefix = text[:j] if short else ""
-            state = known.new.get(prefix) if short else None
-            if state is None:
-                state = known.old.get(prefix) if short else None
-                if state is None:
-                    state = self._state(text, j, states)
-                if short:
-                    known.put(prefix, state, j)
-            states.append(state)
-        out, at = [], len(text)
+        n, start = len(text), 0
+        states: list[State | None] = [(0.0, 0, "", None), *[None] * n]
+        short = n <= self.states.longest
+        if short:  # from the longest prefix that is remembered
+            new, old, start = self.states.new, self.states.old, n
+            while start and (text[:start] not in new) and (text[:start] not in old):
+                start -= 1
+        for j in range(start + 1, n + 1):
+            states[j] = self._state(text, j, states)
+            if short:
+                self.states.put(text[:j], states[j], j)
+        out, at = [], n
         while at:
-            _, before, _, number = states[at]
+            _, before, _, number = states[at] or self._at(text, at, states)
             out.append([number] if number is not None else self._bytes_of(text[before:at]))
             at = before
         return [x for part in reversed(out) for x in part]
