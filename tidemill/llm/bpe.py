@@ -32,14 +32,14 @@ _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\
 # A word of ASCII or Latin-1 letters and closing marks: the pattern cuts between the two and nowhere else.
 _WORD = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One for each file in a Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, plain: bool = False) -> Encoder:
+    """One for each file in a Python worker; ``plain``: special tokens' strings in texts are ordinary text."""
+    if (path, plain) not in _encoders:
+        _encoders[path, plain] = Encoder(path, plain=plain)
+    return _encoders[path, plain]
 
 
 def _odd_space(text: str) -> bool:
@@ -53,14 +53,15 @@ class Encoder(dict):
     Keys of at most SHORT characters are kept, in two generations of ``memory`` bytes together.
     """
 
-    def __init__(self, path: str, memory: int = MEMORY) -> None:
+    def __init__(self, path: str, memory: int = MEMORY, plain: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
         self.library = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.library.encode_special_tokens = plain
+        self.special = [] if plain else [t.content for t in self.library.get_added_tokens_decoder().values()]
         plain = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
         self.ready = json.loads(self.library.to_str())["pre_tokenizer"] == plain and self.library.normalizer is None
         # The byte-level alphabet: what the library's own pre-tokenizer makes of a space and of each Latin-1 letter.
@@ -72,6 +73,19 @@ class Encoder(dict):
         self.older: dict[str, bytes] = {}
         self.half, self.used = memory // 2, 0
 
+    def token_bytes(self) -> list[bytes]:
+        """What each id stands for: the byte-level alphabet read backwards."""
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printable]
+        back = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
+        if set(back) != set(ByteLevel.alphabet()):
+            raise ValueError("another alphabet than the usual one")
+        names = {i: t for t, i in self.library.get_vocab().items()}
+        added = {i: t.content.encode() for i, t in self.library.get_added_tokens_decoder().items()}
+        return [added[i] if i in added else bytes(back[c] for c in names[i]) for i in range(len(names))]
+
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
         if any(c in text for c in _UNSURE) or any(s in text for s in self.special) or not self.ready:

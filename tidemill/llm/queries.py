@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.llm.alignment import cross_align
 from tidemill.llm.exact_dedup import exact_dedup
 from tidemill.llm.language import identify, train
 from tidemill.llm.maxent import score
@@ -87,6 +88,11 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op13_cross_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level and sentence pieces of all documents aligned, with corpus-wide counts of linked ids."""
+    return cross_align(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -98,6 +104,7 @@ QUERIES = {
     "op7_pseudonyms": op7_pseudonyms,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_language_id": op10_language_id,
+    "op13_cross_alignment": op13_cross_alignment,
 }
 
 ORACLE_SQL = {
