@@ -1,0 +1,109 @@
+import math
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from tidemill.llm import queries
+from tidemill.llm import whitening as m
+
+SF = "/root/testdata/sf0.01"
+SCHEMA = "vec_id long, embedding array<float>"
+
+
+def _rows(spark, vectors):
+    return spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], SCHEMA)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 8, 40])
+def test_components_of_matrices(n):
+    rng = np.random.default_rng(n)
+    base = np.linalg.qr(rng.standard_normal((n, n)))[0]
+    kinds = {
+        "random": rng.uniform(0, 5, n), "equal": np.full(n, 3.0), "pairs": np.repeat(rng.uniform(1, 2, n), 2)[:n], "close": 1 + np.arange(n) * 1e-14,
+        "wide": 10.0 ** -np.arange(n), "rank one": np.eye(n)[0] * 7, "zero": np.zeros(n),
+    }
+    for name, values in kinds.items():
+        for rotate in (base, np.eye(n)):
+            a = rotate * values @ rotate.T
+            a = (a + a.T) / 2
+            k = min(n, 32)
+            got, vectors = m.components(a, k)
+            want = np.linalg.eigvalsh(a)[::-1][:k]
+            size = max(np.abs(values).max(), 1e-300)
+            assert np.abs(got - want).max() <= 1e-13 * size, name
+            assert np.abs(vectors.T @ vectors - np.eye(k)).max() < 1e-10, name
+            assert np.abs(a @ vectors - vectors * got).max() <= 1e-12 * size, name
+
+
+def test_sturm_counts():
+    rng = np.random.default_rng(5)
+    d, e = rng.standard_normal(30), rng.standard_normal(29)
+    e[10] = 0
+    values = np.linalg.eigvalsh(np.diag(d) + np.diag(e, 1) + np.diag(e, -1))
+    at = np.concatenate((rng.uniform(-4, 4, 200), d))
+    assert (m.sturm_counts(d, e, at) == (values[None] < at[:, None]).sum(1)).all()
+
+
+def _check(vectors, got, components=32):
+    """Against numpy's eigenvalues and Python's integers."""
+    x = [[math.floor(64 * float(np.float32(c))) + 1_000_000 for c in v] for v in vectors]
+    n, d = len(x), len(x[0])
+    sums = [sum(r[k] for r in x) for k in range(d)]
+    away = np.array([[n * c - s for c, s in zip(r, sums, strict=True)] for r in x], object)
+    centred = away.astype(float) / n
+    v = centred.T @ centred / n
+    values, base = np.linalg.eigh(v)
+    values, base = values[::-1], base[:, ::-1]
+    k = min(components, d, int((values > 1e-12 * values.sum()).sum()))
+    assert len(got) == n * k and set(got.n) == {n} and got.identity_error.nunique() == 1 and got.identity_error.iloc[0] < 1e-6
+    got = got.sort_values(["vec_id", "component"])
+    white = got.whitened.to_numpy().reshape(n, k)
+    assert got.deviation.to_numpy().reshape(n, k)[:, 0].tolist() == [sum(int(c) ** 2 for c in r) for r in away]
+    assert np.abs(got.explained.to_numpy().reshape(n, k) - values[:k] / np.trace(v)).max() < 1e-12
+    for c in range(k):
+        want = centred @ base[:, c] / np.sqrt(values[c])
+        assert min(np.abs(white[:, c] - want).max(), np.abs(white[:, c] + want).max()) < 1e-6
+    assert np.abs(np.cov(white.T, bias=True) - np.eye(k)).max() < 1e-6
+
+
+def test_query(spark):
+    vectors = pd.read_parquet(f"{SF}/embeddings.parquet").embedding.tolist()
+    got = queries.op12_whitening(spark, SF)
+    assert dict(got.dtypes) == {"vec_id": "bigint", "component": "int", "n": "bigint", "deviation": "bigint", "whitened": "double", "explained": "double", "identity_error": "double"}
+    _check(vectors, got.toPandas())
+
+
+def test_left_out_rows_and_partitions(spark):
+    rng = np.random.default_rng(2)
+    vectors = (rng.standard_normal((300, 7)) * [9, 9, 3, 1, 5, 2, 8]).tolist()
+    nan, inf = float("nan"), float("inf")
+    rows = list(enumerate(vectors)) + [(900, None), (901, [nan] * 7), (902, [inf, *[0.0] * 6]), (903, [None, *[0.0] * 6]), (904, [-inf] * 7)]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS n", "2 AS deviation", "3 AS whitened", "4 AS x__", "5 AS id__")
+    for parts in (1, 13):
+        _check(vectors, m.whiten(df.repartition(parts)).toPandas())
+
+
+def test_dependent_dimensions_and_repeats(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(-90, 90, (200, 4))
+    vectors = (np.column_stack((x, x[:, 0] + x[:, 1], np.full(200, 4), x[:, 2])) / 64).tolist()
+    _check(vectors + vectors, m.whiten(_rows(spark, vectors + vectors)).toPandas())
+
+
+def test_cases(spark):
+    assert m.whiten(_rows(spark, [])).count() == 0
+    assert m.whiten(_rows(spark, [None, [float("nan")]])).count() == 0
+    assert m.whiten(_rows(spark, [[1.0, 2.0]])).count() == 0 and m.whiten(_rows(spark, [[1.0, 2.0]] * 9)).count() == 0
+    got = m.whiten(spark.createDataFrame([(None, [1.0, 2.0]), (None, [3.0, 2.0]), (5, [1.0, 9.0])], SCHEMA)).toPandas()
+    assert len(got) == 6 and got.vec_id.isna().sum() == 4
+    with pytest.raises(Exception, match="from 1 to 2 entries"):
+        m.whiten(_rows(spark, [[1.0], [1.0, 2.0]]))
+    big = spark.createDataFrame([(i, [1e12 * (i % 2), float(i)]) for i in range(6)], "vec_id long, embedding array<double>")
+    assert m.whiten(big).where("deviation IS NOT NULL").count() == 0  # squares beyond a long
+
+
+def test_fewer_components(spark):
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((60, 5)).tolist()
+    _check(vectors, m.whiten(_rows(spark, vectors), count=2).toPandas(), 2)

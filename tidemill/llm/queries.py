@@ -16,6 +16,7 @@ from tidemill.llm.quality import quality
 from tidemill.llm.secrets import scan
 from tidemill.llm.simhash import near_dedup
 from tidemill.llm.token_files import token_files
+from tidemill.llm.whitening import whiten
 
 #: Stands for the key that a user gives; whoever knows it can undo the pseudonyms.
 PSEUDONYM_KEY = b"example key, not secret"
@@ -88,6 +89,11 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings whitened by 32 components of the covariance of all."""
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_cross_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level and sentence pieces of all documents aligned, with corpus-wide counts of linked ids."""
     return cross_align(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
@@ -104,6 +110,7 @@ QUERIES = {
     "op7_pseudonyms": op7_pseudonyms,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_language_id": op10_language_id,
+    "op12_whitening": op12_whitening,
     "op13_cross_alignment": op13_cross_alignment,
 }
 
