@@ -16,6 +16,7 @@ from tidemill.llm.quality import quality
 from tidemill.llm.secrets import scan
 from tidemill.llm.simhash import near_dedup
 from tidemill.llm.token_files import token_files
+from tidemill.llm.toxicity import toxicity
 from tidemill.llm.whitening import whiten
 
 #: Stands for the key that a user gives; whoever knows it can undo the pseudonyms.
@@ -89,6 +90,11 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from labelled ones that aren't held out, with the nearest example."""
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings whitened by 32 components of the covariance of all."""
     return whiten(_table(spark, sf_dir, "embeddings"))
@@ -110,6 +116,7 @@ QUERIES = {
     "op7_pseudonyms": op7_pseudonyms,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_language_id": op10_language_id,
+    "op11_toxicity": op11_toxicity,
     "op12_whitening": op12_whitening,
     "op13_cross_alignment": op13_cross_alignment,
 }
