@@ -30,7 +30,8 @@ from tidemill.llm.bpe import binary, encoder
 from tidemill.llm.shared import first_row_number, scratch, with_columns, written
 
 HEAD = 1 << 20  # pairs of ids that are broadcast at most, of 17 bytes each
-AT_ONCE = 1 << 20  # characters of texts that are aligned together
+AT_ONCE = 1 << 19  # characters of texts that are aligned together
+MEMORY = 64 << 20  # bytes that the first tokenizer's remembered stretches may take in a worker
 COUNTED = 1 << 22  # pairs that a task adds up at most before it sends them
 
 
@@ -86,7 +87,7 @@ class Aligner:
     def __init__(self, tokenizer: str, model: bytes) -> None:
         import sentencepiece
 
-        self.first = encoder(tokenizer, plain=True)
+        self.first = encoder(tokenizer, plain=True, memory=MEMORY)
         self.second = sentencepiece.SentencePieceProcessor(model_proto=model)
         a, b = self.first.token_bytes(), [self._bytes(i) for i in range(self.second.get_piece_size())]
         self.bytes = [pa.array(x, pa.binary()) for x in (a, b)]
@@ -222,7 +223,7 @@ def align(docs: DataFrame, tokenizer: str, model_file: str, id_col: str = "doc_i
         return columns
 
     fields = f"n_a long, n_b long, n_groups long, {'groups' if with_groups else 'groups_sha256'} string, pairs binary, row__ long"
-    return written(with_columns(docs, text_col, make, fields, [F.col(id_col).alias("doc_id")]), "aligned")
+    return written(with_columns(docs, text_col, make, fields, [F.col(id_col).alias("doc_id")], at_once=1000), "aligned")
 
 
 def _vocabularies(tokenizer: str, model_file: str) -> tuple[int, type]:

@@ -35,10 +35,10 @@ _WORD = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str, plain: bool = False) -> Encoder:
+def encoder(path: str, plain: bool = False, memory: int = MEMORY) -> Encoder:
     """One for each file in a Python worker; ``plain``: special tokens' strings in texts are ordinary text."""
     if (path, plain) not in _encoders:
-        _encoders[path, plain] = Encoder(path, plain=plain)
+        _encoders[path, plain] = Encoder(path, memory, plain)
     return _encoders[path, plain]
 
 

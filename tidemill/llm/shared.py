@@ -141,11 +141,12 @@ def first_row_number() -> int:
 Maker = Callable[[], Callable[[pa.RecordBatch, list[str]], list[pa.Array]]]
 
 
-def with_columns(docs: DataFrame, text_col: str, make: Maker, fields: str, keep: list[str] | None = None) -> DataFrame:
+def with_columns(docs: DataFrame, text_col: str, make: Maker, fields: str, keep: list[str] | None = None, at_once: int | None = None) -> DataFrame:
     """Rows of ``docs`` with columns made from the text (null: empty), in Arrow batches.
 
     ``make()`` runs once in each task and returns a function of a batch and its texts.
     ``keep`` lists the columns that stay; None keeps whole rows as struct ``doc``, whatever their columns are called.
+    ``at_once``: rows that go through it together at most, less than a batch where much is made of each.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text__")
     kept = docs.select(F.struct("*").alias("doc"), text) if keep is None else docs.select(*keep, text)
@@ -155,7 +156,7 @@ def with_columns(docs: DataFrame, text_col: str, make: Maker, fields: str, keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = make()
-        for batch in batches:
+        for batch in (b.slice(i, at_once) for b in batches for i in range(0, b.num_rows, at_once or b.num_rows)):
             if batch.num_rows:
                 made = columns(batch, batch.column(batch.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=names)
