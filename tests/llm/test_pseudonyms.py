@@ -55,6 +55,41 @@ def test_numbers_without_a_phone_mark_stay():
     assert m.Pseudonyms(b"key").replace(clean) == (clean, [0] * 7)
 
 
+def test_what_fails_validation_stays():
+    p = m.Pseudonyms(b"key")
+    for clean in ("(2019) 2020-2021", "pages (12) 345-678", "01 02 03 04 05", "05 06 20241", "order 00 12 34 56 78", "200 300 4000", "+0 123 456 789", "+999", "+1 555 123", "0012345678", "+210 1"):
+        assert p.replace(clean) == (clean, [0] * 7), clean
+    stamps = " ".join(str(1_700_000_000_000 + 86_399_977 * i) for i in range(2000))
+    assert p.replace(stamps) == (stamps, [0] * 7)
+    assert p.replace("tel:+4930123456")[0].startswith("tel:+49") and p.replace("tel:+4930123456")[1][-1] == 1
+    assert p.replace("+351 21 123 4567")[0].startswith("+351 ") and p.replace("0033 612345678")[0].startswith("0033 ")
+
+
+def test_pseudonyms_are_valid_and_distinct():
+    """Checked with arithmetic of its own: dates, IBANs, cards and phones in sentences."""
+    p, rng = m.Pseudonyms(b"key"), random.Random(5)
+    seen: dict[str, str] = {}
+    for _ in range(300):
+        day = dt.date(1900, 1, 1) + dt.timedelta(rng.randrange(73_049))
+        body = "".join(rng.choice("0123456789") for _ in range(18))
+        check = 98 - int(body + "131400") % 97
+        card = rng.choice(["4", "51", "2221", "6011"])
+        card += "".join(rng.choice("0123456789") for _ in range(15 - len(card)))
+        total = sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(card))
+        card += str(-total % 10)
+        phone = f"+49 {rng.randrange(100, 999)} {rng.randrange(10**6, 10**7)}"
+        values = [day.isoformat(), f"DE{check:02}{body}", card, phone]
+        new, counts = p.replace("On {}, account {}, card {}, call {}.".format(*values))
+        assert counts == [0, 0, 1, 0, 1, 1, 1]
+        made = list(re.fullmatch(r"On (\S+), account (\S+), card (\S+), call (.+)\.", new).groups())
+        assert 1900 <= dt.date.fromisoformat(made[0]).year <= 2099
+        assert made[1][:2] == "DE" and int(made[1][4:] + "1314" + made[1][2:4]) % 97 == 1
+        assert sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(made[2]))) % 10 == 0 and len(made[2]) == 16 and made[2][0] in "23456"
+        assert made[3].startswith("+49 ") and len(made[3]) == len(phone)
+        for value, other in zip(values, made, strict=True):
+            assert value != other and seen.setdefault(other, value) == value
+
+
 def test_inverses():
     p = m.Pseudonyms(b"key")
     values = {
@@ -93,7 +128,7 @@ def _plain(text):
     found += [(x.start(), x.end(), "ssn") for x in re.finditer(r"\d{3}-\d\d-\d{4}", text, re.A)]
     for x in re.finditer(r"(?<!\w)\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?!\w)", text, re.A):
         digits = [int(c) for c in x[0] if c.isdigit()]
-        if sum(d if i % 2 else sum(map(int, str(2 * d))) for i, d in enumerate(digits)) % 10 == 0:
+        if sum(d if i % 2 else sum(map(int, str(2 * d))) for i, d in enumerate(digits)) % 10 == 0 and re.match(r"4|5[1-5]|2(22[1-9]|2[3-9]|[3-6]|7[01]|720)|35|6[245]|6011", re.sub(r"\D", "", x[0])):
             found.append((x.start(), x.end(), "card"))
     return sorted(found)
 

@@ -31,9 +31,8 @@ from tidemill.llm.shared import with_columns
 BLOCK = 128  # characters of an address permuted together
 KINDS = ("email", "ip", "date", "ssn", "iban", "card", "phone")
 _PHONE_FORMS = r"""(?P<phone>(?:\+|00)[1-9][0-9]{0,2}(?:[\x20.-]?\([0-9]{1,5}\))?(?:[\x20.-]?[0-9]{1,8}){1,6}
-    |(?:1[\x20.-]?)?\([0-9]{2,5}\)[\x20.-]?[0-9]{2,8}(?:[\x20.-][0-9]{2,8}){0,3}
-    |(?:1[\x20.-])?[0-9]{3}(?P<us>[\x20.-])[0-9]{3}(?P=us)[0-9]{4}
-    |0[0-9]{1,4}(?P<trunk>[\x20-])[0-9]{2,8}(?:(?P=trunk)[0-9]{2,8}){0,3})(?![A-Za-z0-9_])"""
+    |(?:1[\x20.-]?)?\([2-9][0-9]{2}\)[\x20.-]?[2-9][0-9]{2}[\x20.-][0-9]{4}
+    |(?:1[.-])?[2-9][0-9]{2}(?P<us>[.-])[2-9][0-9]{2}(?P=us)[0-9]{4})(?![A-Za-z0-9_])"""
 _PHONE = re.compile(_PHONE_FORMS, re.VERBOSE)
 _PATTERN = re.compile(
     r"""(?<![A-Za-z0-9._%+-])(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)
@@ -50,6 +49,9 @@ _PATTERN = re.compile(
 _GROUP = re.compile(r"[A-Za-z0-9+(]+")
 _END = re.compile(r"(?<=[A-Za-z0-9])[\x20.-]")
 _IBAN = {c: int(n) for n, cs in (("15", "NO"), ("16", "BE"), ("18", "DK FI FO GL NL"), ("19", "MK SI"), ("20", "AT BA EE KZ LT LU XK"), ("21", "CH HR LI LV"), ("22", "BG BH CR DE GB GE IE ME RS VA"), ("23", "AE GI IL IQ TL"), ("24", "AD CZ ES MD PK RO SA SE SK TN VG"), ("25", "LY PT ST"), ("26", "IS TR"), ("27", "FR GR IT MC MR SM"), ("28", "AL AZ BY CY DO GT HU LB PL SV"), ("29", "BR EG PS QA UA"), ("30", "JO KW MU"), ("31", "MT SC"), ("32", "LC")) for c in cs.split()}
+#: Country codes of two digits; 1 and 7 are codes of one digit, and all others have three, of which the first two are listed.
+_TWO = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+_THREE = set("21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split())
 #: Digits after a country code, where all numbers of the country have as many.
 _NATIONAL = {"1": 10, "7": 10, "31": 9, "33": 9, "34": 9, "41": 9, "44": 10, "45": 8, "47": 8, "48": 9, "61": 9, "86": 11, "91": 10}
 _FIRST, _DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal() - dt.date(1900, 1, 1).toordinal()
@@ -109,6 +111,15 @@ def _usual(digits: str) -> bool:
     return n == 16 and (51 <= two <= 55 or 2221 <= four <= 2720 or two in (35, 62, 64, 65) or four == 6011)
 
 
+def _country(digits: str) -> str | None:
+    """The country code that an international number begins with."""
+    return digits[0] if digits[:1] in ("1", "7") else digits[:2] if digits[:2] in _TWO else digits[:3] if digits[:2] in _THREE and len(digits) > 3 else None
+
+
+def _in_use(digits: str) -> bool:
+    return digits[0] > "1" and digits[3] > "1"
+
+
 def _mod97(s: str) -> int:
     return int("".join(str(int(c, 36)) for c in s)) % 97
 
@@ -197,18 +208,29 @@ class Pseudonyms:
 
     def card(self, s: str, back: bool = False) -> str | None:
         d = _digits(s)
-        if luhn(d[:-1]) != int(d[-1]):
+        if luhn(d[:-1]) != int(d[-1]) or not _usual(d):
             return None
-        new = f"{self.permute(int(d[:-1]), 10 ** (len(d) - 1), 'card', back):0{len(d) - 1}}"
-        return _refill(s, new + str(luhn(new)))
+        while True:  # until an issuer has such numbers, too
+            d = f"{self.permute(int(d[:-1]), 10 ** (len(d) - 1), 'card', back):0{len(d) - 1}}"
+            d += str(luhn(d))
+            if _usual(d):
+                return _refill(s, d)
 
     def phone(self, s: str, back: bool = False) -> str | None:
         d = _digits(s)
-        if not 8 <= len(d) <= 15 or d == s or s[0] == "0" and s[1] != "0" and not 9 <= len(d) <= 11:
+        if s.startswith(("+", "00")):
+            d = d.removeprefix("00") if s[0] == "0" else d
+            code = _country(d)
+        else:  # a North American form
+            code = "1" if len(d) > 10 else ""
+        national = d[len(code) :] if code is not None else ""
+        if code is None or not 8 <= len(code + national) <= 15 or len(national) != _NATIONAL.get(code or "1", len(national)):
             return None
-        lead = d[:-10]  # the country code stays
-        rest = d[len(lead) :]
-        return _refill(s, lead + f"{self.permute(int(rest), 10 ** len(rest), 'phone', back):0{len(rest)}}")
+        digits, american = national, code in ("", "1")
+        while True:  # of American numbers those that can be in use stay so, and others don't become such
+            digits = f"{self.permute(int(digits), 10 ** len(digits), 'phone' if american else f'phone:{code}', back):0{len(digits)}}"
+            if not american or _in_use(digits) == _in_use(national):
+                return _refill(s, _digits(s)[: -len(national)] + digits)
 
     def _found(self, kind: str, s: str) -> tuple[str, str, int] | None:
         """Kind, pseudonym and length of what a match begins with, if anything of it is valid.
