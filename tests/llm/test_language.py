@@ -34,8 +34,8 @@ def test_evidence_and_cases(spark):
     en = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en' AND n_chars > 500").first().text
     rows = [(i, de, "http://www.a.de/x", "de-DE") for i in range(30)] + [(i + 100, en, "http://b.com", "en") for i in range(60)]
     rows += [(1000, "", "http://www.a.de/y", None), (1001, None, None, None), (1002, de, "http://b.com", "en"), (1003, "", "http://c.a.de/", "xx"), (1004, f"<html lang='de'><script>{en}</script></html>", "", None), (1001, None, None, None)]
-    df = spark.createDataFrame(rows, "doc_id int, text string, url string, declared string").selectExpr("*", "1 AS host", "2 AS scores", "3 AS vote")
-    got = {r.doc_id: r for r in m.identify(df, langs, like).collect()}
+    df = spark.createDataFrame(rows, "doc_id int, text string, url string, declared string").selectExpr("*", "1 AS host", "2 AS scores", "3 AS vote", "doc_id = 1004 AS markup", "4 AS label__")
+    got = {r.doc_id: r for r in m.identify(df, langs, like, markup_col="markup").collect()}
     assert len(got) == 95
     assert all(got[i].lang == "de" for i in [*range(30), 1000, 1002, 1003, 1004]) and got[1001].lang == got[101].lang == "en"
     assert got[1000].text_lang is None and got[1000].host == "www.a.de" and got[1004].declared == "de"
@@ -71,14 +71,34 @@ def test_too_many_labels(spark):
         m.train(df, most_labels=19)
 
 
-def _plain(rows, langs, like, weight=20.0, temper=200):
-    """The fusion row by row: rows of (id, text, url, declared)."""
+def _cells_of(text):
+    data = b" " + b" ".join(text.lower().encode().split()) + b" "
+    return [((data[i] << 16 | data[i + 1] << 8 | data[i + 2]) * 2654435761 % 2**32) >> 17 for i in range(len(data) - 2)]
+
+
+def _counted(docs):
+    """Counts of cells by language of (text, language)."""
+    counts = {}
+    for text, lang in docs:
+        counts.setdefault(lang, Counter()).update(_cells_of(text or ""))
+    return sorted(counts), counts
+
+
+def _plain(rows, langs, counts, weight=20.0, temper=200):
+    """The fusion row by row, counting for itself: rows of (id, text, url, declared, markup, label)."""
     n, seen = len(langs), []
     best = lambda x: max(range(n), key=lambda i: (x[i], -i))
-    for key, text, url, declared in rows:
-        data = b" " + b" ".join(re.sub(r"<[^>]*>", " ", text or "").lower().encode().split()) + b" "
-        cells = [((data[i] << 16 | data[i + 1] << 8 | data[i + 2]) * 2654435761 % 2**32) >> 17 for i in range(len(data) - 2)]
-        scores = [sum(like[i][c] for c in cells) for i in range(n)]
+    sums = {lang: sum(counts[lang].values()) for lang in langs}
+    for key, text, url, declared, markup, label in rows:
+        text = text or ""
+        if markup:
+            text = re.sub(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ", text, flags=re.S | re.I)
+        cells = _cells_of(text)
+        own, scores = Counter(cells), []
+        for lang in langs:
+            less = own if lang == label else Counter()
+            total = sums[lang] - sum(less.values()) + m.CELLS / 2
+            scores.append(sum(k * (math.log(counts[lang][c] - less[c] + 0.5) - math.log(total)) for c, k in own.items()))
         scores = [(x - max(scores)) * min(1.0, temper / len(cells)) if cells else 0.0 for x in scores]
         host = (re.match(r"[a-z]+://([^/]+)", url or "") or [None, None])[1]
         parts = host.split(".") if host else []
@@ -126,9 +146,45 @@ def test_fusion_against_plain_version(spark):
     rows += [(1000 + i, text, url, None) for i, (text, url) in enumerate(zip(["a", "la", "en", "die", "", "un la", "x1", None] * 5, hosts))]
     rows += [(2000, None, None, None), (2001, "", "odd", "de"), (2002, "le", "http://localhost/", "xx")]
     got = {r.doc_id: r for r in m.identify(spark.createDataFrame(rows, "doc_id int, text string, url string, declared string"), langs, like).collect()}
-    want, changed = _plain(rows, langs, like.tolist()), 0
+    plain_langs, counts = _counted([(r.text, r.lang) for r in docs.collect()])
+    want, changed = _plain([(*r, False, None) for r in rows], plain_langs, counts), 0
     assert got.keys() == want.keys()
     for i, (lang, posterior, text_lang) in want.items():
         assert (got[i].lang, got[i].text_lang) == (lang, text_lang) and abs(got[i].posterior - posterior) < 2e-6, i
         changed += text_lang is not None and lang != text_lang
     assert changed > 3  # rows on which the other evidence outweighs the text
+
+
+def test_query_against_plain_version(spark):
+    """The registered query over both tables, its likelihoods counted again, each row's own text left out."""
+    sf = "/root/testdata/sf0.001"
+    docs, pages = (spark.read.parquet(f"{sf}/{t}.parquet").collect() for t in ("documents", "pages"))
+    langs, counts = _counted([(r.text, r.lang) for r in docs])
+    rows = [(("doc", r.doc_id), r.text, f"source://{r.source}", None, False, r.lang) for r in docs]
+    for r in pages:
+        declared = re.search(r"(?i)<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})(?:[\"'\s>]|[-_])", r.html)
+        rows.append((("page", r.page_id), r.html, r.url, declared[1] if declared else None, True, None))
+    want = _plain(rows, langs, counts)
+    got = {("doc", r.doc_id) if r.doc_id is not None else ("page", r.page_id): r for r in queries.op10_language_id(spark, sf).collect()}
+    assert got.keys() == want.keys()
+    for key, (lang, posterior, text_lang) in want.items():
+        assert (got[key].lang, got[key].text_lang) == (lang, text_lang) and abs(got[key].posterior - posterior) < 2e-6, key
+
+
+def test_plain_text_is_no_markup(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    langs, like = m.train(docs)
+    de = docs.where("lang = 'de' AND n_chars > 1500").first().text
+    texts = ["if a < b then " + de + " and c > d", "a <b " + de + ">", "<html lang='en'> said: " + de]
+    df = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], "doc_id int, text string, url string, declared string")
+    rows = sorted(m.identify(df, langs, like).collect())
+    assert [r.lang for r in rows] == [r.text_lang for r in rows] == ["de"] * 3 and not any(r.declared for r in rows)
+
+
+def test_own_text_is_left_out(spark):
+    """A text with trigrams of its own gives its label no advantage."""
+    train = [("the cat and the dog", "en"), ("the old house of the man", "en"), ("der hund und die katze", "de"), ("das alte haus und der mann", "de"), ("zqx zqx zqx xqz", "de")]
+    langs, counts = m.train(spark.createDataFrame(train, "text string, lang string"))
+    df = spark.createDataFrame([(1, "zqx zqx zqx xqz", None, None, "de")], "doc_id int, text string, url string, declared string, lang string")
+    row = lambda **k: m.identify(df, langs, counts, **k).first()
+    assert row().posterior > 0.9 and row().lang == "de" and row(label_col="lang").posterior < 0.9

@@ -15,7 +15,10 @@ Rows with null or empty text have no text evidence; with no evidence at all they
 get the overall prior. A null label is not used in training. Null or odd
 addresses have no host and take the overall prior. Repeated rows count each time.
 An empty table gives an empty result, whatever is there to train on; without
-training data the language is null. Whole texts are used.
+training data the language is null. Whole texts are used. Markup is taken away only
+where a row is said to be markup, so plain text keeps whatever stands between ``<``
+and ``>``. A row that was counted in training can name its label, and its own
+trigrams are left out of that label's likelihood.
 """
 
 from __future__ import annotations
@@ -68,7 +71,7 @@ def _cells(text: str) -> np.ndarray:
 
 
 def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", most_labels: int = 200) -> tuple[list[str], np.ndarray]:
-    """Languages and their log likelihoods of the cells, languages x CELLS. Each task counts for itself; as many rows are shuffled as languages and cells, for each task.
+    """Languages and how often they have each cell, languages x CELLS. Each task counts for itself; as many rows are shuffled as languages and cells, for each task.
 
     More than ``most_labels`` labels are an error: a task holds a quarter of a megabyte for each.
     """
@@ -91,25 +94,38 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", most
     # Bounded: a row for each language and cell.
     found = source.mapInArrow(count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())
-    counts = np.full((len(langs), CELLS), 0.5)
+    counts = np.zeros((len(langs), CELLS), np.int64)
     for i, lang in enumerate(langs):
         own = found[found["lang"] == lang]
         counts[i, own["cell"].to_numpy()] += own["n"].to_numpy()
-    return langs, np.log(counts / counts.sum(1, keepdims=True)) if langs else counts
+    return langs, counts
 
 
-def _text_scores(likelihood: np.ndarray, temper: int):
+def _text_scores(langs: list[str], counts: np.ndarray, temper: int):
     """Sums of log likelihoods; beyond ``temper`` trigrams they are scaled down, as neighbours are not independent."""
 
     def make():
-        def one(text: str) -> list[float]:
-            cells = _cells(strip_markup(text) if "<" in text else text)
+        totals = counts.sum(1) + 0.5 * CELLS
+        likelihood = (np.log(counts + 0.5) - np.log(totals)[:, None]).T.copy()
+        place = {lang: i for i, lang in enumerate(langs)}
+
+        def one(text: str, markup: bool, label: str | None) -> list[float]:
+            cells = _cells(strip_markup(text) if markup else text)
             if not len(cells):
-                return [0.0] * len(likelihood)
-            score = np.bincount(cells, minlength=CELLS) @ likelihood.T
+                return [0.0] * len(langs)
+            n = np.bincount(cells, minlength=CELLS)
+            score = n @ likelihood
+            i = place.get(label)
+            if i is not None:  # as if it had been trained without this row
+                own = np.flatnonzero(n)
+                score[i] = n[own] @ np.log(np.maximum(0, counts[i, own] - n[own]) + 0.5) - len(cells) * np.log(max(totals[i] - len(cells), 0.5 * CELLS))
             return ((score - score.max()) * min(1.0, temper / len(cells))).tolist()
 
-        return lambda batch, texts: [pa.array([one(t) for t in texts], pa.list_(pa.float64()))]
+        def columns(batch: pa.RecordBatch, texts: list[str]) -> list[pa.Array]:
+            markup, label = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("markup__", "label__"))
+            return [pa.array([one(*row) for row in zip(texts, markup, label, strict=True)], pa.list_(pa.float64()))]
+
+        return columns
 
     return make
 
@@ -124,19 +140,26 @@ def _log_counts(counts: list[Column], prior: list[Column], weight: float) -> lis
     return [(n + weight * p) / (total + weight) for n, p in zip(counts, prior, strict=True)]
 
 
-def identify(rows: DataFrame, langs: list[str], likelihood: np.ndarray, text_col: str = "text", url_col: str = "url", declared_col: str = "declared", keep: tuple[str, ...] = ("doc_id",), weight: float = 20.0, temper: int = 200) -> DataFrame:
-    """``keep``, lang, posterior, text_lang, declared, host for each row.
+def identify(
+    rows: DataFrame, langs: list[str], counts: np.ndarray, text_col: str = "text", url_col: str = "url", declared_col: str = "declared", keep: tuple[str, ...] = ("doc_id",),
+    weight: float = 20.0, temper: int = 200, markup_col: str | None = None, label_col: str | None = None,
+) -> DataFrame:
+    """``keep``, lang, posterior, text_lang, declared, host for each row, by what train() counted.
 
+    markup_col: says which rows are markup (null: isn't); without it none is.
+    label_col: the label under which train() counted the row's text, null where it didn't; without it none was.
     weight: how many rows' worth the more general prior counts in the more special one.
     """
     if not langs:
         return rows.select(*keep, *(F.lit(None).cast(k).alias(n) for n, k in (("lang", "string"), ("posterior", "double"), ("text_lang", "string"), ("declared", "string"), ("host", "string"))))
     n = len(langs)
     host = F.lower(F.regexp_extract(url_col, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    declared = F.lower(F.regexp_extract(F.coalesce(F.col(declared_col), F.regexp_extract(text_col, r"(?i)<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", 1)), r"^([A-Za-z]{2,3})(?:$|[-_])", 1))
+    markup = F.coalesce(F.col(markup_col), F.lit(False)) if markup_col else F.lit(False)
+    label = (F.col(label_col) if label_col else F.lit(None)).cast("string")
+    declared = F.lower(F.regexp_extract(F.coalesce(F.col(declared_col), F.when(markup, F.regexp_extract(text_col, r"(?i)<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", 1))), r"^([A-Za-z]{2,3})(?:$|[-_])", 1))
     kept = [F.col(k).alias(f"keep{i}__") for i, k in enumerate(keep)]
-    named = [*kept, host.alias("host"), declared.alias("declared")]
-    scored = with_columns(rows, text_col, _text_scores(likelihood, temper), "scores array<double>", named)
+    named = [*kept, host.alias("host"), declared.alias("declared"), markup.alias("markup__"), label.alias("label__")]
+    scored = with_columns(rows, text_col, _text_scores(langs, counts, temper), "scores array<double>", named).drop("markup__", "label__")
     scored = scored.withColumns({"host": F.nullif(F.coalesce("host", F.lit("")), F.lit("")), "declared": F.nullif(F.coalesce("declared", F.lit("")), F.lit(""))})
     parts = F.split("host", r"\.")
     scored = scored.withColumns({
@@ -146,13 +169,13 @@ def identify(rows: DataFrame, langs: list[str], likelihood: np.ndarray, text_col
     folder = scratch(rows.sparkSession)
     scored = written(scored, "text", folder)
 
-    def counts(by: str) -> list[Column]:
+    def votes(by: str) -> list[Column]:
         """How many rows each language has."""
         return [F.count(F.when(F.col(by) == i + 1, 1)) for i in range(n)]
 
     def values(key: str) -> DataFrame:
         """A row for each value; its counts are null if no text suggests a language."""
-        seen = F.when(F.count("text_best") > 0, F.array(*counts("text_best"))).alias(f"{key}_n")
+        seen = F.when(F.count("text_best") > 0, F.array(*votes("text_best"))).alias(f"{key}_n")
         return written(scored.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n__"), seen), f"values_{key}", folder)
 
     at = lambda name, i: F.coalesce(F.col(name)[i], F.lit(0))
@@ -161,14 +184,14 @@ def identify(rows: DataFrame, langs: list[str], likelihood: np.ndarray, text_col
         """P(value | language) up to a factor that languages share; a value never seen says nothing."""
         return [F.when(F.col(name).isNull(), 0.0).otherwise(F.log((at(name, i) + 0.5) / (F.lit(float(totals[i])) + 0.5 * n))) for i in range(n)]
 
-    *totals, n_rows = scored.agg(*counts("text_best"), F.count(F.lit(1))).first()
+    *totals, n_rows = scored.agg(*votes("text_best"), F.count(F.lit(1))).first()
     # Two or three letters: fewer than 20,000 declared values.
     with_values = joined(scored, values("suffix"), "suffix", n_rows).join(F.broadcast(values("declared").drop("n__")), "declared", "left")
     fused = F.array(*(F.col("scores")[i] + a + b for i, (a, b) in enumerate(zip(likelihoods("declared_n"), likelihoods("suffix_n"), strict=True))))
     informed = F.col("text_best").isNotNull() | F.col("declared_n").isNotNull() | F.col("suffix_n").isNotNull()
     fused = written(with_values.withColumn("fused", fused).withColumn("vote", F.when(informed, _best(F.col("fused")))).drop("declared_n", "suffix_n"), "fused", folder)
-    overall = fused.agg(*counts("vote")).first()
-    hosts = fused.where(F.col("host").isNotNull()).groupBy("host", "domain", "suffix").agg(F.count(F.lit(1)).alias("rows__"), F.array(*counts("vote")).alias("host_n"))
+    overall = fused.agg(*votes("vote")).first()
+    hosts = fused.where(F.col("host").isNotNull()).groupBy("host", "domain", "suffix").agg(F.count(F.lit(1)).alias("rows__"), F.array(*votes("vote")).alias("host_n"))
     hosts = written(hosts, "hosts", folder)
     n_hosts = hosts.count()
     for key in ("domain", "suffix"):

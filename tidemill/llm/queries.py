@@ -74,15 +74,16 @@ def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language of every page, and of every document, whose source stands for its host; likelihoods from all labelled documents."""
+    """The language of every page, and of every document, whose source stands for its host; likelihoods from all labelled documents but the row itself."""
     docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
     none = F.lit(None)
-    langs, likelihood = train(docs)
+    langs, counts = train(docs)
     address = F.concat(F.lit("source://"), F.col("source"))
-    rows = docs.select("doc_id", none.cast("long").alias("page_id"), "text", address.alias("url"), none.cast("string").alias("declared")).unionByName(
-        pages.select(none.cast("long").alias("doc_id"), "page_id", F.col("html").alias("text"), "url", none.cast("string").alias("declared"))
+    rows = docs.select("doc_id", none.cast("long").alias("page_id"), "text", address.alias("url"), "lang", F.lit(False).alias("markup")).unionByName(
+        pages.select(none.cast("long").alias("doc_id"), "page_id", F.col("html").alias("text"), "url", none.cast("string").alias("lang"), F.lit(True).alias("markup"))
     )
-    return identify(rows, langs, likelihood, keep=("doc_id", "page_id"))
+    rows = rows.withColumn("declared", none.cast("string"))
+    return identify(rows, langs, counts, keep=("doc_id", "page_id"), markup_col="markup", label_col="lang")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
