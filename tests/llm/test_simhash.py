@@ -74,6 +74,43 @@ def _made_up(seed, bits, flips):
     return sorted(set(prints))
 
 
+def test_trees_split_and_prune_at_given_sizes(spark):
+    """The registered query's own shards of sf0.1: trees have vantage points and leave most pairs out."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    prints = simhash._numbers(docs, "text", [], simhash._narrow(4), "fp__ long").select("fp__").distinct().persist()
+    shards = simhash.block_shards(prints, 4).toPandas()
+    n, sizes, all_pairs, pairs, vantages = prints.count(), [], 0, 0, 0
+    for _, rows in shards.groupby("shard__"):
+        tree = simhash.Shard(rows.f0__.to_numpy().view(np.uint64)[:, None], 4)
+        tree.roots()
+        sizes.append(len(rows))
+        all_pairs, pairs, vantages = all_pairs + len(rows) * (len(rows) - 1) // 2, pairs + tree.compared, vantages + tree.vantages
+    assert n > 9000 and len(shards) == 5 * n and 1000 < np.median(sizes) < 4096
+    assert vantages > 100 and pairs < 0.5 * all_pairs
+    prints.unpersist()
+
+
+def test_keys_at_every_size():
+    """Any two values within the radius agree on a key; shards stay small up to ten thousand million values, keys few."""
+    rng = random.Random(4)
+    for n, most in ((10, 1), (4096, 1), (10**5, 5), (10**7, 5), (10**9, 15), (10**10, 35), (10**11, 35)):
+        keys = simhash.block_keys(n, 4, 4096)
+        bits = sum(k for _, k in keys[0])
+        assert len(keys) <= most and n / 2**bits <= 4096, n
+        for _ in range(200):
+            x = rng.getrandbits(64)
+            y = x ^ sum(1 << b for b in rng.sample(range(64), rng.choice([0, 1, 4])))
+            assert any(all((x ^ y) >> low & (1 << k) - 1 == 0 for low, k in key) for key in keys)
+
+
+@pytest.mark.parametrize("target", [1, 8, 100])
+def test_small_targets_against_brute_force(spark, target):
+    prints = _made_up(target, 64, [1, 3, 4, 5, 6])
+    df = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in prints], "fp__ long")
+    roots = {r.node % 2**64: r.root % 2**64 for r in simhash.components(simhash.links(simhash.block_shards(df, 4, target), 4, 1)).collect()}
+    assert _distinct_parts([roots.get(p, p) for p in prints], _components(prints))
+
+
 @pytest.mark.parametrize("shard_rows", [3, 40, 16_384])
 def test_links_against_brute_force(spark, shard_rows):
     prints = _made_up(shard_rows, 64, [1, 3, 4, 5, 6])

@@ -5,9 +5,11 @@ one node, so copies cost nothing in the search. Unrelated fingerprints are about
 as far from each other as from any vantage point, so rings alone can't part them;
 a forest of trees therefore begins with shards by a key that linked nodes share:
 
-* ``near_dedup``, 64 bits and a small radius: radius + 1 trees, each over another
-  block of the bits. Linked fingerprints agree on one block (pigeonhole), that is,
-  they lie at masked distance 0 from one vantage value.
+* ``near_dedup``, 64 bits and a small radius: blocks of the bits. Linked fingerprints
+  agree on some of them (pigeonhole), and a tree stands over all that agree on as few
+  bits as leave it some thousand nodes. Up to ``target`` fingerprints there is one tree;
+  the number of trees that a fingerprint is in grows with the logarithm of their number
+  (``block_keys``), and pairs compared grow in proportion to it.
 * ``drop_near_copies``, 512 bits and a radius that stands for a similarity of the
   texts' shingles: the smallest shingle hashes. Of two texts at similarity s, the
   smallest hash of both together is in both with probability s.
@@ -33,8 +35,10 @@ Repeated rows are rows of their own. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
-from math import acos, pi, sqrt
+from itertools import combinations
+from math import acos, ceil, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +48,7 @@ from xxhash import xxh64_intdigest
 
 from tidemill.llm.shared import first_row_number, joined, removed_after, scratch, with_columns, without, written
 
+_log = logging.getLogger(__name__)
 LEAF = 128
 BLOCK = 1 << 18  # distances held at once
 WORDS = 8  # of 64 bits in a wide fingerprint
@@ -150,7 +155,8 @@ class Shard:
     """Unites the distinct fingerprints of a shard (rows of uint64 words) that chains of links connect."""
 
     def __init__(self, prints: np.ndarray, radius: int) -> None:
-        self.prints, self.radius, self.label, self.compared = prints, radius, np.arange(len(prints)), 0
+        self.prints, self.radius, self.label = prints, radius, np.arange(len(prints))
+        self.compared = self.vantages = 0
         self.todo: list[tuple[np.ndarray, np.ndarray | None]] = [(self.label.copy(), None)]
 
     def roots(self) -> np.ndarray:
@@ -193,6 +199,7 @@ class Shard:
 
     def rings(self, rows: np.ndarray, vantage: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
         """Distances from the vantage point, to which those within the radius are united, and the places of each ring's rows."""
+        self.vantages += 1
         far = self.far(rows, vantage)[:, 0].astype(np.int64)
         near = rows[far <= self.radius]
         self.unite(near, np.broadcast_to(vantage, near.shape))
@@ -263,7 +270,9 @@ def _forest(radius: int, words: int):
         nodes, first = np.unique(nodes, return_index=True)
         if len(nodes) < 2:
             return nodes[:0], nodes[:0]
-        roots = Shard(prints[first], radius).roots()
+        shard = Shard(prints[first], radius)
+        roots = shard.roots()
+        _log.info("%d nodes, %d vantage points, %d pairs compared", len(nodes), shard.vantages, shard.compared)
         other = roots != np.arange(len(nodes))
         return nodes[other], nodes[roots[other]]
 
@@ -335,11 +344,28 @@ def links(shards: DataFrame, radius: int, words: int, shard_rows: int = 16_384)
     return out
 
 
-def block_shards(prints: DataFrame, radius: int) -> DataFrame:
-    """Distinct longs fp__ in radius + 1 shards, by blocks of their bits."""
-    edge = [64 * i // (radius + 1) for i in range(radius + 2)]
-    blocks = [F.shiftrightunsigned("fp__", lo).bitwiseAND((1 << (hi - lo)) - 1) for lo, hi in zip(edge, edge[1:], strict=False)]
-    keys = [F.xxhash64(F.lit(t), key) for t, key in enumerate(blocks)]
+def block_keys(n: int, radius: int, target: int, bits: int = 64) -> list[list[tuple[int, int]]]:
+    """Keys, each as (lowest bit, number of bits) of the blocks it takes, so that linked values agree on one of them at least.
+
+    Of m blocks of the bits, links of ``radius`` differing bits leave m - radius equal, so a key takes m - radius of them. It
+    takes as few bits as give shards of about ``target`` of n values, for more of which finer blocks are cut: at radius 4
+    there are 5 keys of up to 12 bits, or 15 of up to 20, or 35 of up to 27. Of few values one shard holds all.
+    """
+    wanted = max(0, ceil(log2(max(n, 1) / target)))
+    if not wanted:
+        return [[]]
+    for m in range(radius + 1, bits + 1):
+        agree = m - radius
+        if bits // m * agree >= wanted or m == 2 * radius:
+            edge, each = [bits * i // m for i in range(m + 1)], min(bits // m, -(-wanted // agree))
+            return [[(edge[i], each) for i in chosen] for chosen in combinations(range(m), agree)]
+    raise ValueError(f"no keys for {n} values at radius {radius}")
+
+
+def block_shards(prints: DataFrame, radius: int, target: int = 4096) -> DataFrame:
+    """The distinct longs fp__ of a written table in shards of about ``target``, one for each key."""
+    block = lambda low, n: F.shiftrightunsigned("fp__", low).bitwiseAND((1 << n) - 1)
+    keys = [F.xxhash64(F.lit(i), *(block(*b) for b in key)) for i, key in enumerate(block_keys(prints.count(), radius, target))]
     return prints.select(F.explode(F.array(*keys)).alias("shard__"), F.col("fp__").alias("node__"), F.col("fp__").alias("f0__"))
 
 
