@@ -148,6 +148,19 @@ def test_partitions_make_no_difference(spark):
     assert all(math.isclose(r.score, many[i].score, rel_tol=1e-5, abs_tol=1e-3) for i, r in few.items())
 
 
+def test_long_frequent_tokens_are_in_the_head(spark):
+    """A long token that stands everywhere has a slot of its own, and its rows aren't joined."""
+    long = "-" * 5000
+    rows = [(i, f"{long} w{i} {long}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = _base(dict(rows))
+    got = {r.doc_id: r for r in m.score(df, settings=m.Settings(class_rows=256, slot_rows=256)).collect()}
+    assert all((got[i].n_known, got[i].train_tokens) == w[2:4] and math.isclose(got[i].base_score, w[4], rel_tol=1e-9) for i, w in want.items())
+    key = xxh64_intdigest(long.encode(), 42)
+    _, _, hashes, slots, counts = m.Vocabulary({key: 3}, {key: 77}).read([f"{long} a"])
+    assert hashes[0] == key and slots[0] == 3 and counts.tolist() == [77, 0, 0]
+
+
 def test_sums_over_tasks_accumulate():
     rng = np.random.default_rng(3)
     s = m.Settings(class_rows=64, slot_rows=64)

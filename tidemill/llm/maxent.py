@@ -9,15 +9,16 @@ known without a table. The model is
 with softmaxes over hashed features: the previous token, the previous two, and the
 one before the previous (a skip). The last factor is the smoothed unigram's share of
 the slot. Feature weights start at zero, where the model is the unigram; training
-takes all training rows once, in rounds: in each, tasks add up gradients at the
+takes all training rows once, in rounds, to which a first pass deals their texts by
+hash, a folder each: in a round, tasks add up gradients at the
 common weights and how often each row of the weights occurs. Executors add these
 sums over all tasks in a tree, and the driver makes one update by them, so the
 result depends on the rows and not on how they are dealt to tasks. Only sums of the
 weights' size, which is fixed, reach the driver.
 
-Unigram counts cover all training rows. Counts of the ``head`` most frequent tokens
-of at most LONGEST bytes (bounded in number and in bytes) are broadcast, those of
-all others are joined by token.
+Unigram counts cover all training rows. Counts of the ``head`` most frequent tokens,
+named by their hashes whatever their length, are broadcast, those of all others are
+joined by token; none of these has more than a ``head``-th of all tokens.
 
 Null text counts as empty: its only token is the end. A null id counts as the text
 ''. Repeated rows are rows of their own. An empty table gives an empty result;
@@ -40,13 +41,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidemill.llm.shared import first_row_number, scratch, with_columns, written
+from tidemill.llm.shared import first_row_number, remove, scratch, with_columns, written
 
 SLOTS, CLASSES = 16, 16
 OWN = 160  # slots that hold one token
 END = b""  # no word is empty
 KNOWN = 300_000
-LONGEST = 64  # bytes of a token that may be broadcast
+LONGEST = 64  # bytes of a token whose hash is remembered
 
 
 @dataclass(frozen=True)
@@ -58,7 +59,7 @@ class Settings:
     calm: float = 50.0  # occurrences before a row's step falls
     batch: int = 16384  # tokens
     head: int = 100_000  # tokens whose counts are broadcast
-    parts: int = 3  # partitions of the table that one task learns from
+    parts: int = 4  # partitions of the table that one task deals to rounds, so that files aren't small
 
 
 def tokens(text: str) -> list[bytes]:
@@ -79,10 +80,11 @@ class Hashes(dict):
 class Vocabulary:
     """What the broadcast head knows of tokens, found by their hashes: slots and counts, in a table with linear probing.
 
-    Memory is bounded by the head and by KNOWN. Hashes have 64 bits; those of the head's tokens differ.
+    Tokens are given as they are or by their hashes. Memory is bounded by the head and by KNOWN. Hashes have 64 bits; those
+    of the head's tokens differ.
     """
 
-    def __init__(self, own: dict[bytes, int], head: dict[bytes, int]) -> None:
+    def __init__(self, own: dict[bytes | int, int], head: dict[bytes | int, int]) -> None:
         bits = max(10, (8 * len(head)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.values = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1)
@@ -90,7 +92,7 @@ class Vocabulary:
         self.counts = np.array([*head.values(), 0])
         self.probes, self.hashes = 1, Hashes()
         for i, word in enumerate(head):
-            key = xxh64_intdigest(word, 42)
+            key = word if isinstance(word, int) else xxh64_intdigest(word, 42)
             at, probe = key >> (64 - bits), 1
             while self.values[at] >= 0:
                 if int(self.keys[at]) == key:
@@ -245,7 +247,7 @@ _SUM = np.float32  # of gradients and occurrences between tasks
 FAN_IN = 32
 
 
-def _train_round(s: Settings, mass: np.ndarray, own: dict[bytes, int], shared):
+def _train_round(s: Settings, mass: np.ndarray, own: dict[int, int], shared):
     """Each task's sums of gradients and occurrences, in BLOCKS parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,19 +279,21 @@ def _sum(group: pa.Table) -> pa.Table:
 _ROUND = "block int, part int, c binary, s binary, nc binary, ns binary"
 
 
-def train(docs: DataFrame, mass: np.ndarray, own: dict[bytes, int], s: Settings, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+def train(docs: DataFrame, mass: np.ndarray, own: dict[int, int], s: Settings, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """The weights after all rounds; a round takes the rows whose text's hash falls to it.
 
-    Each task sends sums of the weights' size, so a task takes several of the table's partitions, and a round has no more
-    than two tasks a core.
+    Each task sends sums of the weights' size. Texts are written once, by round, so a round reads its own alone.
     """
-    spark = docs.sparkSession
-    tasks = max(1, min(2 * spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions() // s.parts))
+    spark, root = docs.sparkSession, f"{scratch(docs.sparkSession)}/rounds"
+    text = F.col(text_col).cast("string")
+    dealt = docs.select(text.alias("text"), F.pmod(F.xxhash64(text), F.lit(s.rounds)).cast("int").alias("round"))
+    dealt.coalesce(max(1, docs.rdd.getNumPartitions() // s.parts)).write.partitionBy("round").option("compression", "zstd").parquet(root)
     w, touched = Weights(s, mass), (np.zeros(s.class_rows, np.int64), np.zeros(s.slot_rows, np.int64))
     for r in range(s.rounds):
         shared = spark.sparkContext.broadcast((w.classes, w.slots))
-        texts = docs.select(F.col(text_col).cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(s.rounds)) == r)
-        made = texts.coalesce(tasks).mapInArrow(_train_round(s, mass, own, shared), _ROUND)
+        texts = spark.read.schema("text string, round int").parquet(root).where(F.col("round") == r).select("text")
+        tasks = max(1, texts.rdd.getNumPartitions())
+        made = texts.mapInArrow(_train_round(s, mass, own, shared), _ROUND)
         added, parts = made, tasks
         while parts > 1:
             parts = -(-parts // FAN_IN)
@@ -301,10 +305,11 @@ def train(docs: DataFrame, mass: np.ndarray, own: dict[bytes, int], s: Settings,
                 part += np.frombuffer(data, _SUM).reshape(part.shape)
         w.step(sums, touched)
         shared.unpersist()
+    remove(spark, root)
     return w.classes, w.slots
 
 
-def _scores(s: Settings, mass: np.ndarray, own: dict[bytes, int], shared, total: float):
+def _scores(s: Settings, mass: np.ndarray, own: dict[int, int], shared, total: float):
     """n_tokens, what the head says of the counts, the model's gain, and the tokens that aren't in the head with their numbers."""
 
     def make():
@@ -356,13 +361,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setti
         if taken > s.head:
             break
         least = kind
-    found = counts.where((size >= least) & (F.length("token") <= LONGEST)).collect() if least is not None else []
-    head = {bytes(r.token): r.n for r in sorted(found, key=lambda r: (-r.n, bytes(r.token)))}
-    own = {word: i for i, word in enumerate(list(head)[:OWN])}
-    first = spark.createDataFrame(list(own.items()), "token binary, own int")
+    hashed = F.xxhash64("token")
+    found = counts.where(size >= least).select("n", hashed.alias("hash"), F.substring("token", 1, LONGEST).alias("start")).collect() if least is not None else []
+    found.sort(key=lambda r: (-r.n, bytes(r.start), r.hash))
+    head = {r.hash % 2**64: r.n for r in found}
+    if len(head) < len(found):
+        raise ValueError("two frequent tokens have the same hash")
+    own = {h: i for i, h in enumerate(list(head)[:OWN])}
+    first = spark.createDataFrame([(r.hash, i) for i, r in enumerate(found[:OWN])], "hash long, own int")
     slot = F.coalesce("own", F.lit(OWN) + F.pmod(F.xxhash64("token"), F.lit(SLOTS * CLASSES - OWN)))
     mass = np.full(SLOTS * CLASSES, 0.5)
-    for row in counts.join(F.broadcast(first), "token", "left").groupBy(slot.alias("slot")).agg(F.sum(F.col("n") + 0.5).alias("mass")).collect():
+    for row in counts.join(F.broadcast(first), hashed == F.col("hash"), "left").groupBy(slot.alias("slot")).agg(F.sum(F.col("n") + 0.5).alias("mass")).collect():
         mass[row.slot] += row.mass
     shared = spark.sparkContext.broadcast((train(training, mass, own, s, text_col), head))
     keep = [F.col(id_col).alias("doc_id"), _held_out(id_col).alias("held_out")]
