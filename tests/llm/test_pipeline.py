@@ -1,5 +1,6 @@
 import random
 import re
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 from types import SimpleNamespace
 
@@ -91,8 +92,10 @@ def test_empty_table(spark):
         assert stage.count() == 0
 
 
-def test_dropped_rows_are_read_by_task(spark):
-    """Many dropped rows, of several tasks, none of which meet the texts in a shuffle."""
+@pytest.mark.parametrize("lists", [1, 3, shared.LISTS])
+def test_dropped_rows_are_read_by_task(spark, monkeypatch, lists):
+    """Many dropped rows, of several tasks that share lists or don't, none of which meet the texts in a shuffle."""
+    monkeypatch.setattr(shared, "LISTS", lists)
     rows = [(i, f"text {i % 700}") for i in range(2000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     left = exact_dedup.drop_copies(df)
@@ -108,3 +111,15 @@ def test_scratch_folders_are_removed_and_needed_on_a_cluster(spark, tmp_path):
     session = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared.scratch(session)
+
+
+def test_jobs_in_threads_keep_their_own_folders(spark):
+    """Two pipelines at once: neither removes what the other still reads. A failed step leaves nothing."""
+    want = sorted(r.doc_id for r in corpus_pipeline.run(spark, SF).collect())
+    with ThreadPoolExecutor(2) as pool:
+        found = list(pool.map(lambda _: sorted(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()), range(2)))
+    assert found == [want, want]
+    with pytest.raises(RuntimeError), shared.removed_after(spark):
+        shared.written(spark.range(3), "t", folder := shared.scratch(spark))
+        raise RuntimeError
+    assert not Path(folder.removeprefix("file://")).exists()

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-HOT = 1000
-_made: list[str] = []
+HOT = 1000  # a key with more than this part of all rows is hot at least
+MOST_HOT = 100_000  # and fewer keys than this are broadcast
+LISTS = 4096  # files of numbers of dropped rows
+#: The scratch folders made in the innermost removed_after() of this thread.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def scratch(spark: SparkSession) -> str:
@@ -36,8 +40,10 @@ def scratch(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", root)
     elif "://" not in root and not root.startswith("file:"):
         root = "file://" + root if local else root
-    _made.append(f"{root.rstrip('/')}/tidemill-{uuid.uuid4().hex}")
-    return _made[-1]
+    folder, made = f"{root.rstrip('/')}/tidemill-{uuid.uuid4().hex}", _made.get()
+    if made is not None:
+        made.append(folder)
+    return folder
 
 
 def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
@@ -60,26 +66,34 @@ def remove(spark: SparkSession, folder: str) -> None:
 
 @contextmanager
 def removed_after(spark: SparkSession) -> Iterator[None]:
-    """Scratch folders made inside are deleted at its end: for a step whose result has been written elsewhere by then."""
-    before = len(_made)
-    yield
-    for folder in _made[before:]:
-        remove(spark, folder)
-    del _made[before:]
+    """Scratch folders made inside, by this thread, are deleted at its end, also after an error: for a step whose result has been written elsewhere by then."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for folder in made:
+            remove(spark, folder)
+
+
+def hot(spark: SparkSession) -> int:
+    """A key with more than this part of all rows is hot: a quarter of what a task of a shuffle has on average, within bounds."""
+    return max(HOT, min(MOST_HOT, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def joined(rows: DataFrame, table: DataFrame, key: str, total: int, inner: bool = False, keep_n: bool = False) -> DataFrame:
     """``rows`` with the columns of a written ``table`` that has a row for each key and, in ``n__``, how many of the ``total`` rows have it.
 
-    Fewer than HOT keys can have more than a HOT-th of the rows, which bounds what is broadcast; their rows, and rows without a
-    key, aren't shuffled.
+    Fewer than k keys can have more than a k-th of the rows, which bounds what is broadcast (``hot``); their rows, and rows
+    without a key, aren't shuffled.
     """
-    is_hot = F.col("n__") * HOT > total
-    hot = table.where(is_hot)
-    at_once = rows.join(F.broadcast(hot), key, "inner" if inner else "left")
+    is_hot = F.col("n__") * hot(rows.sparkSession) > total
+    few = table.where(is_hot)
+    at_once = rows.join(F.broadcast(few), key, "inner" if inner else "left")
     if not inner:
         at_once = at_once.where(F.col(key).isNull() | F.col("n__").isNotNull())
-    others = rows.where(F.col(key).isNotNull()).join(F.broadcast(hot.select(key)), key, "left_anti")
+    others = rows.where(F.col(key).isNotNull()).join(F.broadcast(few.select(key)), key, "left_anti")
     out = at_once.unionByName(others.join(table.where(~is_hot), key, "inner" if inner else "left"))
     return out if keep_n else out.drop("n__")
 
@@ -87,12 +101,12 @@ def joined(rows: DataFrame, table: DataFrame, key: str, total: int, inner: bool
 def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
     """The ``doc`` of those rows of a written table whose ``row__`` is not among ``dropped``'s.
 
-    The numbers of dropped rows are written by the task that gave them, and whoever reads that task's rows reads its list, so
-    texts aren't shuffled, however many rows are dropped.
+    The numbers of dropped rows are written in at most LISTS files by the task that gave them, sorted and in small groups, and
+    whoever reads a task's rows reads its groups, so texts aren't shuffled, however many rows are dropped.
     """
     path = f"{scratch(rows.sparkSession)}/dropped"
-    numbers = dropped.select("row__", F.shiftright("row__", _TASK_BITS).alias("task__"))
-    numbers.repartition("task__").sortWithinPartitions("task__").write.partitionBy("task__").parquet(path)
+    numbers = dropped.select("row__", F.pmod(F.shiftright("row__", _TASK_BITS), F.lit(LISTS)).alias("list__"))
+    numbers.repartition("list__").sortWithinPartitions("list__", "row__").write.partitionBy("list__").option("parquet.block.size", 1 << 20).parquet(path)
     schema = rows.schema["doc"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,9 +117,10 @@ def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
             stays = np.ones(len(numbers), bool)
             for task in np.unique(numbers >> _TASK_BITS).tolist():
                 if task not in lists:
-                    found = files_.get_file_info(fs.FileSelector(f"{root}/task__={task}", allow_not_found=True))
-                    files = [f.path for f in found if f.path.endswith(".parquet")]
-                    lists = {task: np.concatenate([pq.read_table(f, columns=["row__"], filesystem=files_, partitioning=None).column(0).to_numpy() for f in files] or [numbers[:0]])}
+                    found = files_.get_file_info(fs.FileSelector(f"{root}/list__={task % LISTS}", allow_not_found=True))
+                    own = [("row__", ">=", task << _TASK_BITS), ("row__", "<", (task + 1) << _TASK_BITS)]
+                    parts = [pq.read_table(f.path, columns=["row__"], filesystem=files_, partitioning=None, filters=own) for f in found if f.path.endswith(".parquet")]
+                    lists = {task: np.concatenate([numbers[:0], *(p.column(0).to_numpy() for p in parts)])}
                 stays &= ~np.isin(numbers, lists[task])
             kept = batch.filter(pa.array(stays))
             yield pa.RecordBatch.from_arrays(kept.column(1).flatten(), names=schema.names)
