@@ -63,6 +63,24 @@ def test_bands_leave_labelled_prose_alone_and_change_verdicts(spark):
     assert n[0][1] >= 0.1 * n[0][0]
 
 
+def test_limits_of_one_half_hold_in_the_other(spark):
+    """Limits are no tighter than one half of the labelled texts gives; what they do is measured in the other half."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = m.quality(docs).join(docs.select("doc_id", F.octet_length("text").alias("n")), "doc_id").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
+    rows = rows.where("NOT base_failed").withColumn("half", F.expr("crc32(cast(doc_id AS string)) % 2")).select("half", "n", "ratio", "quality", "band_failure").toPandas()
+    edges = [*(b[0] for b in m.Bands().whole), 1 << 60]
+    for (least, _, most), end in zip(m.Bands().whole, edges[1:]):
+        some = rows[(rows.half == 0) & (rows.quality == 1) & (rows.n >= least) & (rows.n < end)]
+        assert not len(some) or most >= round(1.05 * some.ratio.max(), 2) - 0.001
+    other = rows[rows.half == 1]
+    good, bad = (other[other.quality == q].band_failure.notna() for q in (1, 0))
+    assert len(good) > 1500 and good.sum() == 0 and bad.mean() > 0.1
+
+
+def test_contract_columns_come_first(spark):
+    assert queries.op3_quality_rules(spark, SF).columns[:8] == "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
+
+
 def test_cases_and_bands(spark):
     rng = random.Random(2)
     prose = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(3000))
