@@ -1,4 +1,6 @@
+import math
 import random
+import struct
 from zlib import crc32
 
 import numpy as np
@@ -58,6 +60,71 @@ def test_a_model_with_a_character_map_equals_the_library():
         assert np.frombuffer(model.encode(text), "<u4").tolist() == library.encode(text), repr(text)
 
 
+def _changed(kinds=None, unigram=False, spec=None):
+    """The given file with other kinds of some pieces; as a unigram file with scores that fall with a piece's number, slower and slower."""
+    data, i = b"", 0
+    for number, value in m._fields(open(PATH, "rb").read()):
+        if number == 1:
+            piece = dict(m._fields(value))
+            kind = (kinds or {}).get(piece[1].decode(), piece.get(3, 1))
+            score = struct.pack("<f", -math.log(10 + i)) if unigram else piece[2]
+            value, i = _field(1, piece[1]) + b"\x15" + score + _field(3, kind), i + 1
+        elif number == 2 and unigram:
+            value = b"".join(_field(n, 1 if n == 3 else v) for n, v in m._fields(value) if not isinstance(v, bytes) or n not in (10, 15))
+        elif number == 3 and spec:
+            value = spec
+        elif number == 4:
+            continue
+        data += _field(number, value)
+    return data
+
+
+def _same_as_library(data, texts):
+    library, model = SentencePieceProcessor(model_proto=data), m.Model(data)
+    for text in texts:
+        assert np.frombuffer(model.encode(text), "<u4").tolist() == library.encode(text), repr(text)
+
+
+def _texts(spark, seed):
+    rng = random.Random(seed)
+    bits = [" ", "  ", "an", "banana", "nation", "the", "ing", "Ｔｈｅ", "é", "\n", "ana", "a", "x", "中", "1999"]
+    return ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(1500)] + [r.text[:2000] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(100).collect()]
+
+
+def test_symbols_of_the_user_equal_the_library(spark):
+    kinds = {"an": 4, "ing": 4, "ation": 4}
+    _same_as_library(_changed(kinds), _texts(spark, 7))
+    spec = SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_normalizer_spec()
+    _same_as_library(_changed({"an": 4, "é": 4}, spec=spec), _texts(spark, 8))
+
+
+def test_a_unigram_file_of_thousands_of_pieces_equals_the_library(spark):
+    """Where two ways to cut weigh the same but for rounding the library's may differ; it mustn't weigh less."""
+    for kinds in ({}, {"an": 4, "ing": 4, "ation": 4, "ion": 5, "the": 5}):
+        data = _changed(kinds, unigram=True)
+        library, model = SentencePieceProcessor(model_proto=data), m.Model(data)
+        assert len(model.arcs) > 30_000 and not model.bpe
+        texts, same = _texts(spark, 9), 0
+        for text in texts:
+            own, other = np.frombuffer(model.encode(text), "<u4").tolist(), library.encode(text)
+            weigh = lambda ids: -sum(model.scores[i] if model.kinds[i] in (1, 4) else 0.0 for i in ids)
+            same += own == other
+            assert own == other or abs(weigh(own) - weigh(other)) < 1e-3 * (1 + abs(weigh(own))), repr(text)
+        assert same > 0.98 * len(texts)
+
+
+def test_what_is_refused():
+    for kinds in ({"an": 5}, {"▁the": 4}):
+        with pytest.raises(ValueError):
+            m.Model(_changed(kinds))
+
+
+def test_states_of_white_space():
+    trim, keep = m.Spaces(True, True), m.Spaces(False, False)
+    for text, one, other in (("", "", ""), (" ", "", "▁"), ("  a  b ", "▁a▁b", "▁▁a▁▁b▁"), ("a b", "▁a▁b", "a▁b"), ("\t a", "▁\t▁a", "\t▁a")):
+        assert trim(text) == one and keep(text) == other
+
+
 def test_memos_are_bounded(monkeypatch):
     monkeypatch.setattr(m, "MEMORY", 1 << 19)
     model, rng = m.Model(open(PATH, "rb").read()), random.Random(6)
@@ -69,8 +136,6 @@ def test_memos_are_bounded(monkeypatch):
 
 
 def test_unigram_shortest_path():
-    import struct
-
     rows = [("<unk>", 0.0, 2), ("▁", -3.0, 1), ("a", -3.0, 1), ("b", -3.5, 1), ("ab", -5.0, 1), ("▁a", -4.0, 1), ("▁ab", -9.5, 1), ("ba", -4.2, 1)]
     data = b"".join(_field(1, _field(1, n.encode()) + b"\x15" + struct.pack("<f", s) + _field(3, k)) for n, s, k in rows)
     model = m.Model(data + _field(2, _field(3, 1)) + _field(3, _field(3, 1) + _field(4, 0)))

@@ -8,13 +8,16 @@ space and not, take care of extra white space and the dummy prefix. Composed wit
 text they give a lattice over the normalised characters, and the path of least
 weight in the tropical semiring is the encoding.
 
-Unigram models weigh an arc by minus its piece's score. A BPE model's result isn't
+Unigram models weigh an arc by minus its piece's score, and a symbol of the user's nothing. A BPE model's result isn't
 a sum of scores; it is the one path on which every two neighbouring pieces are
 what BPE makes of the two together. Those models have a further acceptor of pairs,
 of weight 0 for such neighbours and infinite for others, so the path of finite
 weight is found by the same search. One state a position is enough, as each prefix
 has one such path.
 
+In BPE models symbols of the user's are cut out before the lattice. Those with unused pieces, and symbols with spaces,
+are an error.
+
 A text falls into stretches at pairs of characters that stand together in no
 piece; no arc crosses them. Paths of short stretches are remembered within a bound
 of bytes.
@@ -71,11 +74,43 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+class Spaces:
+    """The transducer of white space, with a state after a space (and at the start) and one after another character.
+
+    Arcs: (state, whether the character is a space) -> (next state, what is written before the character, whether it is
+    written). Trimming, a space waits in its state until a character follows, so those after it, at the start and at the end
+    write nothing; else each writes its mark. While no space follows another the arcs taken are those that write a mark for
+    a space, and such stretches are rewritten at once.
+    """
+
+    START, AFTER, OTHER = "start", "after a space", "after another"
+
+    def __init__(self, trim: bool, prefix: bool) -> None:
+        self.trim, self.prefix = trim, prefix
+        self.arcs = {
+            (self.START, True): (self.START, "", False), (self.START, False): (self.OTHER, "", True), (self.AFTER, True): (self.AFTER, "", False),
+            (self.AFTER, False): (self.OTHER, SPACE, True), (self.OTHER, True): (self.AFTER, "", False), (self.OTHER, False): (self.OTHER, "", True),
+        }
+
+    def __call__(self, text: str) -> str:
+        if self.trim and ("  " in text or text[:1] == " " or text[-1:] == " "):
+            state, out = self.START, []
+            for part in re.findall(" |[^ ]+", text):  # characters that aren't spaces stay in one state together
+                state, before, written = self.arcs[state, part == " "]
+                out.append(before + part if written else before)
+            text = "".join(out)
+        else:
+            text = text.replace(" ", SPACE)
+        return SPACE + text if self.prefix and text else text
+
+
 class Normaliser:
     """The transducer of a file's normaliser: its character map (a double-array trie over UTF-8 and the strings it points to) and its flags."""
 
     def __init__(self, spec: dict[int, int | bytes]) -> None:
-        self.prefix, self.trim = bool(spec.get(3, 1)), bool(spec.get(4, 1))
+        self.prefix = bool(spec.get(3, 1))
+        self.spaces = Spaces(bool(spec.get(4, 1)), self.prefix)
+        self.kept: re.Pattern[str] | None = None  # symbols that no arc rewrites
         self.units, self.targets = array("I"), b""
         if data := spec.get(2):
             size = int.from_bytes(data[:4], "little")
@@ -138,11 +173,12 @@ class Normaliser:
         return known
 
     def __call__(self, text: str) -> str:
-        text = self.mapped(text)
-        if self.trim:  # after a space, and at either end, spaces are dropped
-            text = re.sub(" +", " ", text).strip(" ")
-        text = text.replace(" ", SPACE)
-        return SPACE + text if self.prefix and text else text
+        if self.kept and self.units:
+            parts = self.kept.split(text)
+            text = "".join([part if i % 2 else self.mapped(part) for i, part in enumerate(parts)])
+        else:
+            text = self.mapped(text)
+        return self.spaces(text)
 
 
 class Model:
@@ -167,14 +203,29 @@ class Model:
         if kind not in (_UNIGRAM, _BPE) or trainer.get(24, 0) or not normalizer.get(5, 1):
             raise ValueError("only unigram and BPE models, with escaped white space as a prefix")
         self.bpe = kind == _BPE
+        users = sorted((n for n, k in zip(self.names, self.kinds, strict=True) if k == _USER), key=lambda n: (-len(n), n))
+        if self.bpe and _UNUSED in self.kinds:
+            raise ValueError("no BPE models with unused pieces: the library takes those apart by the order of all its merges")
+        if any(SPACE in n or " " in n for n in users):
+            raise ValueError("no symbols of the user's with spaces")
         self.normalise = Normaliser(normalizer)
         self.prefix = self.normalise.prefix
         self.unknown = self.kinds.index(_UNKNOWN)
         self.bytes_ = {int(n[3:5], 16): i for i, (n, k) in enumerate(zip(self.names, self.kinds, strict=True)) if k == _BYTE}
-        self.arcs = {n: i for i, (n, k) in enumerate(zip(self.names, self.kinds, strict=True)) if k in (_NORMAL, _USER) or k == _UNUSED and self.bpe}
-        self.tails = {n[i:] for n in self.arcs for i in range(len(n))}
+        self.arcs = {n: i for i, (n, k) in enumerate(zip(self.names, self.kinds, strict=True)) if k == _NORMAL or k == _USER and not self.bpe}
+        normal = [s for s, k in zip(self.scores, self.kinds, strict=True) if k == _NORMAL]
+        if users and not self.bpe:  # in a unigram model such symbols weigh nothing
+            for n in users:
+                self.scores[self.arcs[n]] = 0.0
+        # In a BPE model they are cut out before the lattice: the longest first, from the left.
+        self.users = {n: struct.pack("<I", self.names.index(n)) for n in users}
+        kept = re.compile(f"({'|'.join(map(re.escape, users))})") if users else None
+        self.cut = kept if self.bpe else None
+        self.normalise.kept = kept
+        self.score_of = {n: self.scores[i] for n, i in self.arcs.items()}
+        self.tails = {n[i:]: -1 for n in self.arcs for i in range(len(n))} | self.arcs  # -1: ends of pieces that are none themselves
         self.inside = {n[i : i + 2] for n in self.arcs for i in range(len(n) - 1)}
-        self.fallback = 10 - min((s for s, k in zip(self.scores, self.kinds, strict=True) if k == _NORMAL), default=0.0)
+        self.fallback = 10 - min(normal, default=0.0)
         self.least = 0.0 if self.bpe else -_NO_PATH  # no path has less weight
         self.weights, self.states, self.paths = Memo(MEMORY), Memo(MEMORY, 48), Memo(MEMORY)
         self.output = [bytes([int(n[3:5], 16)]) if k == _BYTE else b"" if k == _CONTROL else " ⁇ ".encode() if k == _UNKNOWN else n.replace(SPACE, " ").encode() for n, k in zip(self.names, self.kinds, strict=True)]
@@ -183,16 +234,18 @@ class Model:
 
     def merge(self, text: str) -> list[str]:
         """What BPE makes of a short text: the pair of best score first, the left one of equals."""
+        score, none = self.score_of.get, -_NO_PATH
         parts = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                piece = self.arcs.get(parts[i] + parts[i + 1])
-                if piece is not None and (best is None or self.scores[piece] > best):
-                    best, at = self.scores[piece], i
-            if best is None:
-                return parts
+        pairs = [score(x + y, none) for x, y in zip(parts, parts[1:])]
+        while pairs and (best := max(pairs)) > none:
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = score(parts[at - 1] + parts[at], none)
+            if at < len(pairs):
+                pairs[at] = score(parts[at] + parts[at + 1], none)
+        return parts
 
     def _weight(self, last: str, piece: str) -> float:
         """Of the arc of a piece after another; '' stands for the start and for characters that no piece has."""
@@ -221,12 +274,11 @@ class Model:
 
     def _state(self, text: str, j: int, states: list[State | None]) -> State:
         """The least weight of a path over the first j characters, and its last arc: where it starts, its piece and the piece's number."""
-        tails, arcs, weights = self.tails, self.arcs, self.weights.new
+        tails, weights = self.tails.get, self.weights.new
         best: State = (_NO_PATH, j - 1, "", None)
         i = j - 1
-        while i >= 0 and (piece := text[i:j]) in tails:
-            number = arcs.get(piece)
-            if number is not None:
+        while i >= 0 and (number := tails(piece := text[i:j])) is not None:
+            if number >= 0:
                 cost, _, last, _ = states[i] or self._at(text, i, states)
                 if cost < _NO_PATH:
                     weight = weights.get((last, piece))
@@ -237,7 +289,7 @@ class Model:
                         if best[0] <= self.least:
                             return best
             i -= 1
-        if text[j - 1] not in arcs:
+        if text[j - 1] not in self.arcs:
             cost = (states[j - 1] or self._at(text, j - 1, states))[0] + (0.0 if self.bpe else self.fallback)
             if cost < best[0]:
                 best = (cost, j - 1, "", None)
@@ -252,9 +304,13 @@ class Model:
         states: list[State | None] = [(0.0, 0, "", None), *[None] * n]
         short = n <= self.states.longest
         if short:  # from the longest prefix that is remembered
-            new, old, start = self.states.new, self.states.old, n
-            while start and (text[:start] not in new) and (text[:start] not in old):
-                start -= 1
+            new, old, over = self.states.new, self.states.old, n
+            while start < over:  # a remembered prefix's own prefixes are remembered, too, unless forgotten meanwhile
+                half = (start + over + 1) // 2
+                if text[:half] in new or text[:half] in old:
+                    start = half
+                else:
+                    over = half - 1
         for j in range(start + 1, n + 1):
             states[j] = self._state(text, j, states)
             if short:
@@ -284,8 +340,14 @@ class Model:
 
     def encode(self, text: str) -> bytes:
         """The text's piece numbers as little-endian unsigned 32-bit integers."""
+        text = self.normalise(text)
+        if self.cut:
+            return b"".join([self.users[part] if i % 2 else self._lattices(part) for i, part in enumerate(self.cut.split(text))])
+        return self._lattices(text)
+
+    def _lattices(self, text: str) -> bytes:
         known = self.paths.new.get
-        return b"".join([known(s) or self._stretch(s) for s in self.stretches.findall(self.normalise(text))])
+        return b"".join([known(s) or self._stretch(s) for s in self.stretches.findall(text)])
 
     def decode(self, ids: bytes) -> str:
         """The text again; bytes that aren't UTF-8 become U+FFFD."""
