@@ -4,12 +4,16 @@ from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 from types import SimpleNamespace
 
+from zlib import crc32
+
 import corpus_pipeline
+import public_tokenizers
 import pytest
-from tests.llm.test_quality import _base
+from tests.llm.test_quality import _bands, _base
 from tests.llm.test_secrets import _linked
 from tests.llm.test_simhash import _components
-from tidemill.llm import exact_dedup, quality, shared
+from tidemill.llm import exact_dedup, shared
+from tokenizers import Tokenizer
 from xxhash import xxh64_intdigest
 
 SF = "/root/testdata/sf0.001"
@@ -37,8 +41,7 @@ def _wide(text, width=5):
 
 def test_against_plain_version(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    columns = quality._measures(quality.Bands())()
-    fine = {i for i, t in docs.items() if columns(None, [t])[7][0].as_py() is None and not _base(t)[5]}
+    fine = {i for i, t in docs.items() if not _bands(t)[1] and not _base(t)[5]}
     best = {}
     for i in sorted(fine):
         key = re.sub(r"[\x20\x09-\x0D]", "", docs[i])
@@ -55,7 +58,33 @@ def test_against_plain_version(spark):
         rows = stage.collect()
         assert sorted(r.doc_id for r in rows) == sorted(want)
     assert all(len(r.text) == r.n_chars and (r.text == docs[r.doc_id]) == (not _linked(docs[r.doc_id], 300)) for r in rows)
-    assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == kept
+    packed = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id for r in packed} == kept
+    _packing_is_whole(packed, {r.doc_id: r.text for r in rows})
+
+
+def _packing_is_whole(rows, texts):
+    """Pieces hold each text's ids as the library gives them and an end, lie in sequences without gaps, and few sequences are needed."""
+    library, sequences, total = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), {}, 0
+    ids = {i: [*library.encode(t, add_special_tokens=False).ids, 0] for i, t in texts.items()}
+    for i, each in ids.items():
+        own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece)
+        assert [r.piece for r in own] == list(range(-(-len(each) // 2048))) and all(r.length == 2048 for r in own[1:])
+        at = 0
+        for r in own:
+            part = each[r.start : r.start + r.length]
+            assert r.start == at and r.ids_crc32 == crc32(b"".join(x.to_bytes(4, "little") for x in part))
+            at += r.length
+            sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert at == len(each)
+        total += at
+    for places in sequences.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(sequences) <= 1.01 * total / 2048 + 1
 
 
 def _made_up(spark):
