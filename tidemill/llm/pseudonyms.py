@@ -208,7 +208,7 @@ class Pseudonyms:
 
     def card(self, s: str, back: bool = False) -> str | None:
         d = _digits(s)
-        if luhn(d[:-1]) != int(d[-1]) or not _usual(d):
+        if not _usual(d) or luhn(d[:-1]) != int(d[-1]):
             return None
         while True:  # until an issuer has such numbers, too
             d = f"{self.permute(int(d[:-1]), 10 ** (len(d) - 1), 'card', back):0{len(d) - 1}}"
@@ -238,6 +238,8 @@ class Pseudonyms:
         Digits or capitals that follow a number can look like its last groups, so shorter ends are tried: first those
         of the length that the number's first characters ask for, then the whole match.
         """
+        if kind == "card" and s[0] not in "23456":  # no issuer's
+            return None
         if kind in ("card", "iban", "phone"):
             for end in [len(s), *(m.start() for m in reversed(list(_END.finditer(s))))]:
                 part = s[:end]
