@@ -12,7 +12,7 @@ are exceptions. Numbers are little-endian. The block index lets a reader decode
 range of values without the rest.
 
 Null text counts as empty, so such a document has the end id alone. Null ids come
-first. Repeated ids are documents of their own. An empty table gives no files and
+first; ids that aren't whole numbers are an error, as files hold them as such. Repeated ids are documents of their own. An empty table gives no files and
 no rows. Documents are dealt by ranges of (id, random number), so that an id which
 many rows share doesn't land in one task; a file has at most ``file_values`` ids
 unless a single document is longer.
