@@ -129,6 +129,20 @@ def test_wide_links_of_one_shard_against_brute_force(spark, shard_rows):
     assert _distinct_parts([roots.get(i, i) for i in range(len(prints))], _components(prints, 86))
 
 
+def test_a_group_that_rings_do_not_part_makes_few_links(spark):
+    """Near copies of one text, most of them linked and none nearer to a vantage point than others: links grow with their number, not its square."""
+    rng, n = random.Random(6), 2000
+    centre = rng.getrandbits(512)
+    prints = [centre ^ sum(1 << b for b in rng.sample(range(512), 44)) for _ in range(n)]  # pairs lie around 80 apart
+    prints += [centre ^ sum(1 << b for b in rng.sample(range(512), 100)) for _ in range(30)] + [rng.getrandbits(512) for _ in range(30)]
+    words = lambda p: [int(np.uint64(p >> 64 * w & 2**64 - 1).astype(np.int64)) for w in range(8)]
+    df = spark.createDataFrame([(0, i, *words(p)) for i, p in enumerate(prints)], "shard__ long, node__ long, " + ", ".join(f"f{w}__ long" for w in range(8)))
+    found = simhash.links(df, 86, 8, 200).collect()
+    roots = {r.node: r.root for r in simhash.components(spark.createDataFrame(found)).collect()}
+    assert _distinct_parts([roots.get(i, i) for i in range(len(prints))], _components(prints, 86))
+    assert len(found) < 4 * n
+
+
 @pytest.mark.parametrize(("words", "radius", "spread"), [(1, 4, 12), (8, 86, 140), (1, 4, 3), (8, 86, 60)])
 def test_trees_against_brute_force(words, radius, spread):
     """Unrelated ones, and dense groups around a few centres: most are united, and some reach others only through a few."""

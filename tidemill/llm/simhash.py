@@ -21,8 +21,11 @@ ones, so a node within the radius of the ring before is queried there too. All o
 the innermost ring are linked to the vantage point, so it is dealt to several
 tasks. Smaller shards are split further in a task, down to leaves of ``LEAF``;
 pairs of rings that are apart by more than the radius are never compared, nor is
-what is united already. Shards that rings don't part become blocks, and tasks get
-pairs of blocks, so no pair within the radius is missed.
+what is united already. Of a shard that rings don't part, the nodes near ``PIVOTS`` of
+its own are united by these. The largest component so found, as a rule nearly all of a
+group of near copies, needs no comparisons of its own: the others alone become blocks
+that meet each other and the blocks of it, so rows grow with a shard's size times the
+number of the others, and no pair within the radius is missed.
 
 A shard reports a spanning forest of its links, not all pairs; components come
 from alternating large-star and small-star joins, written to the shared folder
@@ -50,6 +53,7 @@ from tidemill.llm.shared import first_row_number, joined, removed_after, scratch
 
 _log = logging.getLogger(__name__)
 LEAF = 128
+PIVOTS = 62  # of a shard that rings don't part; as many bits as a long has, and two less
 BLOCK = 1 << 18  # distances held at once
 WORDS = 8  # of 64 bits in a wide fingerprint
 SAMPLE = 16  # smallest shingle hashes of a text
@@ -154,10 +158,15 @@ def _wide(width: int):
 class Shard:
     """Unites the distinct fingerprints of a shard (rows of uint64 words) that chains of links connect."""
 
-    def __init__(self, prints: np.ndarray, radius: int) -> None:
+    def __init__(self, prints: np.ndarray, radius: int, known: np.ndarray | None = None) -> None:
+        """known: which rows are known to be connected with each other."""
         self.prints, self.radius, self.label = prints, radius, np.arange(len(prints))
         self.compared = self.vantages = 0
         self.todo: list[tuple[np.ndarray, np.ndarray | None]] = [(self.label.copy(), None)]
+        if known is not None and known.any():
+            together, others = np.flatnonzero(known), np.flatnonzero(~known)
+            self.label[together] = together[0]
+            self.todo = [(together, others), (others, None)]
 
     def roots(self) -> np.ndarray:
         """For each row the place of the one that stands for its component."""
@@ -266,14 +275,16 @@ class Shard:
 def _forest(radius: int, words: int):
     """Links that connect what is connected in each shard; rows come sorted by shard."""
 
-    def edges(nodes: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def edges(nodes: np.ndarray, prints: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         nodes, first = np.unique(nodes, return_index=True)
-        if len(nodes) < 2:
+        known = known[first]
+        if len(nodes) < 2 or known.all():
             return nodes[:0], nodes[:0]
-        shard = Shard(prints[first], radius)
+        shard = Shard(prints[first], radius, known)
         roots = shard.roots()
         _log.info("%d nodes, %d vantage points, %d pairs compared", len(nodes), shard.vantages, shard.compared)
         other = roots != np.arange(len(nodes))
+        other[np.flatnonzero(known)[1:]] = False  # one of those stands for all
         return nodes[other], nodes[roots[other]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,6 +292,7 @@ def _forest(radius: int, words: int):
         for batch in batches:
             shards, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             prints = np.column_stack([batch.column(2 + w).to_numpy() for w in range(words)]).view(np.uint64)
+            known = batch.column(2 + words).to_numpy(zero_copy_only=False)
             cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
             found = []
             for a, b in zip(cuts, cuts[1:], strict=False):
@@ -290,7 +302,7 @@ def _forest(radius: int, words: int):
                     found.append(edges(*map(np.concatenate, zip(*held, strict=True))))
                     held = []
                 now = shards[a]
-                held.append((nodes[a:b], prints[a:b]))
+                held.append((nodes[a:b], prints[a:b], known[a:b]))
             yield _edge_batch(found)
         if held:
             yield _edge_batch([edges(*map(np.concatenate, zip(*held, strict=True)))])
@@ -303,11 +315,52 @@ def _edge_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(p, pa.int64()) for p in parts], names=["a", "b"])
 
 
+def _heaviest(group: pa.Table) -> pa.Table:
+    """giant__: the bits of the pivots of the largest component of a shard's; rows say how many nodes are near pivots low__ and bit__, of which low__ is a node's first."""
+    low, bit, n = (group.column(c).to_numpy() for c in ("low__", "bit__", "k__"))
+    root = np.arange(PIVOTS)
+    for x, y in zip(low.tolist(), bit.tolist(), strict=True):
+        x, y = root[x], root[y]
+        root[root == max(x, y)] = min(x, y)
+    own = low == bit
+    size = np.bincount(root[low[own]], n[own], PIVOTS)
+    return pa.table({"shard__": group.column("shard__")[:1], "giant__": pa.array([sum(1 << int(i) for i in np.flatnonzero(root == size.argmax()))], pa.int64())})
+
+
+def _by_pivots(rows: DataFrame, radius: int, names: list[str], shard_rows: int, folder: str) -> tuple[DataFrame, list[DataFrame]]:
+    """Shards for what pivots don't unite in shards that rings don't part (shard__, node__, names, known__), and links that unite the rest."""
+    slot = F.pmod(F.xxhash64("node__", F.lit(-1)), F.lit(PIVOTS)).cast("int").alias("bit__")
+    pivots = rows.groupBy("shard__", slot).agg(F.min_by(F.struct("node__", *names), F.xxhash64("node__", F.lit(-2))).alias("p__"))
+    pivots = written(pivots, "pivots", folder)
+    lists = pivots.groupBy("shard__").agg(F.collect_list(F.struct("bit__", F.expr("shiftleft(1L, bit__)").alias("value__"), "p__")).alias("pivots__"))  # at most PIVOTS
+    far = lambda p: sum(F.bit_count(F.col(f).bitwiseXOR(p["p__"][f])) for f in names)
+    near = F.array_sort(F.transform(F.filter("pivots__", lambda p: far(p) <= radius), lambda p: F.struct(p["bit__"].alias("bit__"), p["value__"].alias("value__"), p["p__"]["node__"].alias("node__"))))
+    marked = written(rows.join(lists, "shard__").select("shard__", "node__", *names, near.alias("near__")), "marked", folder)
+    first = F.get("near__", F.lit(0))
+    united = marked.where(F.size("near__") > 0)
+    pairs = united.select("shard__", first["bit__"].alias("low__"), first["node__"].alias("a"), F.explode("near__").alias("x")).select("shard__", "low__", F.col("x.bit__").alias("bit__"), "a", F.col("x.node__").alias("b"))
+    pairs = written(pairs.groupBy("shard__", "low__", "bit__", "a", "b").agg(F.count(F.lit(1)).alias("k__")), "pairs", folder)  # at most PIVOTS squared of a shard
+    giants = pairs.select("shard__", "low__", "bit__", "k__").groupBy("shard__").applyInArrow(_heaviest, "shard__ long, giant__ long")
+    bits = F.aggregate("near__", F.lit(0).cast("long"), lambda acc, p: acc.bitwiseOR(p["value__"]))
+    told = marked.join(giants, "shard__").withColumn("known__", bits.bitwiseAND(F.col("giant__")) != 0)
+    told = written(told.select("shard__", "node__", *names, "known__"), "told", folder)
+    sizes = told.groupBy("shard__").agg(F.count(F.when(F.col("known__"), 1)).alias("g__"), F.count(F.when(~F.col("known__"), 1)).alias("u__"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(2 * F.col(n) / shard_rows)).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("node__"), blocks(n)).cast("int")
+    each = lambda n, cell: F.transform(F.sequence(F.lit(0), blocks(n) - 1), cell)
+    cell = lambda kind, i, j: F.xxhash64("shard__", F.lit(kind), i, j)
+    of_known = each("u__", lambda i: cell(0, i, own("g__")))
+    of_others = F.concat(each("g__", lambda j: cell(0, own("u__"), j)), each("u__", lambda i: cell(1, F.least(i, own("u__")), F.greatest(i, own("u__")))))
+    parts = told.join(sizes.where("u__ > 0"), "shard__").select(F.explode(F.when(F.col("known__"), of_known).otherwise(of_others)).alias("shard__"), "node__", *names, "known__")
+    return parts, [united.select(F.col("node__").alias("a"), first["node__"].alias("b")).where("a <> b"), pairs.select("a", "b").where("a <> b")]
+
+
 def links(shards: DataFrame, radius: int, words: int, shard_rows: int = 16_384) -> DataFrame:
     """Links (a, b) that connect whatever is connected within the shards: shard__ long, node__ long, f0__ long and so on, ``words`` of them."""
     names = [f"f{w}__" for w in range(words)]
     folder, ready, balls = scratch(shards.sparkSession), [], []
     shards = shards.select("shard__", "node__", *names, F.lit(1 << 62).alias("from__"))
+    columns = ["shard__", "node__", *names, F.lit(False).alias("known__")]
     level = 0
     while True:
         point = F.min_by(F.struct(F.col("node__").alias("v__"), *(F.col(f).alias(f"v{f}") for f in names)), F.xxhash64("node__", F.lit(level))).alias("p__")
@@ -315,14 +368,13 @@ def links(shards: DataFrame, radius: int, words: int, shard_rows: int = 16_384)
         large = written(sizes.where(F.col("n__") > shard_rows).select("shard__", "n__", "of__", "p__.*"), f"large{level}", folder)
         if not large.take(1):
             break
-        ready.append(shards.join(large, "shard__", "left_anti").select("shard__", "node__", *names))
+        ready.append(shards.join(large, "shard__", "left_anti").select(*columns))
         split = shards.join(large, "shard__")
         stuck = F.col("n__") > 0.9 * F.col("of__")
-        # What rings don't part: blocks, and a shard for each pair of them.
-        n = F.ceil(2 * F.col("n__") / shard_rows)
-        own = F.pmod(F.xxhash64("node__"), n)
-        cells = F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda j: F.xxhash64("shard__", F.least(own, j), F.greatest(own, j)))
-        ready.append(split.where(stuck).select(F.explode(cells).alias("shard__"), "node__", *names))
+        if large.where(stuck).take(1):
+            parts, more = _by_pivots(split.where(stuck).select("shard__", "node__", *names), radius, names, shard_rows, f"{folder}/stuck{level}")
+            ready.append(parts)
+            balls += more
         far = sum(F.bit_count(F.col(f).bitwiseXOR(F.col(f"v{f}"))) for f in names)
         split = split.where(~stuck).withColumn("far__", far).withColumn("ring__", F.floor(F.col("far__") / (radius + 1)).cast("long"))
         parts = F.ceil(F.col("n__") / shard_rows)
@@ -335,7 +387,7 @@ def links(shards: DataFrame, radius: int, words: int, shard_rows: int = 16_384)
         balls.append(written(split.where("ring__ = 0 AND node__ <> v__").select(F.col("node__").alias("a"), F.col("v__").alias("b")), f"ball{level}", folder))
         shards = written(split.select(F.explode(targets).alias("shard__"), "node__", *names, F.col("n__").alias("from__")), f"split{level}", folder)
         level += 1
-    out = shards.select("shard__", "node__", *names)
+    out = shards.select(*columns)
     for more in ready:
         out = out.unionByName(more)
     out = out.repartition("shard__").sortWithinPartitions("shard__").mapInArrow(_forest(radius, words), "a long, b long")
