@@ -255,6 +255,8 @@ class Model:
         if found is None:
             if not self.bpe:
                 found = -self.scores[self.arcs[piece]]
+            elif last and last + piece in self.arcs:  # two such neighbours become one
+                found = _NO_PATH
             else:
                 found = 0.0 if self.merge(last + piece) == ([last, piece] if last else [piece]) else _NO_PATH
         self.weights.put(pair, found, len(last) + len(piece))
