@@ -127,6 +127,7 @@ def test_states_of_white_space():
 
 def test_memos_are_bounded(monkeypatch):
     monkeypatch.setattr(m, "MEMORY", 1 << 19)
+    monkeypatch.setattr(m, "PATHS", 1 << 19)
     model, rng = m.Model(open(PATH, "rb").read()), random.Random(6)
     for _ in range(300):
         model.encode(" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.choice([3, 8, 100]))) for _ in range(20)))

@@ -43,7 +43,8 @@ from pyspark.sql import functions as F
 from tidemill.llm.shared import Memo, with_columns
 
 SPACE = "▁"
-MEMORY = 96 << 20  # bytes that each of a Python worker's three memos may take, by a rough count
+MEMORY = 96 << 20  # bytes that a Python worker's memos of weights and of states may take each, by a rough count
+PATHS = 224 << 20  # and that of stretches' paths, which saves the most
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = range(1, 7)
 _UNIGRAM, _BPE = 1, 2
 _NO_PATH = float("inf")
@@ -228,7 +229,7 @@ class Model:
         self.inside = {n[i : i + 2] for n in self.arcs for i in range(len(n) - 1)}
         self.fallback = 10 - min(normal, default=0.0)
         self.least = 0.0 if self.bpe else -_NO_PATH  # no path has less weight
-        self.weights, self.states, self.paths = Memo(MEMORY), Memo(MEMORY, 48), Memo(MEMORY)
+        self.weights, self.states, self.paths = Memo(MEMORY), Memo(MEMORY, 48), Memo(PATHS)
         self.output = [bytes([int(n[3:5], 16)]) if k == _BYTE else b"" if k == _CONTROL else " ⁇ ".encode() if k == _UNKNOWN else n.replace(SPACE, " ").encode() for n, k in zip(self.names, self.kinds, strict=True)]
         # A stretch can only begin at a space after something else if no piece has one inside.
         self.stretches = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if not any(p[1] == SPACE != p[0] for p in self.inside) else re.compile(".+", re.S)
