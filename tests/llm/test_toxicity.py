@@ -156,3 +156,33 @@ def test_cases(spark):
     assert m.toxicity(docs.limit(0), one_kind).count() == 0
     named = spark.createDataFrame([("a", "idiot"), ("b", "fine")], "doc_id string, text string")
     assert m.toxicity(named, spark.createDataFrame([("a", 1)], "doc_id string, toxic int")).count() == 2
+
+
+class _Counted:
+    def __init__(self, values):
+        self.values, self.n = values, 0
+
+    def __getitem__(self, at):
+        self.n += 1
+        return self.values[at]
+
+
+def test_work_for_a_text_is_small():
+    """Words without a term are left out at once, and blocks are read by many, not one by one for each term; results stay those of the plain loop."""
+    v = m.Vocabulary(["idiot", "idio*", "ass", "scums*"], [2.0, 3.0, 4.0, 5.0])
+    text = " ".join("".join(chr(97 + i // 26**k % 26) for k in range(5)) for i in range(5000)) + " Idiot idioms ass assume scumsy"
+    assert v.vector(text)[0].tolist() == [0, 1, 2, 3, 4] and len(v.known.new) < 20
+    rng = np.random.default_rng(2)
+    vectors = [(np.sort(rng.choice(200, 40, replace=False)), np.round(rng.random(40) + 0.1, 9)) for _ in range(2000)]
+    index = m.Index(vectors, [1] * 2000, [0] * 2000, list(range(2000)), 200, 16)
+    for terms, weights in vectors[:20]:
+        index.starts = starts = _Counted(index.starts)
+        entry, cosine, read = index.nearest(terms, weights, 16)
+        index.starts = starts.values
+        want = np.zeros(2000)
+        for t, w in zip(terms, weights, strict=True):
+            s, e = index.starts[t * index.blocks], index.starts[(t + 1) * index.blocks]
+            want[index.entry[s:e]] += w * index.weight[s:e]
+        assert (cosine == np.round(want[entry], 9)).all() and read > 60
+        assert set(np.flatnonzero(np.round(want, 9) >= np.sort(np.round(want, 9))[-16])) == set(entry.tolist())
+        assert starts.n <= 16

@@ -70,6 +70,7 @@ class Vocabulary:
 
     def __init__(self, terms: list[str], weights: list[float]) -> None:
         self.number = {t: i for i, t in enumerate(terms)}
+        self.heads = {t[:_PREFIXES[0]] for t in terms}  # all of a word's terms begin with as many of its letters
         self.idf = np.array([*weights, 1.0])
         self.known = Memo(32 << 20)
 
@@ -81,10 +82,10 @@ class Vocabulary:
         return found
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        counts, known = words(text), self.known.new
+        counts, known, heads, letters = words(text), self.known.new, self.heads, _PREFIXES[0]
         found: dict[int, int] = {}
-        for word, n in counts.items():
-            numbers = known.get(word)
+        for word in [w for w in counts if w[:letters] in heads]:
+            numbers, n = known.get(word), counts[word]
             for i in self._numbers(word) if numbers is None else numbers:
                 found[i] = found.get(i, 0) + n
         total = sum(counts.values())
@@ -123,18 +124,22 @@ class Index:
         """The k entries of largest cosine above 0, with all that tie with the last, and their cosines; and how many blocks were read."""
         bounds = weights @ self.most[terms]
         order = np.argsort(-bounds, kind="stable")
-        entries, found, least, at, step = [np.empty(0, np.int64)], [np.empty(0)], 0.0, 0, 1
+        cells, width = (terms * self.blocks)[:, None], self.block
+        entries, found, least, at, step = [np.empty(0, np.int64)], [np.empty(0)], 0.0, 0, 4
         while at < len(order) and bounds[order[at]] > 0 and bounds[order[at]] + 2e-9 >= least:
-            for b in order[at : at + step].tolist():
-                scores = np.zeros(self.block)
-                for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                    cell = t * self.blocks + b
-                    s, e = self.starts[cell], self.starts[cell + 1]
-                    if s < e:
-                        scores[self.entry[s:e] - b * self.block] += w * self.weight[s:e]
-                some = np.flatnonzero(scores)
-                entries.append(some + b * self.block)
-                found.append(scores[some])
+            some = order[at : at + step]
+            some = np.sort(some[(bounds[some] > 0) & (bounds[some] + 2e-9 >= least)])
+            starts = self.starts[cells + some].ravel()
+            n = self.starts[cells + some + 1].ravel() - starts
+            ends = np.cumsum(n)
+            # Postings of all these blocks, term by term, so that an entry's products are added in the order of its terms.
+            postings = np.arange(ends[-1]) + np.repeat(starts - ends + n, n)
+            shift = (some - np.arange(len(some))) * width
+            place = self.entry[postings] - np.repeat(np.tile(shift, len(terms)), n)
+            scores = np.bincount(place, np.repeat(np.repeat(weights, len(some)), n) * self.weight[postings], len(some) * width)
+            hit = np.flatnonzero(scores)
+            entries.append(hit + shift[hit // width])
+            found.append(scores[hit])
             at, step = at + step, 2 * step
             both = np.concatenate(found)
             if len(both) >= k:
@@ -279,6 +284,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([rounded, pa.array([y * k for y, k in zip(toxic, n, strict=True)], pa.int64()), batch.column(3)], names=["share", "toxic", "n"])
 
     each = made.groupBy("terms", "weights", F.col("toxic__").alias("toxic")).agg(F.count(F.lit(1)).alias("n"))
+    each = each.repartition(max(32, 4 * context.defaultParallelism))  # few bytes, but a search for each row
     pairs = each.mapInArrow(left_out, "share double, toxic long, n long").where(F.col("share").isNotNull()).groupBy("share").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).collect()
     slope, offset = curve([r.share for r in pairs], [r.toxic for r in pairs], [r.n for r in pairs])
     return Classifier(vocabulary, index, s.nearest, (toxic + 0.5) / (n + 2), slope, offset)
