@@ -209,3 +209,52 @@ def test_near_copies_cases(spark):
     left = simhash.drop_near_copies(df)
     assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [2, 3, 4, 9]
     assert simhash.drop_near_copies(df.limit(0)).count() == 0
+
+
+def test_every_pair_at_the_similarity_is_found(spark):
+    """Also pairs that share none of the smallest shingle hashes, pairs at 0.8 to the shingle, chains of such, and short texts of a common passage."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage, rows = [word() for _ in range(30)], []
+    for source in range(0, 80, 10):
+        words = [word() for _ in range(1500)]
+        each = [int(simhash.shingle_hashes(" ".join(words[i : i + 5]))[0]) for i in range(1496)]
+        for step in range(3):  # a copy changes the smallest shingles of the text before it
+            rows.append((source + step, " ".join(words)))
+            for at in np.argsort(np.array(each, np.uint64))[:20].tolist():
+                words[at + 2] = word()
+            each = [int(simhash.shingle_hashes(" ".join(words[i : i + 5]))[0]) for i in range(1496)]
+    for source in range(80, 200, 10):
+        words = [word() for _ in range(14)]
+        rows += [(source, " ".join(words)), (source + 1, " ".join(words[:12])), (source + 2, " ".join(words[:11]))]
+    rows += [(200 + i, " ".join([word(), *passage, word()])) for i in range(60)]
+    sets = {i: {s for s in simhash.shingle_hashes(t).tolist()} for i, t in rows}
+    alike = {(i, j) for i in sets for j in sets if i < j and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])}
+    samples = {i: set(sorted(s)[:16]) for i, s in sets.items()}
+    assert sum(not samples[i] & samples[j] for i, j in alike) >= 8 and (80, 81) in alike and (80, 82) not in alike
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    _, groups = simhash.near_groups(docs)
+    prints = simhash.near_groups(docs)[0].select("id__", "fp__").collect()
+    winner = {bytes(r.fp__): r.winner__.id for r in groups.collect()}
+    of = {r.id__: winner[bytes(r.fp__)] for r in prints}
+    assert len(alike) > 1700 and all(of[i] == of[j] for i, j in alike)
+    assert len({of[i] for i in range(0, 80, 10)}) == 8 and len({of[i] for i in range(80, 200, 10)}) == 12
+
+
+def test_prefixes_and_sketches_miss_no_similar_pair():
+    rng, seen = np.random.default_rng(5), 0
+    for _ in range(400):
+        n = int(rng.integers(1, 400))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) > rng.choice([0, 0.05, 0.15])], rng.integers(0, 2**63, int(rng.integers(0, n // 8 + 1))).astype(np.uint64)]))
+        frequent = np.sort(rng.choice(a, len(a) // 2, replace=False))
+        ranks = rng.integers(1, 9, len(frequent))
+        differ = len(np.setxor1d(a, b))
+        x, y = (np.frombuffer(simhash.parity_sketch(h), np.uint64) for h in (a, b))
+        assert int(np.bitwise_count(x ^ y).sum()) <= differ
+        both = len(np.intersect1d(a, b))
+        if len(b) and both >= 0.8 * (both + differ):
+            seen += 1
+            assert set(simhash.prefix(a, 0.8, frequent, ranks).tolist()) & set(simhash.prefix(b, 0.8, frequent, ranks).tolist())
+    assert seen > 100
+    assert not len(simhash.prefix(np.empty(0, np.uint64), 0.8, np.empty(0, np.uint64), np.empty(0, np.int64)))
