@@ -252,6 +252,7 @@ def test_prefixes_and_sketches_miss_no_similar_pair():
         differ = len(np.setxor1d(a, b))
         x, y = (np.frombuffer(simhash.parity_sketch(h), np.uint64) for h in (a, b))
         assert int(np.bitwise_count(x ^ y).sum()) <= differ
+        assert simhash.differing(simhash.long_sketch(a), simhash.parity_sketch(b, 1024)) <= differ
         both = len(np.intersect1d(a, b))
         if len(b) and both >= 0.8 * (both + differ):
             seen += 1

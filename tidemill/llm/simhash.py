@@ -148,12 +148,23 @@ def _narrow(width: int):
     return lambda: lambda texts: [pa.array(np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64))]
 
 
-def parity_sketch(hashes: np.ndarray) -> bytes:
-    """64 * WORDS bits, each set where an odd number of shingles fall on it: sets differ by as many shingles as their sketches by bits, or more."""
-    counts = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS)
+def parity_sketch(hashes: np.ndarray, bits: int = 64 * WORDS) -> bytes:
+    """Bits, each set where an odd number of shingles fall on it: sets differ by as many shingles as their sketches by bits, or more."""
+    counts = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % bits, minlength=bits)
     return np.packbits(counts & 1, bitorder="little").tobytes()
 
 
+def long_sketch(hashes: np.ndarray) -> bytes:
+    """A parity sketch of two bits for a shingle or more, in a power of two."""
+    return parity_sketch(hashes, 64 * WORDS << max(0, ceil(log2(max(1, len(hashes)) / (32 * WORDS)))))
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which parity sketches differ, the longer one folded to the other's length."""
+    a, b = np.frombuffer(max(x, y, key=len), np.uint8), np.frombuffer(min(y, x, key=len), np.uint8)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(a.reshape(-1, len(b))) ^ b).sum())
+
+
 def prefix(hashes: np.ndarray, similarity: float, frequent: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """So many of a set's shingles, in an order that is the same for all sets, that any two sets of the similarity share one of them.
 
@@ -518,19 +529,33 @@ def exact_links(prints: DataFrame, roots: DataFrame, texts: DataFrame, similarit
     for end in ("a", "b"):
         pairs = pairs.join(prints.select(F.col("node__").alias(end), F.col("size__").alias(f"n{end}"), *(_word("parity__", w).alias(f"{end}{w}") for w in range(WORDS))), end)
     differ = sum(F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in range(WORDS))
-    pairs = written(pairs.where(differ <= F.col("na") + F.col("nb") - 2 * needed("na", "nb")).select("a", "b"), "pairs", folder)
-    nodes = written(pairs.select(F.col("a").alias("node__")).union(pairs.select("b")).distinct(), "nodes", folder)
+    most_differ = F.col("na") + F.col("nb") - 2 * needed("na", "nb")
+    pairs = written(pairs.where(differ <= most_differ).select("a", "b", most_differ.alias("most__")), "pairs", folder)
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_hashes(t or "", width).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node__", "set__"])
+    def told(pairs: DataFrame, name: str, make, kind: str) -> DataFrame:
+        """Pairs with what ``make`` tells of the shingles of both."""
+        nodes = written(pairs.select(F.col("a").alias("node__")).union(pairs.select("b")).distinct(), f"{name}_nodes", folder)
 
-    sets = written(texts.join(nodes, "node__").select("node__", "text__").mapInArrow(hashes, "node__ long, set__ array<long>"), "sets", folder)
-    for end in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("node__").alias(end), F.col("set__").alias(f"set{end}")), end)
-    both = F.size(F.array_intersect("seta", "setb"))
-    return written(pairs.where(both / (F.size("seta") + F.size("setb") - both) >= similarity).select("a", "b"), "links", folder)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [make(shingle_hashes(t or "", width)) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary() if kind == "binary" else pa.list_(pa.int64()))], names=["node__", "x__"])
+
+        made = written(texts.join(nodes, "node__").select("node__", "text__").mapInArrow(run, f"node__ long, x__ {kind}"), name, folder)
+        for end in ("a", "b"):
+            pairs = pairs.join(made.select(F.col("node__").alias(end), F.col("x__").alias(f"x{end}")), end)
+        return pairs.select("a", "b", "most__", "xa", "xb")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stays = [differing(x, y) <= most for most, x, y in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
+            yield batch.select(["a", "b", "most__"]).filter(pa.array(stays, pa.bool_()))
+
+    # Sketches as long as the sets need, a fourteenth of a set or less, come before the sets themselves.
+    pairs = written(told(pairs, "sketches", long_sketch, "binary").mapInArrow(near, "a long, b long, most__ long"), "near", folder)
+    pairs = told(pairs, "sets", lambda h: h.view(np.int64), "array<long>")
+    both = F.size(F.array_intersect("xa", "xb"))
+    return written(pairs.where(both / (F.size("xa") + F.size("xb") - both) >= similarity).select("a", "b"), "links", folder)
 
 
 def components(edges: DataFrame) -> DataFrame:
