@@ -551,7 +551,7 @@ def exact_links(prints: DataFrame, roots: DataFrame, texts: DataFrame, similarit
             stays = [differing(x, y) <= most for most, x, y in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
             yield batch.select(["a", "b", "most__"]).filter(pa.array(stays, pa.bool_()))
 
-    # Sketches as long as the sets need, a fourteenth of a set or less, come before the sets themselves.
+    # Sketches as long as the sets need, of two to four bits for a shingle in all but small sets, come before the sets themselves.
     pairs = written(told(pairs, "sketches", long_sketch, "binary").mapInArrow(near, "a long, b long, most__ long"), "near", folder)
     pairs = told(pairs, "sets", lambda h: h.view(np.int64), "array<long>")
     both = F.size(F.array_intersect("xa", "xb"))
